@@ -44,7 +44,7 @@ lines as (
         or length(regexp_replace(x, '[^|]+', '', 'g')) >= {r.min_separators}
         or (not regexp_matches(x, '[a-z]') and length(regexp_replace(x, '[^A-Z]+', '', 'g')) >= {r.min_shout_letters})
         or (not regexp_matches(x, '[\p{{P}}\p{{S}}][\x20\x09-\x0D]*$') and len(lw) <= {r.max_fragment_words})
-        or len(list_filter(range(1, len(lw) - {r.max_stutter - 1}), i -> len(list_distinct(lw[i:i + {r.max_stutter}])) = 1)) > 0
+        or len([i for i in range(1, len(lw) - {r.max_stutter - 1}) if len(list_distinct(lw[i:i + {r.max_stutter}])) = 1]) > 0
         or (strlen(x) <= {r.max_furniture_bytes} and ({phrases})) bad
     from l where len(lw) > 0),
 per as (select doc_id, count(*) - count(distinct x) dup, coalesce(sum(n) filter (not bad), 0) good from lines group by doc_id),

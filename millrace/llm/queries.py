@@ -7,13 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import quality
+from millrace.llm import mixing, packing, quality, wavelet
+from millrace.llm.store import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    """The production vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document in a mixture whose targets lean towards small sources."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs).select("doc_id", "source", "block", "slot", "in_block")
+
+
+def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of at most 2048 tokens."""
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), vocabulary())
+    crc = F.crc32("ids").alias("ids_crc32")
+    return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset")
+
+
+def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and checksum, read back from the shard files."""
+    path = new_path(spark, "wavelet")
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wavelet.write_shards(_table(spark, sf_dir, "documents"), path, vocabulary(), shards)
+    return wavelet.read_documents(spark, path)
+
+
 def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base verdict and line-first verdict of every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -24,6 +53,9 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_pfair_mixing": op3_pfair_mixing,
+        "op6_harmonic_packing": op6_harmonic_packing,
+        "op7_wavelet_tokens": op7_wavelet_tokens,
         "op8_line_quality": op8_line_quality,
     }
 

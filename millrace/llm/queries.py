@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import mixing, packing, quality, wavelet
+from millrace.llm import chat, mixing, packing, quality, warc, wavelet
 from millrace.llm.store import new_path
 
 
@@ -28,6 +28,14 @@ def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "source", "block", "slot", "in_block")
 
 
+def op4_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one that imitates control strings, read back from prefix-tree blocks."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    return chat.read_conversations(chat.format_trees(rows.unionByName(own)))
+
+
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of at most 2048 tokens."""
     pieces = packing.pack(_table(spark, sf_dir, "documents"), vocabulary())
@@ -51,12 +59,19 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A metadata and a conversion record for the response of every page."""
+    return warc.derive(warc.responses_of(_table(spark, sf_dir, "pages")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_pfair_mixing": op3_pfair_mixing,
+        "op4_chat_prefix_tree": op4_chat_prefix_tree,
         "op6_harmonic_packing": op6_harmonic_packing,
         "op7_wavelet_tokens": op7_wavelet_tokens,
         "op8_line_quality": op8_line_quality,
+        "op9_warc_derivatives": op9_warc_derivatives,
     }
 
 
@@ -91,7 +106,42 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from f"""
 
 
+def _op9_sql() -> str:
+    text = r"regexp_replace(p, '(?s)<!--.*?(-->|\z)', ' ', 'g')"
+    for tag in warc.HIDDEN:
+        text = rf"regexp_replace({text}, '(?is)<{tag}(\s[^>]*)?>.*?(</{tag}\s*>|\z)', ' ', 'g')"
+    text = rf"regexp_replace({text}, '(?i)</?({warc.BREAKS})(\s[^>]*|/)?>', chr(10), 'g')"
+    text = rf"regexp_replace({text}, '<[a-zA-Z/!?][^>]*>', '', 'g')"
+    for name, char in warc.ENTITIES:
+        text = f"replace({text}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    text = rf"regexp_replace({text}, '[ \t\r\f]+', ' ', 'g')"
+    text = rf"regexp_replace({text}, ' ?(\n ?)+', chr(10), 'g')"
+    text = rf"regexp_replace({text}, '^[ \n]+|[ \n]+$', '', 'g')"
+    title = r"regexp_extract(p, '(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>', 1)"
+    title = rf"regexp_replace(regexp_replace({title}, '[ \t\r\n\f]+', ' ', 'g'), '^ | $', '', 'g')"
+    crlf = "chr(13) || chr(10)"
+
+    def uuid(h: str) -> str:
+        parts = " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+        return f"'<urn:uuid:' || {parts} || '>'"
+
+    return rf"""
+with a as (select page_id, url, coalesce(html, '') p, md5(page_id::varchar || chr(10) || coalesce(url, '')) h from pages),
+b as (select *, {uuid("h")} refers_to from a),
+c as (
+    select *, 'metadata' warc_type, 'application/warc-fields' content_type,
+        'status: 200' || {crlf} || 'title: ' || {title} || {crlf} || 'links: ' || len(regexp_extract_all(p, '(?i)<a\s[^>]*href'))
+        || {crlf} || 'payload-length: ' || strlen(p) || {crlf} block from b
+    union all select *, 'conversion', 'text/plain', {text} from b),
+d as (select *, md5(refers_to || chr(10) || warc_type) g from c)
+select page_id, {uuid("g")} record_id, warc_type, refers_to, url target_uri, '1970-01-01T00:00:00Z' warc_date, content_type,
+    'sha1:' || sha1(p) payload_digest, 'sha1:' || sha1(block) block_digest, strlen(block)::bigint content_length,
+    'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || strlen(p) || {crlf} source_headers, block
+from d"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op8_line_quality": _op8_sql(),
+        "op9_warc_derivatives": _op9_sql(),
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, mixing, packing, quality, warc, wavelet
+from millrace.llm import chat, mixing, packing, quality, urls, warc, wavelet
 from millrace.llm.store import new_path
 
 
@@ -36,6 +36,15 @@ def op4_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_conversations(chat.format_trees(rows.unionByName(own)))
 
 
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    judged = urls.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of at most 2048 tokens."""
     pieces = packing.pack(_table(spark, sf_dir, "documents"), vocabulary())
@@ -68,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_pfair_mixing": op3_pfair_mixing,
         "op4_chat_prefix_tree": op4_chat_prefix_tree,
+        "op5_url_templates": op5_url_templates,
         "op6_harmonic_packing": op6_harmonic_packing,
         "op7_wavelet_tokens": op7_wavelet_tokens,
         "op8_line_quality": op8_line_quality,

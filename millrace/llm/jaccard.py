@@ -329,7 +329,7 @@ def _leader_pairs(live: DataFrame, comp: DataFrame, percent: int, turn: int) ->
     leaders = rows.groupBy("key", "class").agg(first)
     met = rows.join(leaders, ["key", "class"]).where("component <> l.component")
     fits = (F.col("n") * 100 >= F.col("l.n") * percent) & (F.col("l.n") * 100 >= F.col("n") * percent)
-    # A key counts once, though both of its classes may have the same leader.
+    # A key may count for both of its classes; that lets in a few more candidates.
     met = met.where(fits).groupBy(F.col("l.id").alias("a"), F.col("id").alias("b"))
     met = met.agg(F.sum("w").alias("c")).where("c >= 2")
     best = met.groupBy("b").agg(F.max_by("a", F.struct("c", F.xxhash64("a"))).alias("a"))

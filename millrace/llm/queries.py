@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, jaccard, mixing, packing, quality, urls, warc, wavelet
+from millrace.llm import chat, embed, jaccard, mixing, packing, quality, urls, warc, wavelet
 from millrace.llm.store import new_path
 
 
@@ -22,6 +22,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's number of links, component and verdict at a cosine of 0.98."""
+    return embed.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's number of 4-word shingles and the component of texts linked at a similarity of 0.85."""
     return jaccard.similar(_table(spark, sf_dir, "documents"), words=4, percent=85)
@@ -80,6 +85,7 @@ def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embedding_near_duplicates": op1_embedding_near_duplicates,
         "op2_ngram_jaccard": op2_ngram_jaccard,
         "op3_pfair_mixing": op3_pfair_mixing,
         "op4_chat_prefix_tree": op4_chat_prefix_tree,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, embed, jaccard, mixing, packing, quality, urls, warc, wavelet
+from millrace.llm import chat, embed, jaccard, mixing, packing, quality, toxicity, urls, warc, wavelet
 from millrace.llm.store import new_path
 
 
@@ -83,6 +83,17 @@ def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses_of(_table(spark, sf_dir, "pages")))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a network that saw no label of the held-out fold."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % toxicity.FOLDS
+    scored = toxicity.score(docs, net)
+    return scored.select(
+        "doc_id", (fold == toxicity.HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_near_duplicates": op1_embedding_near_duplicates,
@@ -94,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_wavelet_tokens": op7_wavelet_tokens,
         "op8_line_quality": op8_line_quality,
         "op9_warc_derivatives": op9_warc_derivatives,
+        "op10_toxicity": op10_toxicity,
     }
 
 

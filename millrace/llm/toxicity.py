@@ -1,13 +1,14 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained here in numpy.
 
-Each step of a window takes a word's vector and the mean vector of its character n-grams (both hashed into tables of
-fixed size); two gated recurrent units read the window from both ends, attention pools their states, and a linear
-layer gives the window's score. A document's score is the calibrated score of its worst window; its windows overlap
-by half and cover the whole text.
+Each step of a window takes what tables of fixed size know of a word (its smoothed log-odds to stand in documents
+labelled 1, and how often it was seen) and of its character n-grams (mean, highest and lowest log-odds); two gated
+recurrent units read the window from both ends, attention pools their states, and a linear layer gives the window's
+score. A document's score is a logistic curve over its worst window, the mean of its worst few, and the number of its
+windows, which overlap by half and cover the whole text.
 
-Training knows labels of documents only. The tables start from smoothed log-odds of words and n-grams; then, round by
-round, the network learns from each document's currently worst windows. One fold of the training rows is held back
-from all of this and calibrates the scores.
+Training knows labels of documents only. Round by round, the network learns from each document's currently worst
+windows, seen through tables that were filled without the document's part of the sample, as it will see new texts.
+One fold of the training rows is held back from all of this and calibrates the scores.
 
 The sample is bounded by ``MOST_PER_CLASS`` documents of either label, chosen by a hash of their ids, so training costs
 the same on any input. Scoring is one narrow pass in Arrow batches; the model (MODEL_BYTES at most) is broadcast.
@@ -31,12 +32,14 @@ from pyspark.sql import functions as F
 from millrace.llm.tokens import slices
 
 WINDOW, STRIDE = 32, 16
-HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
+HIDDEN, INPUTS = 8, 5
 WORD_SLOTS, CHAR_SLOTS = 1 << 15, 1 << 16
 GRAMS = (3, 4, 5)
 MOST_PER_CLASS = 2000
-EPOCHS = 6
+EPOCHS = 12
+PARTS = 3
 AT_ONCE = 4096
+TOP, LEAST_TO_CALIBRATE = 3, 20
 FOLDS, HELD_OUT, CALIBRATES = 5, 0, 1
 MODEL_BYTES = 8 << 20
 EDGES = ".,;:!?'\"()[]{}#$%&*|<>-–—…«»¡¿"
@@ -104,37 +107,57 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+class Tables:
+    """What labelled documents say of hashed words and character n-grams; empty tables know nothing."""
+
+    def __init__(self):
+        self.words = np.zeros((WORD_SLOTS, 2), np.float32)
+        self.chars = np.zeros(CHAR_SLOTS, np.float32)
+
+    @classmethod
+    def filled(cls, words: tuple, index: np.ndarray, ends: np.ndarray, labels: np.ndarray, use: np.ndarray) -> Tables:
+        """Tables from the documents marked in ``use``."""
+        out = cls()
+        owner = np.repeat(np.arange(len(labels)), np.diff(ends))
+        mine = use[owner]
+        pairs = np.unique(index[mine].astype(np.int64) * len(labels) + owner[mine])
+        word, doc = pairs // len(labels), pairs % len(labels)
+        part = _part_of(words, word)
+        out.words[:, 0], seen = _log_odds(words[0][word], doc, labels, use, WORD_SLOTS)
+        out.words[:, 1] = np.log1p(seen) / 5
+        out.chars[:], _ = _log_odds(part[1], np.repeat(doc, np.diff(part[2])), labels, use, CHAR_SLOTS)
+        return out
+
+    def vectors(self, words: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """Input vectors of words from their slots, and a row of zeros behind them for padding."""
+        word, grams, begins = words
+        out = np.zeros((len(word) + 1, INPUTS), np.float32)
+        out[:-1, :2] = self.words[word]
+        counts = np.diff(begins)
+        some = np.flatnonzero(counts)
+        if len(some):
+            odds = self.chars[grams]
+            out[some, 2] = np.add.reduceat(odds, begins[:-1][some]) / counts[some]
+            out[some, 3] = np.maximum.reduceat(odds, begins[:-1][some])
+            out[some, 4] = np.minimum.reduceat(odds, begins[:-1][some])
+        return out
+
+
 class Network:
     """The parameters, inference and training."""
 
     def __init__(self, seed: int = 11):
         r = np.random.default_rng(seed)
-        d, h = WORD_DIM + CHAR_DIM, HIDDEN
+        d, h = INPUTS, HIDDEN
 
         def some(*shape: int, by: float) -> np.ndarray:
             return (r.standard_normal(shape) * by).astype(np.float32)
 
-        self.p = {
-            "words": some(WORD_SLOTS, WORD_DIM, by=0.01),
-            "chars": some(CHAR_SLOTS, CHAR_DIM, by=0.01),
-            "attention": some(2 * h, by=0.3),
-            "out": some(2 * h, by=0.3),
-            "bias": np.full(1, -1.0, np.float32),
-        }
+        self.p = {"attention": some(2 * h, by=0.3), "out": some(2 * h, by=0.3), "bias": np.full(1, -1.0, np.float32)}
         for side in "fb":
             self.p |= {f"w{side}": some(d, 3 * h, by=0.4), f"u{side}": some(h, 3 * h, by=0.3), f"c{side}": np.zeros(3 * h, np.float32)}
-        self.scale, self.shift = 1.0, 0.0
-
-    def vectors(self, words: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-        """Input vectors of words from their slots, and a row of zeros behind them for padding."""
-        word, grams, begins = words
-        out = np.zeros((len(word) + 1, WORD_DIM + CHAR_DIM), np.float32)
-        out[:-1, :WORD_DIM] = self.p["words"][word]
-        if len(grams):
-            sums = np.add.reduceat(np.vstack([self.p["chars"][grams], np.zeros((1, CHAR_DIM), np.float32)]), begins[:-1])
-            counts = np.diff(begins)
-            out[:-1, WORD_DIM:] = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], 0)
-        return out
+        self.curve = np.array([1.0, 0.0, 0.0, 0.0])
+        self.tables = Tables()
 
     def _states(self, table: np.ndarray, u: np.ndarray, index: np.ndarray, mask: np.ndarray | None, back: bool) -> np.ndarray:
         h2 = 2 * HIDDEN
@@ -185,19 +208,21 @@ class Network:
                 out[part] = (e * said).sum(0) / e.sum(0) + self.p["bias"][0]
         return out
 
-    def gradients(self, words: tuple, index: np.ndarray, held: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict:
-        """Gradients of the weighted log loss over these windows."""
-        p, h = self.p, HIDDEN
-        pad = len(words[0])
-        used, inner = np.unique(np.append(index.ravel(), pad), return_inverse=True)
-        words, index = _part_of(words, used[:-1]), inner[:-1].reshape(index.shape)
-        vectors = self.vectors(words)
-        x_all = vectors[index]
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """The calibrated score of each text."""
+        index, ends, names = words_of(texts)
+        rows, owner, held = window_rows(ends, len(names), index)
+        logits = self.logits(self.tables.vectors(slots_of(names)), rows, held)
+        return _sigmoid(worst_windows(logits.astype(np.float64), owner, len(texts)) @ self.curve[:3] + self.curve[3])
+
+    def gradients(self, x_all: np.ndarray, held: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict:
+        """Gradients of the weighted log loss over windows of input vectors (windows, steps, inputs)."""
+        p, h, n_windows = self.p, HIDDEN, len(x_all)
         mask = (np.arange(WINDOW) < held[:, None]).astype(np.float32)
         kept: dict[str, list] = {}
-        states = np.zeros((len(index), WINDOW, 2 * h), np.float32)
+        states = np.zeros((n_windows, WINDOW, 2 * h), np.float32)
         for side, order in (("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1))):
-            now = np.zeros((len(index), h), np.float32)
+            now = np.zeros((n_windows, h), np.float32)
             kept[side] = []
             for t in order:
                 m = mask[:, t : t + 1]
@@ -223,11 +248,10 @@ class Network:
             "bias": error.sum(keepdims=True),
             "attention": np.einsum("bt,bth->h", d_s, states),
         }
-        d_x = np.zeros_like(x_all)
         for side in "fb":
-            w, u = p[f"w{side}"], p[f"u{side}"]
-            d_w, d_u, d_c = np.zeros_like(w), np.zeros_like(u), np.zeros(3 * h, np.float32)
-            d_h = np.zeros((len(index), h), np.float32)
+            u = p[f"u{side}"]
+            d_w, d_u, d_c = np.zeros_like(p[f"w{side}"]), np.zeros_like(u), np.zeros(3 * h, np.float32)
+            d_h = np.zeros((n_windows, h), np.float32)
             for t, before, r, z, n, g_n in reversed(kept[side]):
                 m = mask[:, t : t + 1]
                 d_h = d_h + d_states[:, t, h * (side == "b") : h * (side == "b") + h]
@@ -241,17 +265,8 @@ class Network:
                 d_u += before.T @ d_g
                 d_w += x_all[:, t].T @ d_in
                 d_c += d_in.sum(0)
-                d_x[:, t] += d_in @ w.T
             out |= {f"w{side}": d_w, f"u{side}": d_u, f"c{side}": d_c}
-        per_word = np.zeros((len(vectors), d_x.shape[2]), np.float32)
-        np.add.at(per_word, index, d_x)
-        word, grams, begins = words
-        d_words = np.zeros_like(p["words"])
-        np.add.at(d_words, word, per_word[:-1, :WORD_DIM])
-        counts = np.diff(begins)
-        d_chars = np.zeros_like(p["chars"])
-        np.add.at(d_chars, grams, np.repeat(per_word[:-1, WORD_DIM:] / np.maximum(counts, 1)[:, None], counts, axis=0))
-        return out | {"words": d_words, "chars": d_chars}
+        return out
 
 
 def _part_of(words: tuple, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -263,14 +278,15 @@ def _part_of(words: tuple, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return word[some], grams[at], np.concatenate([[0], ends])
 
 
-def _log_odds(slots: np.ndarray, owners: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
-    """Smoothed log-odds of each slot to occur in documents labelled 1, nearer 0 the fewer documents have it."""
-    pairs = np.unique(slots.astype(np.int64) * len(labels) + owners)
+def _log_odds(slots: np.ndarray, docs: np.ndarray, labels: np.ndarray, use: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed log-odds of each slot to occur in used documents labelled 1, nearer 0 the fewer have it, and their number."""
+    pairs = np.unique(slots.astype(np.int64) * len(labels) + docs)
     slot, bad = pairs // len(labels), labels[pairs % len(labels)]
     ones, zeros = np.bincount(slot[bad == 1], minlength=size), np.bincount(slot[bad == 0], minlength=size)
-    n1, n0 = (labels == 1).sum(), (labels == 0).sum()
+    n1, n0 = (labels[use] == 1).sum(), (labels[use] == 0).sum()
     odds = np.log((ones + 0.5) / (n1 + 1)) - np.log((zeros + 0.5) / (n0 + 1))
-    return (odds * (ones + zeros) / (ones + zeros + 5)).clip(-3, 5).astype(np.float32)
+    seen = ones + zeros
+    return (odds * seen / (seen + 3)).clip(-3, 5).astype(np.float32), seen
 
 
 def train(texts: list[str], labels: np.ndarray, calibrates: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> Network:
@@ -282,64 +298,82 @@ def train(texts: list[str], labels: np.ndarray, calibrates: np.ndarray, epochs:
     net, r = Network(seed), np.random.default_rng(seed)
     index, ends, names = words_of(pa.array(texts, pa.large_string()))
     words = slots_of(names)
-    owner = np.repeat(np.arange(len(texts)), np.diff(ends))
-    mine = learns[owner]
-    where = np.cumsum(learns) - 1
-    n_grams = np.diff(words[2])
-    gram_owner = np.repeat(where[owner[mine]], n_grams[index[mine]])
-    at = np.repeat(words[2][:-1][index[mine]], n_grams[index[mine]])
-    inner = np.arange(len(at)) - np.repeat(np.cumsum(n_grams[index[mine]]) - n_grams[index[mine]], n_grams[index[mine]])
-    net.p["words"][:, 0] += _log_odds(words[0][index[mine]], where[owner[mine]], labels[learns], WORD_SLOTS)
-    net.p["chars"][:, 0] += _log_odds(words[1][at + inner], gram_owner, labels[learns], CHAR_SLOTS)
+    net.tables = Tables.filled(words, index, ends, labels, learns)
+    # Documents are dealt to parts by label, so that no part lacks one.
+    part = np.zeros(len(labels), np.int64)
+    for k in (0, 1):
+        mine = np.flatnonzero(learns & (labels == k))
+        part[mine] = np.arange(len(mine)) % PARTS
+    seen = [Tables.filled(words, index, ends, labels, learns & (part != k)).vectors(words) for k in range(PARTS)]
     rows, text, held = window_rows(ends, len(words[0]), index)
-    first = net.vectors(words)[:, [0, WORD_DIM]].sum(1)
-    score = first[rows].max(1)
+    trained = np.flatnonzero(learns[text])
+    vectors = np.stack(seen)
+    score = vectors[part[text][:, None], rows][:, :, [0, 2]].sum(2).max(1)
     mean = {k: np.zeros_like(v) for k, v in net.p.items()}
     square = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
-    trained = np.flatnonzero(learns[text])
     for epoch in range(epochs):
         if epoch:
-            score = net.logits(net.vectors(words), rows, held)
+            for k in range(PARTS):
+                some = trained[part[text[trained]] == k]
+                score[some] = net.logits(vectors[k], rows[some], held[some])
         order = trained[np.lexsort((-score[trained], text[trained]))]
         place = np.arange(len(order)) - np.searchsorted(text[order], text[order])
         bad = labels[text[order]] == 1
-        chosen = order[np.where(bad, place < 1, (place < 2) | (r.random(len(order)) < 0.05))]
+        chosen = order[np.where(bad, place < 2, (place < 2) | (r.random(len(order)) < 0.03))]
         r.shuffle(chosen)
         share = labels[text[chosen]].mean()
-        for a in range(0, len(chosen), 256):
-            part = chosen[a : a + 256]
-            y = labels[text[part]].astype(np.float32)
+        for a in range(0, len(chosen), 128):
+            some = chosen[a : a + 128]
+            y = labels[text[some]].astype(np.float32)
             weight = np.where(y == 1, 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3)).astype(np.float32)
-            grads = net.gradients(words, rows[part], held[part], y, weight)
+            grads = net.gradients(vectors[part[text[some]][:, None], rows[some]], held[some], y, weight)
             step += 1
-            rate = 0.01 * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            rate = 0.01 * (1 - epoch / (epochs + 1)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for k, g in grads.items():
                 mean[k] += 0.1 * (g - mean[k])
                 square[k] += 0.001 * (g * g - square[k])
                 net.p[k] -= (rate * mean[k] / (np.sqrt(square[k]) + 1e-8)).astype(np.float32)
-    score = net.logits(net.vectors(words), rows, held)
-    worst = np.full(len(texts), -np.inf)
-    np.maximum.at(worst, text, score)
-    fit = calibrates if labels[calibrates].any() and (1 - labels[calibrates]).any() else learns
-    net.scale, net.shift = _platt(worst[fit], labels[fit])
+    fit = calibrates
+    if labels[calibrates].sum() >= LEAST_TO_CALIBRATE:
+        logits = net.logits(net.tables.vectors(words), rows, held)
+    else:  # too few to calibrate by: the training rows, as their parts see them
+        fit = learns
+        logits = score
+        for k in range(PARTS):
+            some = trained[part[text[trained]] == k]
+            logits[some] = net.logits(vectors[k], rows[some], held[some])
+    worst = worst_windows(logits.astype(np.float64), text, len(texts))
+    net.curve = _logistic(worst[fit], labels[fit])
     return net
 
 
-def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Scale and shift of a logistic curve, with smoothed targets and a weak pull to scale 1."""
+def worst_windows(logits: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """For each text its highest window score, the mean of its TOP highest, and the log of its number of windows."""
+    order = np.lexsort((-logits, text))
+    place = np.arange(len(order)) - np.searchsorted(text[order], text[order])
+    top = order[place < TOP]
+    many = np.bincount(text, minlength=n)
+    mean = np.bincount(text[top], logits[top], n) / np.maximum(np.bincount(text[top], minlength=n), 1)
+    highest = np.zeros(n)
+    highest[text[order[place == 0]]] = logits[order[place == 0]]
+    return np.stack([highest, mean, np.log(np.maximum(many, 1))], 1)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of a logistic curve over these columns and a constant, pulled weakly to the first column alone."""
+    x = np.concatenate([x, np.ones((len(x), 1))], 1)
     n1, n0 = (y == 1).sum(), (y == 0).sum()
     t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, b = 1.0, 0.0
-    for _ in range(60):
-        q = _sigmoid(a * x + b)
+    start = np.array([1.0, 0.0, 0.0, 0.0])
+    pull = np.array([1.0, 1.0, 1.0, 1e-3])
+    a = start.copy()
+    for _ in range(80):
+        q = _sigmoid(x @ a)
         w = np.maximum(q * (1 - q), 1e-6)
-        ga, gb = ((q - t) * x).sum() + (a - 1) * 0.1, (q - t).sum()
-        haa, hab, hbb = (w * x * x).sum() + 0.1, (w * x).sum(), w.sum() + 1e-6
-        det = haa * hbb - hab * hab
-        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
-        a, b = a - np.clip(da, -1, 1), b - np.clip(db, -1, 1)
-    return float(max(a, 1e-3)), float(b)
+        gradient = x.T @ (q - t) + pull * (a - start)
+        a -= np.clip(np.linalg.solve((x * w[:, None]).T @ x + np.diag(pull), gradient), -0.5, 0.5)
+    return a
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLASS) -> Network:
@@ -363,12 +397,7 @@ def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
         for part in slices(batches, text, 4 << 20):
-            index, ends, names = words_of(part.column(text))
-            rows, owner, held = window_rows(ends, len(names), index)
-            logits = net.logits(net.vectors(slots_of(names)), rows, held)
-            worst = np.full(part.num_rows, -np.inf)
-            np.maximum.at(worst, owner, logits)
-            yield part.append_column("score", pa.array(_sigmoid(net.scale * worst + net.shift).astype(np.float64)))
+            yield part.append_column("score", pa.array(net.scores(part.column(text))))
 
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("score", F.lit(0.0)).schema
     return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(of_task, schema)

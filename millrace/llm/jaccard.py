@@ -51,12 +51,12 @@ def shingles(texts: pa.Array, words: int) -> Iterator[tuple[np.ndarray, np.ndarr
     """For each text the distinct hashes of its shingles, ascending, and their lengths in bytes."""
     import pandas as pd
 
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     flat = lists.values.dictionary_encode()
     index = flat.indices.to_numpy(zero_copy_only=False)
     bounds = lists.offsets.to_numpy()
     bounds = bounds - bounds[0]
-    names = flat.dictionary
+    names = pc.ascii_lower(flat.dictionary)  # of distinct words: it is wrong on slices of an array
     hashes = pd.util.hash_array(names.to_numpy(zero_copy_only=False).astype(object), categorize=False)[index]
     sizes = pc.binary_length(names).to_numpy(zero_copy_only=False).astype(np.int64)[index]
     full = sizes > 0  # splitting leaves empty pieces at the ends of a text

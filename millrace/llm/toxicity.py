@@ -51,9 +51,9 @@ def fold_of(doc_id: int) -> int:
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Word numbers of all texts, the texts' offsets in them, and the distinct words (lower case, without signs at their ends)."""
-    lists = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     raw = lists.values.dictionary_encode()
-    clean = pc.utf8_trim(raw.dictionary, EDGES).dictionary_encode()
+    clean = pc.utf8_trim(pc.utf8_lower(raw.dictionary), EDGES).dictionary_encode()
     index = clean.indices.to_numpy(zero_copy_only=False)[raw.indices.to_numpy(zero_copy_only=False)]
     full = pc.binary_length(clean.dictionary).to_numpy(zero_copy_only=False)[index] > 0 if len(index) else np.zeros(0, bool)
     bounds = lists.offsets.to_numpy()

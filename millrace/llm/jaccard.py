@@ -38,6 +38,7 @@ BLOCKS = 16
 CHUNK_SHINGLES = 1 << 22
 SEEN_OFTEN = (4, 64, 1024)
 LEADER_ROUNDS = 2
+OFTEN = 64
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -182,26 +183,30 @@ def boundary(mean_list: float, percent: int) -> int:
         n += 1
 
 
-def postings(docs: DataFrame, words: int, percent: int, sketch: np.ndarray, light: int) -> DataFrame:
-    """(doc_id, n, keys, weights): subset keys count for two common elements, list keys for one."""
-    sent = docs.sparkSession.sparkContext.broadcast(sketch)  # SLOTS bytes, whatever the input's size
+def postings(docs: DataFrame, words: int, percent: int, sketch: np.ndarray, light: int, firsts: np.ndarray) -> DataFrame:
+    """(doc_id, n, keys, weights) for the documents in slots marked in ``firsts`` (a few others may come along).
+
+    Subset keys count for two common elements, list keys for one; OFTEN is added for shingles known to be seen often.
+    """
+    sc = docs.sparkSession.sparkContext
+    sent, chosen = sc.broadcast(sketch), sc.broadcast(firsts)  # SLOTS bytes each, whatever the input's size
 
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first_heavy = least_shared(light + 1, percent)  # the smallest partner of a heavy set
-        for part in slices(batches, "text"):
+        for part in slices((_marked(b, "doc_id", chosen.value) for b in batches), "text"):
             sizes, keys, weights = [], [], []
             for found, length in shingles(part.column("text"), words):
                 n, mine, count = len(found), [], []
                 if n >= 2:
-                    head = prefix(found, length, sent.value, percent)
+                    head = np.sort(prefix(found, length, sent.value, percent))
+                    often = (sent.value[(head % np.uint64(SLOTS)).astype(np.int64)] > 0).astype(np.int8) * OFTEN
                     if n <= light:
-                        head = np.sort(head)
                         i, j = np.triu_indices(len(head), 1)
                         mine.append(mix(head[i] + mix(head[j])))
-                        count.append(np.full(len(i), 2, np.int8))
+                        count.append(np.minimum(often[i], often[j]) + np.int8(2))
                     if n >= first_heavy:
                         mine.append(head)
-                        count.append(np.ones(len(head), np.int8))
+                        count.append(often + np.int8(1))
                 sizes.append(n)
                 keys.append(np.concatenate(mine) if mine else np.empty(0, np.uint64))
                 weights.append(np.concatenate(count) if count else np.empty(0, np.int8))
@@ -225,17 +230,46 @@ def sets_of(docs: DataFrame, words: int, live: np.ndarray) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(live)
 
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = pc.fill_null(batch.column("doc_id").cast(pa.int64()), -1).to_numpy(zero_copy_only=False)
-            slot = (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(SLOTS)).astype(np.int64)
-            kept = batch.filter(pa.array(sent.value[slot] > 0))
-            for part in slices(iter([kept]), "text"):
-                sets = [found.tobytes() for found, _ in shingles(part.column("text"), words)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(sets, pa.binary())], ["id", "set"])
+        for part in slices((_marked(b, "doc_id", sent.value) for b in batches), "text"):
+            sets = [found.tobytes() for found, _ in shingles(part.column("text"), words)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(sets, pa.binary())], ["id", "set"])
 
     return docs.select("doc_id", "text").mapInArrow(of_task, "id long, set binary")
 
 
+def _marked(batch: pa.RecordBatch, column: str, slots: np.ndarray) -> pa.RecordBatch:
+    """The rows whose id lies in a marked slot; a null id does not."""
+    ids = batch.column(column).cast(pa.int64())
+    known = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    slot = (mix(known) % np.uint64(SLOTS)).astype(np.int64)
+    return batch.filter(pc.and_(ids.is_valid(), pa.array(slots[slot] > 0)))
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """Rows (g, id, n, key, w) with a neighbour of the same ``g``, and all rows of shingles seen often, in one streaming pass."""
+
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "n", "key", "w"]
+        held: pa.RecordBatch | None = None  # the last row, whose successor is not known yet
+        before = None
+        for batch in batches:
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            if not batch.num_rows:
+                continue
+            g = batch.column("g").to_numpy()
+            same = g[1:] == g[:-1]
+            kept = np.concatenate([[before is not None and g[0] == before], same])[: len(g) - 1] | same
+            kept |= batch.column("w").to_numpy()[:-1] >= OFTEN
+            yield batch.slice(0, len(g) - 1).filter(pa.array(kept)).select(names)
+            held, before = batch.slice(len(g) - 1), (g[-2] if len(g) > 1 else before)
+        if held is not None:
+            if held.column("g")[0].as_py() == before or held.column("w")[0].as_py() >= OFTEN:
+                yield held.select(names)
+
+    return rows.mapInArrow(of_task, "id long, n int, key long, w byte")
+
+
 def _live_slots(ids: DataFrame) -> np.ndarray:
     """The slots of the ids, as :func:`sets_of` looks them up."""
 
@@ -284,14 +318,13 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     firsts = sets.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     named = sets.join(firsts, ["d1", "d2"], "left")
-    copies = named.where("doc_id <> rep").select("doc_id").distinct()
-    posted = postings(docs, words, percent, sketch, light).where("size(keys) > 0 and doc_id is not null")
-    posted = posted.join(copies, "doc_id", "left_anti")
+    posted = postings(docs, words, percent, sketch, light, _live_slots(firsts.select(F.col("rep").alias("id"))))
     flat = posted.select(F.col("doc_id").alias("id"), "n", F.explode(F.arrays_zip("keys", "weights")).alias("k"))
     flat = flat.select("id", "n", F.col("k.keys").alias("key"), F.col("k.weights").alias("w"))
-    # Keys that one document alone has are of no use; what is left is small and read again in each round.
-    shared = flat.groupBy("key").count().where("count > 1").select("key")
-    live = cut(flat.join(shared, "key"))
+    # Keys that one document alone has are of no use. Those seen often need no look and are dealt out evenly.
+    g = F.when(F.col("w") >= OFTEN, F.xxhash64("key", "id")).otherwise(F.col("key")).alias("g")
+    dealt = flat.select(g, "id", "n", "key", "w").repartition("g").sortWithinPartitions("g")
+    live = cut(_met(dealt).withColumn("w", F.expr(f"cast(w % {OFTEN} as int)")))
     vectors = cut(sets_of(docs, words, _live_slots(live.select("id").distinct())))
 
     links = None

@@ -35,7 +35,7 @@ WINDOW, STRIDE = 32, 16
 HIDDEN, INPUTS = 8, 5
 WORD_SLOTS, CHAR_SLOTS = 1 << 15, 1 << 16
 GRAMS = (3, 4, 5)
-MOST_PER_CLASS = 2000
+MOST_PER_CLASS = 1500
 EPOCHS = 12
 PARTS = 3
 AT_ONCE = 4096
@@ -100,7 +100,7 @@ def window_rows(ends: np.ndarray, pad: int, index: np.ndarray) -> tuple[np.ndarr
     at = start[:, None] + np.arange(WINDOW)
     inside = np.arange(WINDOW) < held[:, None]
     padded = np.append(index, np.int32(pad))
-    return padded[np.where(inside, at, len(index))], text, held
+    return padded[np.where(inside, at, len(index))].astype(np.int32), text, held
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -118,14 +118,16 @@ class Tables:
     def filled(cls, words: tuple, index: np.ndarray, ends: np.ndarray, labels: np.ndarray, use: np.ndarray) -> Tables:
         """Tables from the documents marked in ``use``."""
         out = cls()
-        owner = np.repeat(np.arange(len(labels)), np.diff(ends))
-        mine = use[owner]
-        pairs = np.unique(index[mine].astype(np.int64) * len(labels) + owner[mine])
-        word, doc = pairs // len(labels), pairs % len(labels)
-        part = _part_of(words, word)
-        out.words[:, 0], seen = _log_odds(words[0][word], doc, labels, use, WORD_SLOTS)
-        out.words[:, 1] = np.log1p(seen) / 5
-        out.chars[:], _ = _log_odds(part[1], np.repeat(doc, np.diff(part[2])), labels, use, CHAR_SLOTS)
+        n = {k: int((labels[use] == k).sum()) for k in (0, 1)}
+        seen = {name: np.zeros((2, size), np.int64) for name, size in (("words", WORD_SLOTS), ("chars", CHAR_SLOTS))}
+        for doc in np.flatnonzero(use):
+            word = np.unique(index[ends[doc] : ends[doc + 1]])
+            grams = _part_of(words, word)[1]
+            seen["words"][labels[doc]][np.unique(words[0][word])] += 1
+            seen["chars"][labels[doc]][np.unique(grams)] += 1
+        out.words[:, 0] = _log_odds(seen["words"], n)
+        out.words[:, 1] = np.log1p(seen["words"].sum(0)) / 5
+        out.chars[:] = _log_odds(seen["chars"], n)
         return out
 
     def vectors(self, words: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
@@ -278,15 +280,10 @@ def _part_of(words: tuple, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return word[some], grams[at], np.concatenate([[0], ends])
 
 
-def _log_odds(slots: np.ndarray, docs: np.ndarray, labels: np.ndarray, use: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Smoothed log-odds of each slot to occur in used documents labelled 1, nearer 0 the fewer have it, and their number."""
-    pairs = np.unique(slots.astype(np.int64) * len(labels) + docs)
-    slot, bad = pairs // len(labels), labels[pairs % len(labels)]
-    ones, zeros = np.bincount(slot[bad == 1], minlength=size), np.bincount(slot[bad == 0], minlength=size)
-    n1, n0 = (labels[use] == 1).sum(), (labels[use] == 0).sum()
-    odds = np.log((ones + 0.5) / (n1 + 1)) - np.log((zeros + 0.5) / (n0 + 1))
-    seen = ones + zeros
-    return (odds * seen / (seen + 3)).clip(-3, 5).astype(np.float32), seen
+def _log_odds(seen: np.ndarray, n: dict[int, int]) -> np.ndarray:
+    """Smoothed log-odds of each slot to occur in documents labelled 1, nearer 0 the fewer have it."""
+    odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
+    return (odds * seen.sum(0) / (seen.sum(0) + 3)).clip(-3, 5).astype(np.float32)
 
 
 def train(texts: list[str], labels: np.ndarray, calibrates: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> Network:
@@ -308,7 +305,8 @@ def train(texts: list[str], labels: np.ndarray, calibrates: np.ndarray, epochs:
     rows, text, held = window_rows(ends, len(words[0]), index)
     trained = np.flatnonzero(learns[text])
     vectors = np.stack(seen)
-    score = vectors[part[text][:, None], rows][:, :, [0, 2]].sum(2).max(1)
+    known = vectors[:, :, 0] + vectors[:, :, 2]
+    score = known[part[text][:, None], rows].max(1)
     mean = {k: np.zeros_like(v) for k, v in net.p.items()}
     square = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.graph import components
@@ -282,8 +282,10 @@ def _live_slots(ids: DataFrame) -> np.ndarray:
     return _bytes_of_slots(ids.mapInArrow(of_task, "slot long, level byte"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
+def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the similarity; only sets of documents in a pair are made and moved."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = sets_of(docs, words, _live_slots(ids))
 
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,16 +327,14 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     g = F.when(F.col("w") >= OFTEN, F.xxhash64("key", "id")).otherwise(F.col("key")).alias("g")
     dealt = flat.select(g, "id", "n", "key", "w").repartition("g").sortWithinPartitions("g")
     live = cut(_met(dealt).withColumn("w", F.expr(f"cast(w % {OFTEN} as int)")))
-    vectors = cut(sets_of(docs, words, _live_slots(live.select("id").distinct())))
-
     links = None
     comp = live.select("id").distinct().withColumn("component", F.col("id"))
     for turn in range(LEADER_ROUNDS):
         pairs = cut(_leader_pairs(live, comp, percent, turn))
-        found = verified(pairs, vectors, percent)
+        found = verified(docs, pairs, words, percent)
         links = cut(found if links is None else links.unionByName(found))
         comp = _with_components(live, links)
-    rest = verified(cut(_cross_pairs(live, comp, percent)), vectors, percent)
+    rest = verified(docs, cut(_cross_pairs(live, comp, percent)), words, percent)
     links = links.unionByName(rest)
     comp = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     out = named.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
@@ -342,6 +342,21 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), own)
 
 
+def _may_reach(percent: int) -> Column:
+    """Whether sets of ``na`` and ``nb`` shingles can reach the similarity, by what their prefixes share.
+
+    ``k1`` counts common list keys and ``k2`` common subset keys, so c = max(k1, (1 + sqrt(1 + 8 k2)) / 2) shingles are in
+    both prefixes. All of a set's prefix that the other holds is in the other's prefix for the set whose prefix ends
+    first, so the sets share at most c and what lies behind that prefix.
+    """
+    c = F.greatest(F.col("k1"), F.when(F.col("k2") > 0, F.floor((1 + F.sqrt(1 + 8.0 * F.col("k2"))) / 2 + 1e-6)).otherwise(0))
+    # A set of n has least_shared(n) - 2 shingles behind its prefix, the larger set has more.
+    behind = F.greatest(F.expr(f"(greatest(na, nb) * {percent} + 99) div 100 - 2"), F.lit(0))
+    needed = F.expr(f"(na + nb) * {percent} + {99 + percent}") / (100 + percent)
+    fits = F.expr(f"na * 100 >= nb * {percent} and nb * 100 >= na * {percent}")
+    return fits & (c >= 2) & (c + behind >= F.floor(needed))
+
+
 def _with_components(live: DataFrame, links: DataFrame) -> DataFrame:
     ids = live.select("id").distinct()
     comp = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
@@ -361,10 +376,10 @@ def _leader_pairs(live: DataFrame, comp: DataFrame, percent: int, turn: int) ->
     first = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "component")).alias("l")
     leaders = rows.groupBy("key", "class").agg(first)
     met = rows.join(leaders, ["key", "class"]).where("component <> l.component")
-    fits = (F.col("n") * 100 >= F.col("l.n") * percent) & (F.col("l.n") * 100 >= F.col("n") * percent)
     # A key may count for both of its classes; that lets in a few more candidates.
-    met = met.where(fits).groupBy(F.col("l.id").alias("a"), F.col("id").alias("b"))
-    met = met.agg(F.sum("w").alias("c")).where("c >= 2")
+    met = met.groupBy(F.col("l.id").alias("a"), F.col("l.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
+    met = met.agg(F.count_if(F.col("w") == 1).alias("k1"), F.count_if(F.col("w") == 2).alias("k2")).where(_may_reach(percent))
+    met = met.withColumn("c", F.col("k1") + F.col("k2"))
     best = met.groupBy("b").agg(F.max_by("a", F.struct("c", F.xxhash64("a"))).alias("a"))
     return best.select("a", "b")
 
@@ -377,4 +392,5 @@ def _cross_pairs(live: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     left = rows.select("key", "w", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
     right = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     met = left.join(right, "key").where(f"a < b and ca <> cb and na * 100 >= nb * {percent} and nb * 100 >= na * {percent}")
-    return met.groupBy("a", "b").agg(F.sum("w").alias("c")).where("c >= 2").select("a", "b")
+    met = met.groupBy("a", "na", "b", "nb").agg(F.count_if(F.col("w") == 1).alias("k1"), F.count_if(F.col("w") == 2).alias("k2"))
+    return met.where(_may_reach(percent)).select("a", "b")

@@ -114,7 +114,7 @@ def parsed_dates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", *cols, dates.parse_date(F.col("o_orderpriority")).alias("d"))
 
 
-@register("f39_retry_after", "select event_id, ceil((86400000 - epoch_ms(ts) % 86400000) / 1000.0)::bigint s from events")
+@register("f39_retry_after", "select event_id, ceil((86400000 - (epoch_us(ts) // 1000) % 86400000) / 1000.0)::bigint s from events")
 def retry(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", dates.retry_after(F.col("ts").cast("timestamp")).alias("s"))
 

@@ -216,6 +216,87 @@ QUERIES: dict[str, tuple[str, str | None]] = {
         "select event_id from (select event_id, coalesce(sum(json_extract_string(props, '$.k')::bigint) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as before from events) x where before < 1000",
     ),
     "st10_per_minute": ("select user_id, date_trunc('minute', ts) as minute, count(*) n from events group by 1, 2 having count(*) > 1", 'select user_id, date_trunc(\'minute\', ts)::timestamp as "minute", count(*) n from events group by 1, 2 having count(*) > 1'),
+    # sinks as set operations on state and change
+    "k4_insert_if_absent": (
+        "select n_nationkey k, n_name v from nation union all select c_custkey k, c_name v from customer c where not exists (select 1 from nation n where n.n_nationkey = c.c_custkey)",
+        None,
+    ),
+    "k5_upsert_replace": (
+        "select k, v from (select k, v, row_number() over (partition by k order by seq desc) rn from (select n_nationkey k, n_name v, 0 seq from nation union all select s_suppkey k, s_name v, 1 seq from supplier) x) y where rn = 1",
+        None,
+    ),
+    "k6_upsert_increment": (
+        "select k, sum(n) n from (select user_id k, 10 n from events where event_type = 'signup' union all select user_id k, 1 n from events) x group by k",
+        "select k, sum(n)::bigint n from (select user_id k, 10 n from events where event_type = 'signup' union all select user_id k, 1 n from events) x group by k",
+    ),
+    "k8_erasure": (
+        "select d.doc_id from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id and l.toxic = 1)",
+        None,
+    ),
+    "k9_cascade_delete": (
+        "select l.l_orderkey, l.l_linenumber from lineitem l where exists (select 1 from orders o join customer c on o.o_custkey = c.c_custkey where o.o_orderkey = l.l_orderkey and c.c_mktsegment <> 'BUILDING')",
+        None,
+    ),
+    "k10_replace_set": (
+        "select user_id, event_type, row_number() over (partition by user_id order by ts, event_id) - 1 pos from events where event_type in ('view', 'click')",
+        None,
+    ),
+    "k14_session_export": (
+        "select conv_id, array_join(array_sort(collect_list(lpad(cast(turn as string), 4, '0') || role)), ';') body from conversations group by conv_id",
+        "select conv_id, string_agg(lpad(turn::varchar, 4, '0') || role, ';' order by lpad(turn::varchar, 4, '0') || role) body from conversations group by conv_id",
+    ),
+    # further dataflows
+    "x6_revert_boundary": (
+        "select c.conv_id, c.turn from conversations c join (select conv_id, max(turn) b from conversations where role = 'user' group by conv_id) r on c.conv_id = r.conv_id where c.turn < r.b",
+        None,
+    ),
+    "x8_message_flattening": ("select conv_id, turn, trim(text) body from conversations where role <> 'system' and length(trim(text)) > 0", None),
+    "x12_priority_class": (
+        "select user_id, min(case event_type when 'error' then 0 when 'purchase' then 1 when 'signup' then 2 when 'click' then 3 else 4 end) area from events group by user_id",
+        None,
+    ),
+    "x13_ledger_balance": (
+        "select user_id, sum(case when event_type = 'purchase' then cast(round(value * 100) as bigint) when event_type = 'error' then -cast(round(value * 100) as bigint) else 0 end) balance from events group by user_id",
+        "select user_id, sum(case when event_type = 'purchase' then round(value * 100)::bigint when event_type = 'error' then -round(value * 100)::bigint else 0 end)::bigint balance from events group by user_id",
+    ),
+    "x15_transfer_mapping": (
+        "select o.o_orderkey, coalesce(m.k, o.o_custkey) owner from orders o left join (select c_custkey, c_custkey + 1000000 k from customer where c_mktsegment = 'BUILDING') m on o.o_custkey = m.c_custkey",
+        None,
+    ),
+    "x16_tombstones": (
+        "select user_id from (select user_id, event_type, row_number() over (partition by user_id order by ts desc, event_id desc) rn from events where event_type in ('error', 'signup')) x where rn = 1 and event_type = 'signup'",
+        None,
+    ),
+    "x18_numstat": (
+        "select event_id, coalesce(try_cast(get_json_object(props, '$.k') as int), 0) added, coalesce(try_cast('-' as int), 0) deleted from events",
+        "select event_id, coalesce(try_cast(json_extract_string(props, '$.k') as int), 0) added, coalesce(try_cast('-' as int), 0) deleted from events",
+    ),
+    "x22_fork_remap": (
+        "select c.conv_id + 1000000 conv_id, c.turn, p.turn parent from conversations c left join conversations p on c.conv_id = p.conv_id and p.turn = c.turn - 1 and p.turn < 4 where c.turn < 4",
+        None,
+    ),
+    "x23_conditional_reassign": ("select c_custkey, case when c_mktsegment = 'BUILDING' or c_acctbal < 0 then -1 else c_nationkey end project from customer", None),
+    # search, audit and review
+    "d2_3_keyword_search": (
+        "select doc_id from documents where lower(text) like '%estion%' order by doc_id limit 50",
+        None,
+    ),
+    "d2_4_vector_search": (
+        """with q as (select embedding q from embeddings where vec_id = 3), s as (select vec_id, aggregate(zip_with(embedding, q, (x, y) -> cast(x as double) * y), 0D, (a, x) -> a + x)
+            / sqrt(aggregate(embedding, 0D, (a, x) -> a + cast(x as double) * x)) / sqrt(aggregate(q, 0D, (a, x) -> a + cast(x as double) * x)) c from embeddings cross join q)
+        select vec_id, round(c, 6) score from s order by c desc, vec_id limit 10""",
+        "select vec_id, round(list_cosine_similarity(embedding::double[], q::double[]), 6) score from embeddings, (select embedding q from embeddings where vec_id = 3) order by list_cosine_similarity(embedding::double[], q::double[]) desc, vec_id limit 10",
+    ),
+    "d2_8_audit_query": ("select event_id, ts, user_id from events where event_type = 'error' order by ts desc, event_id desc limit 1000", None),
+    "d2_9_review_queue": (
+        "select doc_id, n_chars, case when n_chars = 0 then 'low' when n_chars < 1000 then 'medium' when n_chars < 3000 then 'high' else 'critical' end risk from documents where n_chars >= 2000 order by n_chars desc, doc_id limit 50",
+        None,
+    ),
+    "d4_10_reload_trigger": ("select c_custkey from customer where c_acctbal < 500 and c_mktsegment <> 'MACHINERY'", None),
+    "d4_9_billing_source": (
+        "select c_custkey, case when c_nationkey is null then 'anonymous' when c_mktsegment = 'BUILDING' then 'byok' when c_acctbal < 0 then 'free' when c_acctbal < 5000 then 'subscription' else 'balance' end src from customer",
+        None,
+    ),
 }
 
 

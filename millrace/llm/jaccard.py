@@ -36,9 +36,11 @@ from millrace.llm.tokens import slices
 SLOTS = 1 << 22
 BLOCKS = 16
 CHUNK_SHINGLES = 1 << 22
-SEEN_OFTEN = (4, 64, 1024)
+SEEN_OFTEN = tuple(4 << i for i in range(15))
 LEADER_ROUNDS = 2
 OFTEN = 64
+SIGNS = tuple(f"s{i}" for i in range(8))
+BITS = 64 * len(SIGNS)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,7 +93,7 @@ def prefix(found: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, percent: in
     """The first n - least_shared(n) + 2 shingles: rarely seen before often seen ones, then long before short ones."""
     often = sketch[(found % np.uint64(SLOTS)).astype(np.int64)].astype(np.uint64)
     short = np.uint64(31) - np.minimum(sizes // 4, 31).astype(np.uint64)
-    key = often << np.uint64(62) | short << np.uint64(57) | found >> np.uint64(7)
+    key = often << np.uint64(60) | short << np.uint64(55) | found >> np.uint64(9)
     p = min(len(found), len(found) - least_shared(len(found), percent) + 2)
     return found[np.argpartition(key, p - 1)[:p]] if p < len(found) else found
 
@@ -133,7 +135,7 @@ def summaries(docs: DataFrame, words: int) -> DataFrame:
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        names = ["doc_id", "n", "d1", "d2", "slot", "squares"]
+        names = ["doc_id", "n", "d1", "d2", *SIGNS, "slot", "squares"]
         seen: set[bytes] = set()
         chunk: list[np.ndarray] = []
         held = 0
@@ -146,11 +148,12 @@ def summaries(docs: DataFrame, words: int) -> DataFrame:
             n = np.append(times[often], times.sum())
             squares = np.append(np.zeros(len(slot), np.int64), (times.astype(np.int64) ** 2).sum())
             none = pa.nulls(len(n), pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.array(n, pa.int64()), none, none, slots, pa.array(squares)], names)
+            return pa.RecordBatch.from_arrays([none, pa.array(n, pa.int64()), *[none] * (2 + len(SIGNS)), slots, pa.array(squares)], names)
 
         for part in slices(batches, "text"):
-            sizes, digests = [], []
+            sizes, digests, signs = [], [], []
             for found, _ in shingles(part.column("text"), words):
+                signs.append(np.packbits(np.bincount((found >> np.uint64(17)).astype(np.int64) % BITS, minlength=BITS) % 2 == 1).tobytes())
                 digest = xxhash.xxh128_digest(found.tobytes())
                 sizes.append(len(found))
                 digests.append(digest)
@@ -161,6 +164,7 @@ def summaries(docs: DataFrame, words: int) -> DataFrame:
             both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             none = pa.nulls(len(sizes), pa.int64())
             columns = [part.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])]
+            columns += [pa.array(x) for x in np.frombuffer(b"".join(signs), np.int64).reshape(-1, len(SIGNS)).T.copy()]
             yield pa.RecordBatch.from_arrays([*columns, none, none], names)
             if held >= CHUNK_SHINGLES:
                 yield counted()
@@ -169,7 +173,7 @@ def summaries(docs: DataFrame, words: int) -> DataFrame:
         if held:
             yield counted()
 
-    schema = "doc_id long, n long, d1 long, d2 long, slot long, squares long"
+    schema = f"doc_id long, n long, d1 long, d2 long, {' long, '.join(SIGNS)} long, slot long, squares long"
     return docs.select("doc_id", "text").mapInArrow(of_task, schema)
 
 
@@ -308,6 +312,7 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of (doc_id, text); two texts link at ``percent`` or more."""
     told = cut(summaries(docs, words))
     sets = told.where("slot is null and squares is null").select("doc_id", "n", "d1", "d2")
+    signs = told.where("slot is null and squares is null and n > 0").select(F.col("doc_id").alias("id"), *SIGNS)
     sums = told.where("squares is not null")
     s = sums.where("slot is null").agg(F.sum("n"), F.sum("squares")).first()
     mean_list = (s[1] / s[0] - 1) if s[0] else 0.0
@@ -330,11 +335,11 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     links = None
     comp = live.select("id").distinct().withColumn("component", F.col("id"))
     for turn in range(LEADER_ROUNDS):
-        pairs = cut(_leader_pairs(live, comp, percent, turn))
+        pairs = cut(_by_signs(_leader_pairs(live, comp, percent, turn), signs, percent))
         found = verified(docs, pairs, words, percent)
         links = cut(found if links is None else links.unionByName(found))
         comp = _with_components(live, links)
-    rest = verified(docs, cut(_cross_pairs(live, comp, percent)), words, percent)
+    rest = verified(docs, cut(_by_signs(_cross_pairs(live, comp, percent), signs, percent)), words, percent)
     links = links.unionByName(rest)
     comp = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     out = named.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
@@ -342,14 +347,14 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), own)
 
 
-def _may_reach(percent: int) -> Column:
+def _may_reach(percent: int, c: Column | None = None) -> Column:
     """Whether sets of ``na`` and ``nb`` shingles can reach the similarity, by what their prefixes share.
 
     ``k1`` counts common list keys and ``k2`` common subset keys, so c = max(k1, (1 + sqrt(1 + 8 k2)) / 2) shingles are in
     both prefixes. All of a set's prefix that the other holds is in the other's prefix for the set whose prefix ends
     first, so the sets share at most c and what lies behind that prefix.
     """
-    c = F.greatest(F.col("k1"), F.when(F.col("k2") > 0, F.floor((1 + F.sqrt(1 + 8.0 * F.col("k2"))) / 2 + 1e-6)).otherwise(0))
+    c = _common("k1", "k2") if c is None else c
     # A set of n has least_shared(n) - 2 shingles behind its prefix, the larger set has more.
     behind = F.greatest(F.expr(f"(greatest(na, nb) * {percent} + 99) div 100 - 2"), F.lit(0))
     needed = F.expr(f"(na + nb) * {percent} + {99 + percent}") / (100 + percent)
@@ -357,6 +362,12 @@ def _may_reach(percent: int) -> Column:
     return fits & (c >= 2) & (c + behind >= F.floor(needed))
 
 
+def _common(k1: str, k2: str) -> Column:
+    """The number of shingles behind so many list keys and subset keys."""
+    pairs = F.when(F.col(k2) > 0, F.floor((1 + F.sqrt(1 + 8.0 * F.col(k2))) / 2 + 1e-6)).otherwise(0)
+    return F.greatest(F.col(k1), pairs)
+
+
 def _with_components(live: DataFrame, links: DataFrame) -> DataFrame:
     ids = live.select("id").distinct()
     comp = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
@@ -380,8 +391,8 @@ def _leader_pairs(live: DataFrame, comp: DataFrame, percent: int, turn: int) ->
     met = met.groupBy(F.col("l.id").alias("a"), F.col("l.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
     met = met.agg(F.count_if(F.col("w") == 1).alias("k1"), F.count_if(F.col("w") == 2).alias("k2")).where(_may_reach(percent))
     met = met.withColumn("c", F.col("k1") + F.col("k2"))
-    best = met.groupBy("b").agg(F.max_by("a", F.struct("c", F.xxhash64("a"))).alias("a"))
-    return best.select("a", "b")
+    best = met.groupBy("b", "nb").agg(F.max_by(F.struct("a", "na"), F.struct("c", F.xxhash64("a"))).alias("l"))
+    return best.select("l.a", "l.na", "b", "nb")
 
 
 def _cross_pairs(live: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
@@ -389,8 +400,26 @@ def _cross_pairs(live: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     rows = live.join(comp, "id")
     mixed = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     rows = cut(rows.join(mixed.select("key"), "key"))
-    left = rows.select("key", "w", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    met = left.join(right, "key").where(f"a < b and ca <> cb and na * 100 >= nb * {percent} and nb * 100 >= na * {percent}")
+    # No pair shares more than either of its documents has in such lists; most documents have too little for any partner.
+    each = rows.groupBy("id").agg(F.count_if(F.col("w") == 1).alias("k1"), F.count_if(F.col("w") == 2).alias("k2"))
+    rows = rows.join(each.select("id", _common("k1", "k2").alias("c")), "id")
+    left, right = (rows.select("key", "w", *[F.col(x).alias(y + k) for x, y in (("id", ""), ("n", "n"), ("component", "c"), ("c", "most_"))]) for k in "ab")
+    reach = _may_reach(percent, F.least("most_a", "most_b"))
+    met = left.join(right.drop("w"), "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & reach)
     met = met.groupBy("a", "na", "b", "nb").agg(F.count_if(F.col("w") == 1).alias("k1"), F.count_if(F.col("w") == 2).alias("k2"))
-    return met.where(_may_reach(percent)).select("a", "b")
+    return met.where(_may_reach(percent)).select("a", "na", "b", "nb")
+
+
+def _by_signs(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that can still be similar by their parities.
+
+    Each of BITS bits is the parity of the shingles that fall on it, so two sets differ in at least as many shingles as
+    their bits differ; similar sets of na and nb shingles differ in at most (na + nb)(1 - t) / (1 + t).
+    """
+    both = pairs
+    for k in "ab":
+        both = both.join(signs.select(F.col("id").alias(k), *[F.col(x).alias(k + x) for x in SIGNS]), k)
+    apart = F.lit(0)
+    for x in SIGNS:
+        apart = apart + F.bit_count(F.col(f"a{x}").bitwiseXOR(F.col(f"b{x}")))
+    return both.where(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")

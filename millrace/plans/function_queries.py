@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import dates, numbers, text
+from millrace.functions import dates, markup, numbers, text
 from millrace.plans.registry import register
 from millrace.sources.tables import table
 
@@ -189,3 +189,15 @@ def backoff(spark: SparkSession, d: str) -> DataFrame:
 @register("x24_hashes", "select p_partkey, sha256(p_name) sha, rtrim(translate(to_base64(p_name::blob), '+/=', '-_ ')) b64 from part")
 def hashes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.sha2("p_name", 256).alias("sha"), text.base64url(F.col("p_name").cast("binary")).alias("b64"))
+
+
+def _html_sql() -> str:
+    out = "html"
+    for tag in markup.SKIPPED:
+        out = rf"regexp_replace({out}, '(?is)<{tag}(\s[^>]*)?>.*?</{tag}\s*>', '', 'g')"
+    return rf"select page_id, trim(regexp_replace({out}, '(?s)<[^>]*>', '', 'g')) t from pages"
+
+
+@register("f14_html_text", _html_sql())
+def html_texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", markup.html_text(F.col("html")).alias("t"))

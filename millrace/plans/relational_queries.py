@@ -297,6 +297,29 @@ QUERIES: dict[str, tuple[str, str | None]] = {
         "select c_custkey, case when c_nationkey is null then 'anonymous' when c_mktsegment = 'BUILDING' then 'byok' when c_acctbal < 0 then 'free' when c_acctbal < 5000 then 'subscription' else 'balance' end src from customer",
         None,
     ),
+    "x4_line_diff": (
+        r"""with a as (select i, x from (select posexplode(split(text, '\n')) as (i, x) from documents where doc_id = 0) q), b as (select i, x from (select posexplode(split(text, '\n')) as (i, x) from documents where doc_id = 1) q)
+        select coalesce(a.i, b.i) line, a.x old_line, b.x new_line from a full outer join b on a.i = b.i where not (a.x <=> b.x)""",
+        """with a as (select generate_subscripts(string_split(text, chr(10)), 1) - 1 i, unnest(string_split(text, chr(10))) x from documents where doc_id = 0),
+        b as (select generate_subscripts(string_split(text, chr(10)), 1) - 1 i, unnest(string_split(text, chr(10))) x from documents where doc_id = 1)
+        select coalesce(a.i, b.i)::int line, a.x old_line, b.x new_line from a full outer join b on a.i = b.i where a.x is distinct from b.x""",
+    ),
+    "x9_tree_prefixes": (
+        "select prefix, count(*) n from (select explode(transform(sequence(1, size(p)), i -> array_join(slice(p, 1, i), '/'))) prefix from (select split(regexp_extract(url, '://([^?#]*)', 1), '/') p from pages) q) r group by prefix",
+        "select prefix, count(*) n from (select unnest([array_to_string(p[1:i], '/') for i in range(1, len(p) + 1)]) prefix from (select string_split(regexp_extract(url, '://([^?#]*)', 1), '/') p from pages)) group by prefix",
+    ),
+    "x11_cancelled_pairs": (
+        "select user_id, event_type from events where event_type in ('signup', 'error') group by user_id, event_type having count(*) % 2 = 1",
+        None,
+    ),
+    "f72_text_slots": (
+        "select conv_id, turn, row_number() over (partition by conv_id order by turn) - 1 slot, text from conversations where text is not null and text <> ''",
+        None,
+    ),
+    "f70_json_extract": (
+        "select event_id, cast(get_json_object(props, '$.k') as int) k from events where cast(get_json_object(props, '$.k') as int) > 50",
+        "select event_id, json_extract_string(props, '$.k')::int k from events where json_extract_string(props, '$.k')::int > 50",
+    ),
 }
 
 

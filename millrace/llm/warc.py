@@ -35,9 +35,7 @@ def uuid_of(*parts: Column) -> Column:
 
 def plain_text(html: Column) -> Column:
     """The readable text: hidden elements and comments go, block elements end lines, entities are decoded."""
-    t = F.regexp_replace(html, r"(?s)<!--.*?(-->|\z)", " ")
-    for tag in HIDDEN:
-        t = F.regexp_replace(t, rf"(?is)<{tag}(\s[^>]*)?>.*?(</{tag}\s*>|\z)", " ")
+    t = F.regexp_replace(html, rf"(?is)<!--.*?(-->|\z)|<({'|'.join(HIDDEN)})(\s[^>]*)?>.*?(</\2\s*>|\z)", " ")
     t = F.regexp_replace(t, rf"(?i)</?({BREAKS})(\s[^>]*|/)?>", "\n")
     t = F.regexp_replace(t, r"<[a-zA-Z/!?][^>]*>", "")
     for name, char in ENTITIES:

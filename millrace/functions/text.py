@@ -141,20 +141,19 @@ def chunks(text: Column, size: int = 400, overlap: int = 50) -> Column:
     step = max(size - overlap, 1)
     pieces = F.regexp_extract_all(text, F.lit(r"(?s)\S+\s*"), F.lit(0))
     lead = F.length(F.regexp_extract(text, r"^\s*", 0))
-    n = F.size(pieces)
-    ends = F.aggregate(
-        pieces,
-        F.array(lead),
-        lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))),
-    )
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step))
-    windows = F.transform(
-        starts,
-        lambda s, i: F.struct(
-            i.alias("chunk_idx"),
-            F.get(ends, s).alias("chunk_offset"),
-            F.array_join(F.slice(pieces, s + 1, size), "").alias("chunk_text"),
-        ),
-    )
-    whole = F.array(F.struct(F.lit(0).alias("chunk_idx"), F.lit(0).alias("chunk_offset"), text.alias("chunk_text")))
-    return F.when(n <= size, whole).otherwise(windows)
+
+    def windows(p: Column) -> Column:
+        whole = F.array(F.struct(F.lit(0).alias("chunk_idx"), F.lit(0).alias("chunk_offset"), text.alias("chunk_text")))
+        starts = F.sequence(F.lit(0), F.greatest(F.size(p) - 1, F.lit(0)), F.lit(step))
+        cut = F.transform(
+            starts,
+            lambda s, i: F.struct(
+                i.alias("chunk_idx"),
+                (lead + F.length(F.array_join(F.slice(p, F.lit(1), s), ""))).alias("chunk_offset"),
+                F.array_join(F.slice(p, s + 1, size), "").alias("chunk_text"),
+            ),
+        )
+        return F.when(F.size(p) <= size, whole).otherwise(cut)
+
+    # The words are bound once, so that windows do not split the text again.
+    return F.transform(F.array(pieces), windows)[0]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import jaccard, mixing, packing, quality, toxicity
 from millrace.llm.queries import vocabulary
-from millrace.llm.store import cut, new_path
+from millrace.llm.store import cut, new_path, with_row_key
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,19 +27,25 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id."""
-    groups = cut(jaccard.similar(docs, words=5, percent=80).select("doc_id", "component_id"))
-    gone = groups.where("doc_id <> component_id").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    # Rows are compared once more only where ids repeat, as that deals out all texts.
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    """One document of each group of near copies stays: the one with the smallest id; null ids come last.
+
+    Rows are told apart by a key of their own, so null and repeated ids do not touch other documents.
+    """
+    keyed = with_row_key(docs)
+    named = keyed.select(F.col("__row").alias("doc_id"), "text")
+    groups = cut(jaccard.similar(named, words=5, percent=80).select(F.col("doc_id").alias("__row"), "component_id"))
+    ids = groups.join(keyed.select("__row", "doc_id"), "__row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("f")
+    stay = ids.groupBy("component_id").agg(first).select("f.__row")
+    gone = cut(groups.select("__row").join(stay, "__row", "left_anti"))
+    return keyed.join(gone, "__row", "left_anti").select(docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mixture, so that files and the rows in them follow it."""
-    places = mixing.mix(docs.select("doc_id", "source")).select("doc_id", "slot", "in_block")
-    placed = docs.join(places, "doc_id")
+    keyed = with_row_key(docs)
+    places = mixing.mix(keyed.select("__row", "source"), key="__row").select("__row", "slot", "in_block")
+    placed = keyed.join(places, "__row")
     return placed.repartitionByRange("slot").sortWithinPartitions("slot", "in_block").select(docs.columns)
 
 

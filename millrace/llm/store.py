@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,3 +38,23 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def with_row_key(docs: DataFrame, name: str = "__row") -> DataFrame:
+    """The rows with a key of their own, whatever their ids: the number of their Parquet file and their place in it.
+
+    The key is read from files, so a task that runs again gives the same one. A table that is not a plain scan of
+    Parquet files is written first. One row for each file reaches the driver.
+    """
+    spark = docs.sparkSession
+    plan = docs._jdf.queryExecution().analyzed()
+    plain = plan.getClass().getSimpleName() == "LogicalRelation" and "parquet" in plan.toString().lower()
+    if not plain:
+        path = new_path(spark, "rows")
+        docs.write.parquet(path)
+        docs = spark.read.parquet(path)
+    files = sorted(r[0] for r in docs.select(F.col("_metadata.file_path")).distinct().collect())
+    numbers = spark.createDataFrame(list(enumerate(files)), "__file long, __path string")
+    placed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__at"))
+    keyed = placed.join(F.broadcast(numbers), "__path")
+    return keyed.select(*[F.col(f"`{c}`") for c in docs.columns], F.expr("shiftleft(__file, 40) + __at").alias(name))

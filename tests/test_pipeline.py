@@ -1,0 +1,69 @@
+"""The stages of the pipeline on null ids and on repeated ids with equal and with different texts."""
+
+from collections import Counter
+
+import pytest
+
+import corpus_pipeline
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(k):
+    return "\n".join(" ".join(f"word{k}n{i}l{j} and" for i in range(12)) + " ends here." for j in range(4))
+
+
+def rows():
+    """(doc_id, text): one id with equal texts, one with different texts, a copy under another id, null ids."""
+    copied = prose(1)
+    found = [(1, copied), (1, copied), (2, prose(2)), (2, prose(3)), (3, prose(4)), (3, copied)]
+    found += [(None, prose(5)), (None, prose(6)), (None, prose(6)), (None, copied)]
+    found += [(k, prose(k)) for k in range(10, 30)]
+    return [(i, t, "en", None if k % 7 == 3 else f"s{k % 3}", len(t)) for k, (i, t) in enumerate(found)]
+
+
+@pytest.fixture(params=["files", "memory"])
+def docs(spark, request, tmp_path):
+    df = spark.createDataFrame(rows(), SCHEMA).repartition(3)
+    if request.param == "memory":
+        return df
+    df.write.parquet(str(tmp_path / "docs"))
+    return spark.read.parquet(str(tmp_path / "docs"))
+
+
+def pairs(df):
+    return Counter((r.doc_id, r.text) for r in df.collect())
+
+
+def test_one_of_each_group(spark, docs):
+    out = corpus_pipeline.one_of_each_group(spark, docs, "")
+    assert out.columns == docs.columns
+    # One row of each text, under its smallest id; different texts under one id stay.
+    best = {}
+    for i, t, *_ in rows():
+        best[t] = min(best.get(t, (True, 0)), (i is None, i or 0))
+    assert pairs(out) == Counter((None if none else i, t) for t, (none, i) in best.items())
+
+
+def test_mixed_sources(spark, docs):
+    out = corpus_pipeline.mixed_sources(spark, docs, "")
+    assert out.columns == docs.columns
+    assert pairs(out) == Counter((i, t) for i, t, *_ in rows())
+
+
+def test_quality_rules(spark, docs):
+    assert Counter(r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, "").collect()) == Counter(r[0] for r in rows())
+
+
+def test_packed(spark, docs):
+    out = corpus_pipeline.packed(spark, docs, "").where("start = 0").collect()
+    assert Counter(r.doc_id for r in out) == Counter(r[0] for r in rows())
+
+
+def test_without_toxic(spark, docs, tmp_path):
+    texts = [(100 + k, (prose(k) if k % 2 else "scum filth idiot " * 9), "en", "s0", 9) for k in range(40)]
+    spark.createDataFrame([(100 + k, 1, 1 - k % 2) for k in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    both = docs.unionByName(spark.createDataFrame(texts, SCHEMA))
+    out = corpus_pipeline.without_toxic(spark, both, str(tmp_path))
+    assert out.columns == docs.columns
+    assert pairs(out.where("doc_id is null or doc_id < 100")) == Counter((i, t) for i, t, *_ in rows())

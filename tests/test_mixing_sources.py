@@ -1,0 +1,33 @@
+"""Mixing more sources than are planned one by one."""
+
+from collections import Counter, defaultdict
+
+import pytest
+
+from millrace.llm import mixing
+
+
+def test_many_sources_stay_whole(spark):
+    rows = [(i, f"h{i % 700}" if i % 701 else None) for i in range(3000)] + [(i, "big") for i in range(3000, 4000)] + [(None, "h1"), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string")
+    for weights in (None, {"big": 3.0, "h5": 1.0, None: 0.5}):
+        got = mixing.mix(frame, weights, block_rows=2).collect()
+        assert Counter((r.doc_id, r.source) for r in got) == Counter(rows)
+        assert len({(r.slot, r.in_block) for r in got}) == len(rows)
+        blocks = defaultdict(set)
+        for r in got:
+            blocks[r.slot].add((r.source, r.block))
+        assert set(blocks) == set(range(len(blocks))) and all(len(b) == 1 for b in blocks.values())
+        last = {}
+        for slot in range(len(blocks)):
+            source, block = next(iter(blocks[slot]))
+            assert block == last.get(source, -1) + 1
+            last[source] = block
+
+
+@pytest.mark.parametrize("n", [500, 501])
+def test_sources_at_the_bound(spark, n):
+    rows = [(i, f"h{i % n}") for i in range(2 * n)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block_rows=1).collect()
+    assert Counter((r.doc_id, r.source) for r in got) == Counter(rows)
+    assert {r.slot for r in got} == set(range(2 * n))

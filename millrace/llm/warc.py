@@ -33,9 +33,23 @@ def uuid_of(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
+# A title ends at its end tag and before the end of the head. A head ends at its end tag or where a body begins; with
+# neither, it is the elements that stand in a head only. Repeats are possessive, so long pages need no deep stack.
+_TITLE = r"<title(?:\s[^>]*)?>[^<]*+(?:<(?!/title|/head)[^<]*+)*+</title\s*>"
+_HEAD = (
+    rf"<head(?:\s[^>]*)?>(?:[^<]++|{_TITLE}|<(?!/head\s*>|body[\s/>]))*+(?:</head\s*>|(?=<body[\s/>]))"
+    rf"|<head(?:\s[^>]*)?>(?:\s++|{_TITLE}|<(?:meta|link|base)(?:\s[^>]*)?>)*+"
+)
+
+
 def plain_text(html: Column) -> Column:
-    """The readable text: hidden elements and comments go, block elements end lines, entities are decoded."""
-    t = F.regexp_replace(html, rf"(?is)<!--.*?(-->|\z)|<({'|'.join(HIDDEN)})(\s[^>]*)?>.*?(</\2\s*>|\z)", " ")
+    """The readable text: hidden elements and comments go, block elements end lines, entities are decoded.
+
+    A hidden element without an end tag loses its tag only. Scripts and styles go first, as they may quote other tags.
+    """
+    raw, others = "|".join(HIDDEN[:2]), "|".join(HIDDEN[2:-1])
+    t = F.regexp_replace(html, rf"(?is)<!--.*?(-->|\z)|<({raw})(\s[^>]*)?>.*?</\2\s*>", " ")
+    t = F.regexp_replace(t, rf"(?is)<({others})(\s[^>]*)?>.*?</\1\s*>|{_HEAD}", " ")
     t = F.regexp_replace(t, rf"(?i)</?({BREAKS})(\s[^>]*|/)?>", "\n")
     t = F.regexp_replace(t, r"<[a-zA-Z/!?][^>]*>", "")
     for name, char in ENTITIES:

@@ -79,8 +79,12 @@ def spans_of(text: Column, category: str, pattern: str, rule: int = 0) -> Column
         span = F.struct(a["at"].alias("start"), end.alias("end"), F.lit(category).alias("category"), value.alias("value"), F.lit(rule).alias("rule"))
         return F.struct((end + F.length(rest)).alias("at"), F.concat(a["spans"], F.array(span)).alias("spans"))
 
-    first = F.struct(F.length(F.get(marked, F.lit(0))).alias("at"), F.array().cast(SPAN).alias("spans"))
-    return F.aggregate(F.slice(marked, F.lit(2), F.size(marked)), first, step, lambda a: a["spans"])
+    def read(m: Column) -> Column:
+        first = F.struct(F.length(F.get(m, F.lit(0))).alias("at"), F.array().cast(SPAN).alias("spans"))
+        return F.aggregate(F.slice(m, F.lit(2), F.size(m)), first, step, lambda a: a["spans"])
+
+    # Bound once, so that the pattern runs once over each text.
+    return F.transform(F.array(marked), read)[0]
 
 
 def detect(text: Column, patterns=LEGAL + STRUCTURED) -> Column:
@@ -161,19 +165,26 @@ def rewrite(text: Column, replacements: Column) -> Column:
 
 
 def anonymize(docs: DataFrame, profile: str = "max", patterns=LEGAL, key: str = "doc_id") -> DataFrame:
-    """(key, text, pii_count, token_map): each document rewritten as one session."""
-    found = docs.select(F.col(key).alias("session"), "text", dedup(detect(F.col("text"), patterns)).alias("spans"))
-    rows = treated(found.select("session", F.inline("spans")).drop("rule"), profile)
+    """(key, text, pii_count, token_map): each document rewritten as one session.
+
+    A session is told by its key and its text, so null keys are treated too and texts under one key stay apart; equal
+    rows have equal spans, which count once.
+    """
+    session = F.struct(F.col(key).alias("key"), F.xxhash64("text").alias("hash"), F.length("text").alias("length"))
+    found = docs.select(session.alias("session"), "text")
+    # The outer form adds no filter on the spans and so detects once; the count comes from the rows.
+    spans = found.select("session", F.inline_outer(dedup(detect(F.col("text"), patterns)))).where("start is not null")
+    rows = treated(spans.drop("rule"), profile)
     per = rows.groupBy("session").agg(
-        F.array_sort(F.collect_list(F.struct("start", "end", "replacement"))).alias("r"),
+        F.array_sort(F.array_distinct(F.collect_list(F.struct("start", "end", "replacement")))).alias("r"),
         F.array_distinct(F.collect_list(F.when(F.col("mapped"), F.struct(F.col("replacement").alias("token"), "value")))).alias("m"),
     )
-    out = found.select("session", "text", F.size("spans").cast("long").alias("pii_count")).join(per, "session", "left")
+    out = found.join(per, "session", "left")
     none = F.array().cast("array<struct<start int, end int, replacement string>>")
     return out.select(
-        F.col("session").alias(key),
+        F.col("session.key").alias(key),
         rewrite(F.col("text"), F.coalesce("r", none)).alias("text"),
-        "pii_count",
+        F.coalesce(F.size("r"), F.lit(0)).cast("long").alias("pii_count"),
         F.coalesce(F.map_from_entries("m"), F.create_map().cast("map<string,string>")).alias("token_map"),
     )
 
@@ -183,7 +194,7 @@ def vault(docs: DataFrame, patterns=STRUCTURED, key: str = "doc_id") -> DataFram
 
     Values are reduced to one row each before they are numbered within their category.
     """
-    spans = docs.select(F.col(key).alias("doc"), F.inline(dedup(detect(F.col("text"), patterns))))
+    spans = docs.select(F.col(key).alias("doc"), F.inline_outer(dedup(detect(F.col("text"), patterns)))).where("start is not null")
     firsts = spans.groupBy("category", "value").agg(F.min(F.struct("doc", "start")).alias("at"))
     nr = F.row_number().over(Window.partitionBy("category").orderBy("at"))
     base = F.create_map(*[F.lit(x) for kv in PLACEHOLDERS.items() for x in kv])[F.col("category")]

@@ -58,6 +58,34 @@ def vault(spark: SparkSession, d: str) -> DataFrame:
     return p.vault(table(spark, d, "documents"), (EMAIL,))
 
 
+# Dates before phone numbers: the phone pattern matches a whole date too, and of equal spans the earlier rule stays.
+ALL = p.LEGAL + (p.STRUCTURED[3], *p.STRUCTURED[:3])
+
+
+@register("d1_4_treat_all")
+def treat_all(spark: SparkSession, d: str) -> DataFrame:
+    """All documents with all patterns under a profile that masks, keeps, generalizes, gives pseudonyms and relativizes."""
+    out = p.anonymize(table(spark, d, "documents"), "litige", ALL)
+    return out.select("doc_id", "text", "pii_count", F.size("token_map").alias("tokens"))
+
+
+@register("d1_5_mask_all")
+def mask_all(spark: SparkSession, d: str) -> DataFrame:
+    return p.anonymize(table(spark, d, "documents"), "max", ALL).select("doc_id", "text", "pii_count")
+
+
+@register("d1_8_round_trip_all")
+def round_trip_all(spark: SparkSession, d: str) -> DataFrame:
+    """Texts masked with all patterns and restored are the documents again."""
+    out = p.anonymize(table(spark, d, "documents"), "max", ALL)
+    return out.select("doc_id", p.restore(F.col("text"), F.col("token_map")).alias("text"))
+
+
+@register("d1_9_vault_all")
+def vault_all(spark: SparkSession, d: str) -> DataFrame:
+    return p.vault(table(spark, d, "documents"), ALL)
+
+
 @register("d1_15_profiles", "select * from (values " + ", ".join(f"('{x}', 30)" for x in p.PROFILES) + ") v(profile, treatment_count)")
 def profiles(spark: SparkSession, d: str) -> DataFrame:
     rows = [(x, c) for x in p.PROFILES for c in p.TREATMENTS]

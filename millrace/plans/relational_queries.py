@@ -194,6 +194,7 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "o4_cursor_page": ("select event_id, ts from events where ts < timestamp '2024-01-10 00:00:00' order by ts desc, event_id desc limit 51", None),
     "o8_top_by_score": ("select l_orderkey, l_linenumber from lineitem order by l_extendedprice desc, l_orderkey, l_linenumber limit 20", None),
     "o13_multi_sort": ("select s_suppkey, s_nationkey from supplier order by s_nationkey, s_name limit 200", None),
+    "o13_multi_sort_all": ("select s_suppkey, s_nationkey from supplier order by s_nationkey, s_name", None),
     # set operations
     "t1_union_distinct": ("select c_nationkey k from customer union select s_nationkey k from supplier order by k", None),
     "t2_merge_last_wins": (
@@ -287,6 +288,15 @@ QUERIES: dict[str, tuple[str, str | None]] = {
         select vec_id, round(c, 6) score from s order by c desc, vec_id limit 10""",
         "select vec_id, round(list_cosine_similarity(embedding::double[], q::double[]), 6) score from embeddings, (select embedding q from embeddings where vec_id = 3) order by list_cosine_similarity(embedding::double[], q::double[]) desc, vec_id limit 10",
     ),
+    "d2_4_vector_search_all": (
+        """with e as (select vec_id, v, sqrt(aggregate(v, 0D, (a, x) -> a + x * x)) n from (select vec_id, transform(embedding, x -> cast(x as double)) v from embeddings) x),
+        q as (select vec_id query_id, v qv, n qn from e where vec_id % 100 = 0),
+        s as (select query_id, vec_id, aggregate(zip_with(v, qv, (x, y) -> x * y), 0D, (a, x) -> a + x) / n / qn c from e cross join q)
+        select query_id, vec_id, round(c, 6) score from (select *, row_number() over (partition by query_id order by c desc, vec_id) k from s) x where k <= 10""",
+        """with q as (select vec_id query_id, embedding::double[] q from embeddings where vec_id % 100 = 0),
+        s as (select query_id, vec_id, list_cosine_similarity(embedding::double[], q) c from embeddings, q)
+        select query_id, vec_id, round(c, 6) score from (select *, row_number() over (partition by query_id order by c desc, vec_id) k from s) x where k <= 10""",
+    ),
     "d2_8_audit_query": ("select event_id, ts, user_id from events where event_type = 'error' order by ts desc, event_id desc limit 1000", None),
     "d2_9_review_queue": (
         "select doc_id, n_chars, case when n_chars = 0 then 'low' when n_chars < 1000 then 'medium' when n_chars < 3000 then 'high' else 'critical' end risk from documents where n_chars >= 2000 order by n_chars desc, doc_id limit 50",
@@ -304,6 +314,14 @@ QUERIES: dict[str, tuple[str, str | None]] = {
         b as (select generate_subscripts(string_split(text, chr(10)), 1) - 1 i, unnest(string_split(text, chr(10))) x from documents where doc_id = 1)
         select coalesce(a.i, b.i)::int line, a.x old_line, b.x new_line from a full outer join b on a.i = b.i where a.x is distinct from b.x""",
     ),
+    "x4_line_diff_all": (
+        r"""with p as (select a.doc_id, coalesce(split(a.text, '\n'), array()) x, coalesce(split(b.text, '\n'), array()) y from documents a join documents b on b.doc_id = a.doc_id + 1),
+        l as (select doc_id, posexplode(arrays_zip(x, y)) as (line, z) from p)
+        select doc_id, line, z.x old_line, z.y new_line from l where not (z.x <=> z.y)""",
+        """with p as (select a.doc_id, coalesce(string_split(a.text, chr(10)), []) x, coalesce(string_split(b.text, chr(10)), []) y from documents a join documents b on b.doc_id = a.doc_id + 1),
+        l as (select doc_id, x, y, unnest(range(greatest(len(x), len(y))))::int line from p)
+        select doc_id, line, x[line + 1] old_line, y[line + 1] new_line from l where x[line + 1] is distinct from y[line + 1]""",
+    ),
     "x9_tree_prefixes": (
         "select prefix, count(*) n from (select explode(transform(sequence(1, size(p)), i -> array_join(slice(p, 1, i), '/'))) prefix from (select split(regexp_extract(url, '://([^?#]*)', 1), '/') p from pages) q) r group by prefix",
         "select prefix, count(*) n from (select unnest([array_to_string(p[1:i], '/') for i in range(1, len(p) + 1)]) prefix from (select string_split(regexp_extract(url, '://([^?#]*)', 1), '/') p from pages)) group by prefix",

@@ -9,14 +9,21 @@ enumerating costs no more than scanning, by the measured mean length of a list.
 The order puts shingles seen often late (a sketch of fixed size, filled from all texts), then short ones, so prefixes
 hold what few texts share. It decides the cost only; any order finds all links.
 
-Links are wanted up to components, so a group of near copies needs no pair of all its members: each list and size
-class has one leader, a member is compared with the leader it meets most, and what is then in one component is not
-compared again. A last pass compares all remaining pairs that meet twice across components, so no link between
-components is lost. Equal sets are one node throughout. Candidates are compared by their whole sets of 64-bit hashes.
+Links are wanted up to components, so a group of near copies needs no pair of all its members: each list has one
+leader, a member is compared with the leader it meets most, and what is then in one component is not compared again.
+In the last pass, every list that still holds two components has the member with most common prefix elements as its
+leader, and each member goes to the ball of every leader it meets; two sets that meet in a list share a ball. A small
+ball compares its members across components. In a ball with more pairs than shingles, sets are told by their
+differences from the leader: for sets S, B and differences dS, dB from leader L, the sizes of S xor B and of dS xor dB
+are the same, so similar sets that the leader does not link already must share at least half of the smaller
+difference; elements of one difference alone are of no use, and the same prefix rule as before, now on the
+differences, finds all pairs left. No link between components is lost. Equal sets are one node throughout. Candidates
+are compared by their whole sets of 64-bit hashes.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; fewer words than a shingle give one
-shingle of them all; repeated rows are linked with each other; an empty table gives no rows; further columns are
-ignored; a null doc_id is kept as a row of its own and stands in no link.
+shingle of them all; repeated rows are linked with each other; rows with one doc_id and different texts count as one
+document in components (n_shingles is that of each row); an empty table gives no rows; further columns are ignored; a
+null doc_id is kept as a row of its own and stands in no link.
 """
 
 from __future__ import annotations
@@ -26,18 +33,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.graph import components
-from millrace.llm.store import cut
+from millrace.llm.store import cut, narrow_batches
 from millrace.llm.tokens import slices
 
 SLOTS = 1 << 22
 BLOCKS = 16
-CHUNK_SHINGLES = 1 << 22
+CHUNK_SHINGLES = 1 << 20
+SAMPLED = 128
+SAMPLED_LEAST = 3
 SEEN_OFTEN = tuple(4 << i for i in range(15))
 LEADER_ROUNDS = 2
+HEAVY_BALL = 2.0
 OFTEN = 64
 SIGNS = tuple(f"s{i}" for i in range(8))
 BITS = 64 * len(SIGNS)
@@ -129,26 +139,32 @@ def summaries(docs: DataFrame, words: int) -> DataFrame:
     """One pass over the texts. Rows with a ``doc_id`` hold a set's size and digest; others count shingles in a chunk.
 
     A chunk is a bounded number of shingles. Of its distinct sets it reports shingles in at least SEEN_OFTEN[0] of
-    them (``slot`` and ``n``), and in a row without slot the sums that give the mean length of a list.
+    them (``slot`` and ``n``), and in a row without slot the sums that give the mean length of a list. Shingles that
+    are spread thinly over many chunks show in ``sampled``: their number in one of SAMPLED sets, chosen by digest.
+    These counts decide the order and the dealing of shingles only, never which links are found.
     """
 
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        names = ["doc_id", "n", "d1", "d2", *SIGNS, "slot", "squares"]
+        names = ["doc_id", "n", "d1", "d2", *SIGNS, "slot", "squares", "sampled"]
         seen: set[bytes] = set()
         chunk: list[np.ndarray] = []
+        some: list[np.ndarray] = [np.empty(0, np.uint64)]
         held = 0
 
         def counted() -> pa.RecordBatch:
             found, times = np.unique(np.concatenate(chunk), return_counts=True)
             often = times >= SEEN_OFTEN[0]
             slot = (found[often] % np.uint64(SLOTS)).astype(np.int64)
-            slots = pa.concat_arrays([pa.array(slot, pa.int64()), pa.nulls(1, pa.int64())])
-            n = np.append(times[often], times.sum())
-            squares = np.append(np.zeros(len(slot), np.int64), (times.astype(np.int64) ** 2).sum())
+            thin, few = np.unique(np.concatenate(some) % np.uint64(SLOTS), return_counts=True)
+            slots = pa.concat_arrays([pa.array(slot, pa.int64()), pa.array(thin.astype(np.int64)), pa.nulls(1, pa.int64())])
+            n = np.concatenate([times[often], np.zeros(len(thin), np.int64), [times.sum()]])
+            squares = np.append(np.zeros(len(n) - 1, np.int64), (times.astype(np.int64) ** 2).sum())
+            sampled = np.concatenate([np.zeros(len(slot), np.int64), few, [0]])
             none = pa.nulls(len(n), pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.array(n, pa.int64()), *[none] * (2 + len(SIGNS)), slots, pa.array(squares)], names)
+            own = [slots, pa.array(squares), pa.array(sampled)]
+            return pa.RecordBatch.from_arrays([none, pa.array(n, pa.int64()), *[none] * (2 + len(SIGNS)), *own], names)
 
         for part in slices(batches, "text"):
             sizes, digests, signs = [], [], []
@@ -160,20 +176,22 @@ def summaries(docs: DataFrame, words: int) -> DataFrame:
                 if len(found) and digest not in seen:
                     seen.add(digest)
                     chunk.append(found)
+                    if digest[0] % SAMPLED == 0:
+                        some.append(found)
                     held += len(found)
             both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             none = pa.nulls(len(sizes), pa.int64())
             columns = [part.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])]
             columns += [pa.array(x) for x in np.frombuffer(b"".join(signs), np.int64).reshape(-1, len(SIGNS)).T.copy()]
-            yield pa.RecordBatch.from_arrays([*columns, none, none], names)
+            yield pa.RecordBatch.from_arrays([*columns, none, none, none], names)
             if held >= CHUNK_SHINGLES:
                 yield counted()
                 seen.clear()
-                chunk, held = [], 0
+                chunk, some, held = [], [np.empty(0, np.uint64)], 0
         if held:
             yield counted()
 
-    schema = f"doc_id long, n long, d1 long, d2 long, {' long, '.join(SIGNS)} long, slot long, squares long"
+    schema = f"doc_id long, n long, d1 long, d2 long, {' long, '.join(SIGNS)} long, slot long, squares long, sampled long"
     return docs.select("doc_id", "text").mapInArrow(of_task, schema)
 
 
@@ -187,11 +205,22 @@ def boundary(mean_list: float, percent: int) -> int:
         n += 1
 
 
+def dealt_level(sketch: np.ndarray) -> int:
+    """The least level from which shingles are dealt out evenly: at most one slot of 16 may be marked by it.
+
+    With more slots marked, shingles that are not seen often would be taken for such; a shingle of a lower level has
+    rows for few tasks only by comparison with the number of slots.
+    """
+    marked = np.bincount(sketch, minlength=len(SEEN_OFTEN) + 1)[::-1].cumsum()[::-1]
+    return next((k for k in range(1, len(marked)) if marked[k] <= SLOTS // 16), len(marked))
+
+
 def postings(docs: DataFrame, words: int, percent: int, sketch: np.ndarray, light: int, firsts: np.ndarray) -> DataFrame:
     """(doc_id, n, keys, weights) for the documents in slots marked in ``firsts`` (a few others may come along).
 
     Subset keys count for two common elements, list keys for one; OFTEN is added for shingles known to be seen often.
     """
+    least = dealt_level(sketch)
     sc = docs.sparkSession.sparkContext
     sent, chosen = sc.broadcast(sketch), sc.broadcast(firsts)  # SLOTS bytes each, whatever the input's size
 
@@ -203,7 +232,7 @@ def postings(docs: DataFrame, words: int, percent: int, sketch: np.ndarray, ligh
                 n, mine, count = len(found), [], []
                 if n >= 2:
                     head = np.sort(prefix(found, length, sent.value, percent))
-                    often = (sent.value[(head % np.uint64(SLOTS)).astype(np.int64)] > 0).astype(np.int8) * OFTEN
+                    often = (sent.value[(head % np.uint64(SLOTS)).astype(np.int64)] >= least).astype(np.int8) * OFTEN
                     if n <= light:
                         i, j = np.triu_indices(len(head), 1)
                         mine.append(mix(head[i] + mix(head[j])))
@@ -286,10 +315,20 @@ def _live_slots(ids: DataFrame) -> np.ndarray:
     return _bytes_of_slots(ids.mapInArrow(of_task, "slot long, level byte"))
 
 
+def _sets_in(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, set) for the documents in ``ids`` (a few others may come along).
+
+    Where most slots are marked, they tell little, and the texts are joined with the ids before sets are made.
+    """
+    live = _live_slots(ids)
+    if np.count_nonzero(live) > SLOTS // 2:
+        docs = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    return sets_of(docs, words, live)
+
+
 def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity; only sets of documents in a pair are made and moved."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = sets_of(docs, words, _live_slots(ids))
+    sets = _sets_in(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), words)
 
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,6 +349,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
 
 def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of (doc_id, text); two texts link at ``percent`` or more."""
+    narrow_batches(docs.sparkSession)
     told = cut(summaries(docs, words))
     sets = told.where("slot is null and squares is null").select("doc_id", "n", "d1", "d2")
     signs = told.where("slot is null and squares is null and n > 0").select(F.col("doc_id").alias("id"), *SIGNS)
@@ -319,19 +359,23 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     level = F.lit(0)
     for i, least in enumerate(SEEN_OFTEN):
         level = F.when(F.col("n") >= least, i + 1).otherwise(level)
-    often = sums.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n"))
-    sketch = _bytes_of_slots(often.select("slot", level.cast("byte").alias("level")))
+    often = sums.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("sampled").alias("sampled"))
+    spread = F.when(F.col("sampled") >= SAMPLED_LEAST, F.col("sampled") * SAMPLED).otherwise(0)
+    often = often.select("slot", F.greatest("n", spread).alias("n")).select("slot", level.cast("byte").alias("level"))
+    sketch = _bytes_of_slots(often.where("level > 0"))
     light = boundary(mean_list, percent)
 
     firsts = sets.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     named = sets.join(firsts, ["d1", "d2"], "left")
-    posted = postings(docs, words, percent, sketch, light, _live_slots(firsts.select(F.col("rep").alias("id"))))
+    reps = firsts.select(F.col("rep").alias("id"))
+    posted = postings(docs, words, percent, sketch, light, _live_slots(reps))
     flat = posted.select(F.col("doc_id").alias("id"), "n", F.explode(F.arrays_zip("keys", "weights")).alias("k"))
     flat = flat.select("id", "n", F.col("k.keys").alias("key"), F.col("k.weights").alias("w"))
     # Keys that one document alone has are of no use. Those seen often need no look and are dealt out evenly.
     g = F.when(F.col("w") >= OFTEN, F.xxhash64("key", "id")).otherwise(F.col("key")).alias("g")
     dealt = flat.select(g, "id", "n", "key", "w").repartition("g").sortWithinPartitions("g")
-    live = cut(_met(dealt).withColumn("w", F.expr(f"cast(w % {OFTEN} as int)")))
+    met = _met(dealt).withColumn("w", F.expr(f"cast(w % {OFTEN} as int)"))
+    live = cut(met.join(reps, "id", "left_semi"))  # copies that came along go
     links = None
     comp = live.select("id").distinct().withColumn("component", F.col("id"))
     for turn in range(LEADER_ROUNDS):
@@ -339,7 +383,9 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         found = verified(docs, pairs, words, percent)
         links = cut(found if links is None else links.unionByName(found))
         comp = _with_components(live, links)
-    rest = verified(docs, cut(_by_signs(_cross_pairs(live, comp, percent), signs, percent)), words, percent)
+    near = cut(_balls(_open_rows(live, comp), percent))
+    pairs = _across(near, percent).unionByName(_by_differences(docs, near, words, percent)).distinct()
+    rest = verified(docs, cut(_by_signs(pairs, signs, percent)), words, percent)
     links = links.unionByName(rest)
     comp = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     out = named.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
@@ -395,19 +441,95 @@ def _leader_pairs(live: DataFrame, comp: DataFrame, percent: int, turn: int) ->
     return best.select("l.a", "l.na", "b", "nb")
 
 
-def _cross_pairs(live: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """All pairs that meet at least twice and lie in different components."""
+def _open_rows(live: DataFrame, comp: DataFrame) -> DataFrame:
+    """Rows (key, id, n, component, c) of the lists with more than one component.
+
+    ``c`` bounds what a document's prefix shares with any one partner in them; a link needs two at least.
+    """
     rows = live.join(comp, "id")
-    mixed = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    rows = cut(rows.join(mixed.select("key"), "key"))
-    # No pair shares more than either of its documents has in such lists; most documents have too little for any partner.
-    each = rows.groupBy("id").agg(F.count_if(F.col("w") == 1).alias("k1"), F.count_if(F.col("w") == 2).alias("k2"))
-    rows = rows.join(each.select("id", _common("k1", "k2").alias("c")), "id")
-    left, right = (rows.select("key", "w", *[F.col(x).alias(y + k) for x, y in (("id", ""), ("n", "n"), ("component", "c"), ("c", "most_"))]) for k in "ab")
-    reach = _may_reach(percent, F.least("most_a", "most_b"))
-    met = left.join(right.drop("w"), "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & reach)
-    met = met.groupBy("a", "na", "b", "nb").agg(F.count_if(F.col("w") == 1).alias("k1"), F.count_if(F.col("w") == 2).alias("k2"))
-    return met.where(_may_reach(percent)).select("a", "na", "b", "nb")
+    for _ in range(2):
+        mixed = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+        rows = rows.select("key", "id", "n", "w", "component").join(mixed.select("key"), "key")
+        each = rows.groupBy("id").agg(F.count_if(F.col("w") == 1).alias("k1"), F.count_if(F.col("w") == 2).alias("k2"))
+        rows = cut(rows.join(each.select("id", _common("k1", "k2").cast("long").alias("c")).where("c >= 2"), "id"))
+    return rows.select("key", "id", "n", "component", "c")
+
+
+def _balls(rows: DataFrame, percent: int) -> DataFrame:
+    """(leader, ln, lc, lcomponent, id, n, component, c, heavy): each document under every leader of its lists.
+
+    A list is led by the member with the largest ``c``, so the lists of a group of near copies mostly agree. A ball is
+    heavy where its pairs outnumber all shingles of its members and leader.
+    """
+    first = F.max(F.struct("c", F.xxhash64("id").alias("h"), "id", "n", "component")).alias("l")
+    led = rows.join(rows.groupBy("key").agg(first), "key").where("id <> l.id")
+    names = [F.col("l.id").alias("leader"), F.col("l.n").alias("ln"), F.col("l.c").alias("lc"), F.col("l.component").alias("lcomponent")]
+    near = cut(led.select(*names, "id", "n", "component", "c").distinct())
+    size = near.groupBy("leader").agg((F.count("*") > HEAVY_BALL * F.avg(F.col("n") + F.col("ln"))).alias("heavy"))
+    return near.join(size, "leader")
+
+
+def _across(near: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, na, b, nb) of different components: each leader with its ball, and the members of light balls."""
+    names = {"id": "", "n": "n", "component": "c", "c": "most_"}
+    own = near.withColumnsRenamed({"leader": "a", "ln": "na", "lcomponent": "ca", "lc": "most_a", "id": "b", "n": "nb", "component": "cb", "c": "most_b"})
+    left, right = (near.where("not heavy").select("leader", *[F.col(x).alias(y + k) for x, y in names.items()]) for k in "ab")
+    apart = (F.col("ca") != F.col("cb")) & _may_reach(percent, F.least("most_a", "most_b"))
+    both = left.join(right, "leader").where((F.col("a") < F.col("b")) & apart)
+    return own.where(apart).select("a", "na", "b", "nb").unionByName(both.select("a", "na", "b", "nb"))
+
+
+def _by_differences(docs: DataFrame, near: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, na, b, nb) of members of heavy balls that may be similar and are not both linked with the leader.
+
+    Sets of na and nb shingles are similar if they differ in at most q (na + nb), q = (1 - t) / (1 + t). With
+    differences of da and db shingles from a leader of l, they share (da + db - |a xor b|) / 2 of these, so at least
+    (da + db - q (na + nb)) / 2. ``least`` is the smallest such number over all partners: (da - q (na + l)) / (1 + q)
+    where the leader does not link a, as a partner's nb - l and da - |a xor b| are at most db, and more than
+    (da + q (l - na)) / 2 where it does, as then it must not link b. Both are 1 or more.
+    """
+    q, whole = 100 - percent, 100 + percent
+    heavy = near.where("heavy").select("leader", "id", "component")
+    wanted = heavy.select(F.explode(F.array("leader", "id")).alias("id")).distinct()
+    sets = _sets_in(docs, wanted, words)
+
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, d, linked, least, found = [], [], [], [], []
+            for x, y in zip(batch.column("set"), batch.column("own"), strict=True):
+                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+                apart = np.setxor1d(x, y, assume_unique=True)
+                n.append(len(y))
+                d.append(len(apart))
+                beyond = len(apart) * whole - q * (len(x) + len(y))
+                linked.append(beyond <= 0)
+                if beyond <= 0:
+                    least.append(max(1, (len(apart) * whole + q * (len(x) - len(y))) // (2 * whole) + 1))
+                else:
+                    least.append(max(1, -(-beyond // 200)))
+                found.append(apart)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(d, dtype=np.int64)]), pa.int32())
+            flat = pa.array(_signed(np.concatenate(found) if found else np.empty(0, np.uint64)))
+            columns = [pa.array(n, pa.int32()), pa.array(d, pa.int32()), pa.array(linked, pa.bool_()), pa.array(least, pa.int32())]
+            own = [batch.column(c) for c in ("leader", "id", "component")]
+            yield pa.RecordBatch.from_arrays([*own, *columns, pa.ListArray.from_arrays(offsets, flat)], [*"lik", "n", "d", "linked", "least", "x"])
+
+    both = heavy.join(sets.select(F.col("id").alias("leader"), "set"), "leader")
+    both = both.join(sets.select("id", F.col("set").alias("own")), "id").select("leader", "id", "component", "set", "own")
+    each = both.mapInArrow(of_task, "l long, i long, k long, n int, d int, linked boolean, least int, x array<long>")
+    each = cut(each.withColumn("x", F.explode("x")))
+    shared = each.groupBy("l", "x").agg(F.count("*").alias("times")).where("times > 1")
+    each = each.join(shared, ["l", "x"])
+    of_set = Window.partitionBy("l", "i")
+    each = each.withColumn("useful", F.count("*").over(of_set)).where("useful >= least")
+    place = F.row_number().over(of_set.orderBy("times", "x"))
+    each = cut(each.withColumn("place", place).where("place <= useful - least + 1"))
+    names = {"i": "", "k": "c", "n": "n", "d": "d", "linked": "linked_", "useful": "useful_"}
+    left, right = (each.select("l", "x", *[F.col(x).alias(y + k) for x, y in names.items()]) for k in "ab")
+    apart = F.expr("a < b and ca <> cb and not (linked_a and linked_b)")
+    fits = F.expr(f"na * 100 >= nb * {percent} and nb * 100 >= na * {percent}")
+    needed = F.expr(f"2 * {whole} * least(useful_a, useful_b) >= (da + db) * {whole} - {q} * (na + nb)")
+    return left.join(right, ["l", "x"]).where(apart & fits & needed).select("a", "na", "b", "nb").distinct()
 
 
 def _by_signs(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:

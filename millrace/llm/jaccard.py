@@ -23,7 +23,7 @@ are compared by their whole sets of 64-bit hashes.
 Defined results: a null or empty text has no shingles and is linked with nothing; fewer words than a shingle give one
 shingle of them all; repeated rows are linked with each other; rows with one doc_id and different texts count as one
 document in components (n_shingles is that of each row); an empty table gives no rows; further columns are ignored; a
-null doc_id is kept as a row of its own and stands in no link.
+row without doc_id links no other rows, and has the component of the documents with its set, or null if there are none.
 """
 
 from __future__ import annotations

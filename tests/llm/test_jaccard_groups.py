@@ -71,5 +71,5 @@ def test_repeated_and_null_ids(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar(frame, 4, 85).collect()), key=str)
     # Rows with one id count as one document, which links the two texts here.
-    want = [(5, 27, 5), (5, 27, 5), (7, 27, 5), (9, 27, 5), (None, 27, None), (None, 0, None), (3, 0, 3)]
+    want = [(5, 27, 5), (5, 27, 5), (7, 27, 5), (9, 27, 5), (None, 27, 5), (None, 0, None), (3, 0, 3)]
     assert got == sorted(want, key=str)

@@ -157,13 +157,6 @@ def test_estimates_are_unbiased_and_bounded():
 
 
 def test_mixing(spark):
-    weights = {"a": 0.55, "b": 0.25, "c": 0.2}
-    slots = mixing.one_cycle(mixing.shares(weights, 1000))
-    seen = Counter()
-    share = mixing.shares(weights, 1000)
-    for t, s in enumerate(slots, 1):
-        seen[s] += 1
-        assert all(abs(seen[k] - t * share[k] / 1000) < 1 for k in share)
     rows = [(i, "abc"[min(i % 7, 2)] if i % 11 else None, i) for i in range(3000)] + [(0, None, 0)]
     frame = spark.createDataFrame(rows, "doc_id long, source string, slot long")
     got = mixing.mix(frame, {"a": 2.0, "b": 1.0, "c": 1.0, None: 0.5}, block_rows=7).collect()

@@ -7,14 +7,18 @@ verdicts, and any labels given, are what the tree learns from:
    with many distinct children for its pages has them generalised to ``*``.
 2. Branches that differ in one segment and are otherwise alike are merged into ``~`` where both have enough labels and
    the branch's share of bad pages does not differ from the pooled share by more than chance.
-3. A template is blocked where its share of bad labels, smoothed towards a prior, reaches a threshold.
+3. A template is blocked where its share of bad labels, smoothed towards a prior, reaches a threshold. The prior is the
+   share of the same generalised path in the tree of domains above the host, smoothed level by level from the root (all
+   hosts) down to the host's parent domain, so labels reach hosts and branches that have few or none of their own.
 
+The tree starts with ``depth`` segments and is deepened twofold as long as a cut path holds enough labels of both kinds.
 Pages are reduced to (host, shape) counts before anything is shuffled twice; the tree is built from that table, and a
 page meets it again only through the blocked templates, which are joined by (host, shape), so AQE can split a host
-that holds a third of the pages.
+that holds a third of the pages. Up to INLINE_RULES rules are one expression; longer lists are joined by domain and start of the path.
 
 Defined results: a null url or one without ``://`` has an empty host and path, no rule, and is allowed; repeated rows
-are judged alike; an empty table gives no rows; further columns are left out; equal lengths of rules go by name.
+are judged alike; an empty table gives no rows; further columns are left out; equal lengths of rules go by name; of
+several labels of a page, the worst counts.
 """
 
 from __future__ import annotations
@@ -26,12 +30,13 @@ from pyspark.sql import functions as F
 
 from millrace.llm.store import cut
 
-MOST_RULES = 500
+INLINE_RULES = 500
+DOMAIN_LEVELS = 8
 
 
 @dataclass(frozen=True)
 class Tree:
-    """Depth of the tree, fan-out that makes a segment variable, the merge test and the smoothed purity that blocks."""
+    """First depth of the tree, fan-out that makes a segment variable, the merge test and the smoothed purity that blocks."""
 
     depth: int = 3
     min_children: int = 20
@@ -58,8 +63,6 @@ def path_of(url: Column) -> Column:
 
 def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
     """The longest rule that fits and its verdict, or nulls."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"over {MOST_RULES} rules")
     name = verdict = F.lit(None).cast("string")
     for rule, says in sorted(rules, key=lambda r: (len(r[0]), r[0])):
         at, slash, start = rule.partition("/")
@@ -68,6 +71,32 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
     return name, verdict
 
 
+def _last_labels(host: Column, k: Column) -> Column:
+    return F.call_function("substring_index", host, F.lit("."), (-k).cast("int"))
+
+
+def domains(host: Column) -> Column:
+    """The domains above a host from the root on: ``""``, then its last label, its last two and so on, without itself."""
+    labels = F.split(host, r"\.")
+    most = F.least(F.size(labels) - 1, F.lit(DOMAIN_LEVELS))
+    near = F.transform(F.sequence(F.lit(1), most), lambda k: _last_labels(host, k))
+    return F.concat(F.array(F.lit("")), F.when(most >= 1, near).otherwise(F.array().cast("array<string>")))
+
+
+def _with_joined_rules(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """(host, path, rule, says) of each host and path that a rule fits, by equality of domain and start of the path."""
+    split = [(r.partition("/")[0], "/" + r.partition("/")[2], r, says) for r, says in rules]
+    table = pages.sparkSession.createDataFrame(split, "at string, start string, rule string, says string")
+    lengths = table.groupBy("at").agg(F.collect_set(F.length("start")).alias("lengths"))
+    paths = pages.select("host", "path").distinct()
+    labels = F.size(F.split("host", r"\."))
+    near = paths.withColumn("at", F.explode(F.transform(F.sequence(F.lit(1), labels), lambda k: _last_labels(F.col("host"), k))))
+    near = near.join(lengths, "at").withColumn("k", F.explode("lengths")).where("k <= length(path)")
+    fits = near.withColumn("start", F.expr("substring(path, 1, k)")).join(table, ["at", "start"])
+    longest = F.max(F.struct(F.length("rule").alias("n"), "rule", "says")).alias("r")
+    return fits.groupBy("host", "path").agg(longest).select("host", "path", "r.rule", "r.says")
+
+
 def shape_of(path: Column, depth: int) -> Column:
     """The segments below ``depth`` levels with variable shapes generalised; deeper ones become one ``**``."""
     segments = F.split(F.regexp_replace(path, "^/", ""), "/")
@@ -89,10 +118,25 @@ def _with_segment(at: int, when: Column, value: str) -> Column:
     return F.transform("s", lambda x, i: F.when((i == at) & when, F.lit(value)).otherwise(x))
 
 
-def templates(shapes: DataFrame, tree: Tree = DEFAULT) -> DataFrame:
-    """Each (host, shape) of a table (host, shape, s, n, bad, lab) with its template and the template's purity."""
+def _priors(t: DataFrame, tree: Tree) -> DataFrame:
+    """(host, g, prior, above): for each generalised path of a host its smoothed share of bad labels above the host, and their number."""
+    labelled = t.where("lab > 0").select("g", "bad", "lab", F.explode(domains(F.col("host"))).alias("domain"))
+    sums = labelled.groupBy("domain", "g").agg(F.sum("bad").alias("db"), F.sum("lab").alias("dl"))
+    each = t.select("host", "g").distinct().select("host", "g", F.posexplode(domains(F.col("host"))).alias("level", "domain"))
+    found = each.join(sums, ["domain", "g"])
+    levels = found.groupBy("host", "g").agg(F.array_sort(F.collect_list(F.struct("level", "db", "dl"))).alias("levels"))
+    # A domain without labels passes on what lies above it. At most DOMAIN_LEVELS + 1 levels.
+    down = F.aggregate("levels", F.lit(float(tree.prior)), lambda a, x: (x["db"] + a * tree.strength) / (x["dl"] + tree.strength))
+    return levels.select("host", "g", down.alias("prior"), F.expr("levels[0].dl").alias("above"))
+
+
+def templates(shapes: DataFrame, tree: Tree, depth: int) -> DataFrame:
+    """Each (host, shape) of a table (host, shape, s, n, bad, lab) with its template, purity and number of labels.
+
+    ``labels`` are the template's own, ``above`` those of the same path in all hosts under the first domain with any.
+    """
     t = cut(shapes)
-    for d in range(tree.depth):
+    for d in range(depth):
         prefix = F.array_join(F.slice("s", 1, d), "/")
         here = t.where(F.size("s") > d).select("host", prefix.alias("prefix"), F.get("s", F.lit(d)).alias("child"), "n")
         fan = here.groupBy("host", "prefix", "child").agg(F.sum("n").alias("n")).groupBy("host", "prefix")
@@ -103,7 +147,9 @@ def templates(shapes: DataFrame, tree: Tree = DEFAULT) -> DataFrame:
         )
         t = t.withColumn("prefix", prefix).join(variable, ["host", "prefix"], "left")
         t = cut(t.withColumn("s", _with_segment(d, F.coalesce("variable", F.lit(False)), "*")).drop("prefix", "variable"))
-    for d in range(tree.depth):
+    t = t.withColumn("g", F.array_join("s", "/"))
+    priors = _priors(t, tree)
+    for d in range(depth):
         own = t.groupBy("host", "s").agg(F.sum("bad").alias("bad"), F.sum("lab").alias("lab"))
         own = own.where((F.size("s") > d) & (F.col("lab") >= tree.min_labels))
         own = own.withColumn("rest", F.array_join(_with_segment(d, F.lit(True), "~"), "/"))
@@ -114,9 +160,11 @@ def templates(shapes: DataFrame, tree: Tree = DEFAULT) -> DataFrame:
         t = t.join(merged, ["host", "s"], "left")
         t = cut(t.withColumn("s", _with_segment(d, F.coalesce("merged", F.lit(False)), "~")).drop("merged"))
     sums = t.groupBy("host", "s").agg(F.sum("bad").alias("tb"), F.sum("lab").alias("tl"))
-    purity = (F.col("tb") + tree.prior * tree.strength) / (F.col("tl") + tree.strength)
-    out = t.join(sums, ["host", "s"]).withColumn("purity", purity)
-    return out.select("host", "shape", F.concat(F.lit("/"), F.array_join("s", "/")).alias("template"), "purity", F.col("tl").alias("labels"))
+    out = t.join(sums, ["host", "s"]).join(priors, ["host", "g"], "left")
+    prior = F.coalesce("prior", F.lit(float(tree.prior)))
+    purity = (F.col("tb") + prior * tree.strength) / (F.col("tl") + tree.strength)
+    template = F.concat(F.lit("/"), F.array_join("s", "/")).alias("template")
+    return out.select("host", "shape", template, purity.alias("purity"), F.col("tl").alias("labels"), F.coalesce("above", F.lit(0)).alias("above"))
 
 
 def judge(
@@ -124,21 +172,31 @@ def judge(
 ) -> DataFrame:
     """Every page (page_id, url) with host, path, rule, verdict and the blocked template it falls under, if any.
 
-    ``labels`` (page_id, bad 0 or 1) adds labelled pages to those that the rules judge; it holds a page once.
+    ``labels`` (page_id, bad 0 or 1) adds labelled pages to those that the rules judge.
     """
     base = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rule, says = fitting_rule(F.col("host"), F.col("path"), rules)
-    base = base.withColumns({"rule": rule, "says": says})
+    if len(rules) <= INLINE_RULES:
+        rule, says = fitting_rule(F.col("host"), F.col("path"), rules)
+        base = base.withColumns({"rule": rule, "says": says})
+    else:
+        base = base.join(cut(_with_joined_rules(base, rules)), ["host", "path"], "left")
     bad = F.when(F.col("says").isNotNull(), (F.col("says") == "block").cast("int"))
     if labels is not None:
-        given = labels.select("page_id", F.col("bad").cast("int").alias("given"))
+        given = labels.groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("given"))
         base = base.join(given, "page_id", "left")
         bad = F.coalesce(bad, F.col("given"))
-    base = base.withColumn("bad", bad).withColumn("s", shape_of(F.col("path"), tree.depth))
-    base = base.withColumn("shape", F.array_join("s", "/"))
-    counts = base.where("host != ''").groupBy("host", "shape", "s")
-    shapes = counts.agg(F.count("*").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count("bad").alias("lab"))
-    blocked = templates(shapes, tree).where((F.col("purity") >= tree.block_purity) & (F.col("labels") >= tree.min_labels))
-    judged = base.join(blocked.select("host", "shape", "template"), ["host", "shape"], "left")
+    base = base.withColumn("bad", bad)
+    depth = tree.depth
+    while True:
+        shaped = base.withColumn("s", shape_of(F.col("path"), depth)).withColumn("shape", F.array_join("s", "/"))
+        counts = shaped.where("host != ''").groupBy("host", "shape", "s")
+        shapes = cut(counts.agg(F.count("*").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count("bad").alias("lab")))
+        both = (F.col("bad") >= tree.min_labels) & (F.col("lab") - F.col("bad") >= tree.min_labels)
+        if shapes.where((F.element_at("s", -1) == "**") & both).isEmpty():
+            break
+        depth *= 2
+    enough = F.greatest("labels", "above") >= tree.min_labels
+    blocked = templates(shapes, tree, depth).where((F.col("purity") >= tree.block_purity) & enough)
+    judged = shaped.join(blocked.select("host", "shape", "template"), ["host", "shape"], "left")
     verdict = F.coalesce("says", F.when(F.col("template").isNotNull(), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template")

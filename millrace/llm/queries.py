@@ -146,8 +146,13 @@ def _op9_sql() -> str:
         text = rf"regexp_replace({text}, '(?is)<{tag}(\s[^>]*)?>.*?(</{tag}\s*>|\z)', ' ', 'g')"
     text = rf"regexp_replace({text}, '(?i)</?({warc.BREAKS})(\s[^>]*|/)?>', chr(10), 'g')"
     text = rf"regexp_replace({text}, '<[a-zA-Z/!?][^>]*>', '', 'g')"
-    for name, char in warc.ENTITIES:
-        text = f"replace({text}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    names = ", ".join(f"'{k}': '{v.replace(chr(39), chr(39) * 2)}'" for k, v in warc.NAMED.items())
+    code = "case when lower(e[3]) = 'x' then ('0x' || e[4:length(e) - 1])::bigint else e[3:length(e) - 1]::bigint end"
+    named = f"coalesce(map_extract_value(map {{{names}}}, e[2:length(e) - 1]), e)"
+    char = f"case when e[2] <> '#' then {named} when {code} = 160 then ' ' when {code} between 1 and 55295 or {code} between 57344 and 1114111 then chr(({code})::int) else chr(65533) end"
+    found = f"list_transform(regexp_extract_all(x, '{warc.ENTITY}'), lambda e: {char})"
+    joined = f"list_transform(list_zip(string_split_regex(x, '{warc.ENTITY}'), {found}), lambda z: z[1] || coalesce(z[2], ''))"
+    text = f"list_transform([{text}], lambda x: array_to_string({joined}, ''))[1]"
     text = rf"regexp_replace({text}, '[ \t\r\f]+', ' ', 'g')"
     text = rf"regexp_replace({text}, ' ?(\n ?)+', chr(10), 'g')"
     text = rf"regexp_replace({text}, '^[ \n]+|[ \n]+$', '', 'g')"

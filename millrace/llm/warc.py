@@ -1,28 +1,38 @@
 """Derivatives of WARC responses: linked metadata and plain-text conversion records.
 
 Every response gives one ``metadata`` and one ``conversion`` record. Both name the response in ``refers_to``, keep
-its target, date and HTTP headers, and carry the digest of its payload and of their own block. All of it is one
-narrow pass of DataFrame functions; only the reader of WARC files parses bytes in Python, a record at a time.
-
-Defined results: a null payload or header is empty; a null target stays null and gives a record without a target;
-repeated responses give repeated records with the same ids; no responses give no records; further columns of the
-input are kept on both records unless they have the name of a result column.
+its target, date and HTTP headers, and carry the digest of its payload's bytes and of their own block. All of it is
+one narrow pass of DataFrame functions; only the reader and writer of WARC files handle records in Python, one at a
+time. Files hold the source's HTTP headers in fields named SOURCE_FIELD, one for each line.
+
+Defined results: a null payload or header is empty; a payload may be text or bytes, and bytes are read as the charset
+of the Content-Type header where that is Latin-1, else as UTF-8 with replacement characters; a payload digest that the
+source gives is passed on; a null target stays null and gives a record without a target; repeated responses give
+repeated records with the same ids; no responses give no records; further columns of the input are kept on both
+records unless they have the name of a result column; an entity that is not known stays as it is.
 """
 
 from __future__ import annotations
 
-import gzip
-import io
+import uuid
 from collections.abc import Iterator
+from html.entities import name2codepoint
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Elements without readable text, elements that end a line, and entities decoded in this order.
+# Elements without readable text, elements that end a line, and the form of an entity.
 HIDDEN = ("script", "style", "noscript", "template", "iframe", "object", "head")
 BREAKS = "p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|blockquote|pre|hr|title"
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
-RESPONSE = "record_id string, warc_type string, target_uri string, warc_date string, http_headers string, payload string"
+ENTITY = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
+# Characters by name, as HTML 4 has them; a no-break space counts as a blank.
+NAMED = {name: " " if code == 160 else chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'"}
+LATIN = r"(?i)content-type:[^\n]*charset=[\"']?(?:iso-8859-1|latin-?1|windows-1252|us-ascii)\b"
+SOURCE_FIELD = "X-Source-HTTP-Header"
+SEPARATOR = "\r\n\r\nWARC/1."
+WARC_STANDARD = "http://bibnum.bnf.fr/WARC/WARC_ISO_28500_version1_latestdraft.pdf"
+RESPONSE = "record_id string, warc_type string, target_uri string, warc_date string, http_headers string, payload binary, payload_digest string"
 ADDED = ("record_id", "warc_type", "refers_to", "target_uri", "warc_date", "content_type", "payload_digest", "block_digest", "content_length", "source_headers", "block")
 
 
@@ -42,6 +52,23 @@ _HEAD = (
 )
 
 
+def decoded(text: Column) -> Column:
+    """The text with its entities decoded, each once."""
+
+    def char(e: Column) -> Column:
+        number = F.when(F.lower(F.substring(e, 3, 1)) == "x", F.conv(F.substring(e, 4, 7), 16, 10)).otherwise(F.substring(e, 3, 8))
+        code = F.regexp_replace(number, ";", "").cast("int")
+        valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
+        from_code = F.when(code == 160, " ").when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+        of_name = F.when(e == "&amp;", "&").otherwise(F.coalesce(F.try_element_at(names, F.regexp_replace(e, "[&;]", "")), e))
+        return F.when(F.substring(e, 2, 1) == "#", from_code).otherwise(of_name)
+
+    found = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), char)
+    joined = F.zip_with(F.split(text, ENTITY), found, lambda gap, c: F.concat(gap, F.coalesce(c, F.lit(""))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(joined, "")).otherwise(text)
+
+
 def plain_text(html: Column) -> Column:
     """The readable text: hidden elements and comments go, block elements end lines, entities are decoded.
 
@@ -52,8 +79,7 @@ def plain_text(html: Column) -> Column:
     t = F.regexp_replace(t, rf"(?is)<({others})(\s[^>]*)?>.*?</\1\s*>|{_HEAD}", " ")
     t = F.regexp_replace(t, rf"(?i)</?({BREAKS})(\s[^>]*|/)?>", "\n")
     t = F.regexp_replace(t, r"<[a-zA-Z/!?][^>]*>", "")
-    for name, char in ENTITIES:
-        t = F.replace(t, F.lit(name), F.lit(char))
+    t = F.transform(F.array(t), decoded)[0]
     t = F.regexp_replace(t, r"[ \t\r\f]+", " ")
     t = F.regexp_replace(t, r" ?(\n ?)+", "\n")
     return F.regexp_replace(t, r"^[ \n]+|[ \n]+$", "")
@@ -65,28 +91,37 @@ def title(html: Column) -> Column:
 
 
 def derive(responses: DataFrame) -> DataFrame:
-    """Two records for every row of (record_id, target_uri, warc_date, http_headers, payload)."""
+    """Two records for every row of (record_id, target_uri, warc_date, http_headers, payload), with ``payload_digest`` or without."""
     own = [F.col(f"`{c}`") for c in responses.columns if c not in ADDED and c not in ("http_headers", "payload")]
+    headers = F.coalesce("http_headers", F.lit(""))
+    if dict(responses.dtypes)["payload"] == "binary":
+        raw = F.coalesce("payload", F.lit(b""))
+        text = F.when(F.regexp_like(headers, F.lit(LATIN)), F.decode(raw, "ISO-8859-1")).otherwise(F.make_valid_utf8(raw.cast("string")))
+    else:
+        raw = text = F.coalesce("payload", F.lit(""))
+    told = F.col("payload_digest") if "payload_digest" in responses.columns else F.lit(None).cast("string")
     r = responses.select(
         *own,
         F.col("record_id").alias("refers_to"),
         "target_uri",
         "warc_date",
-        F.coalesce("http_headers", F.lit("")).alias("source_headers"),
-        F.coalesce("payload", F.lit("")).alias("__p"),
+        headers.alias("source_headers"),
+        text.alias("__p"),
+        F.octet_length(raw).alias("__n"),
+        F.coalesce(told, F.concat(F.lit("sha1:"), F.sha1(raw))).alias("payload_digest"),
     )
     status = F.regexp_extract("source_headers", r"^HTTP/[0-9.]+ ([0-9]+)", 1)
     links = F.size(F.regexp_extract_all("__p", F.lit(r"(?i)<a\s[^>]*href"), F.lit(0)))
     fields = F.concat(
         *[F.lit("status: "), status, F.lit("\r\ntitle: "), title(F.col("__p"))],
         *[F.lit("\r\nlinks: "), links.cast("string"), F.lit("\r\npayload-length: ")],
-        *[F.octet_length("__p").cast("string"), F.lit("\r\n")],
+        *[F.col("__n").cast("string"), F.lit("\r\n")],
     )
     both = F.array(
         F.struct(F.lit("metadata").alias("t"), F.lit("application/warc-fields").alias("c"), fields.alias("b")),
         F.struct(F.lit("conversion").alias("t"), F.lit("text/plain").alias("c"), plain_text(F.col("__p")).alias("b")),
     )
-    made = r.withColumn("payload_digest", F.concat(F.lit("sha1:"), F.sha1("__p"))).withColumn("__d", F.explode(both))
+    made = r.withColumn("__d", F.explode(both))
     block = F.col("__d.b")
     return made.select(
         *own,
@@ -114,7 +149,7 @@ def responses_of(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFr
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Write derived records as gzipped WARC files, one for each partition."""
+    """Write derived records as gzipped WARC files, one for each partition, each with a ``warcinfo`` record at its head."""
     named = (
         ("WARC-Type", F.col("warc_type")),
         ("WARC-Record-ID", F.col("record_id")),
@@ -124,47 +159,79 @@ def write_warc(records: DataFrame, path: str) -> None:
         ("WARC-Payload-Digest", F.col("payload_digest")),
         ("WARC-Block-Digest", F.col("block_digest")),
         ("Content-Type", F.col("content_type")),
-        ("Content-Length", F.col("content_length").cast("string")),
     )
     lines = [F.when(v.isNotNull(), F.concat(F.lit(f"{n}: "), v, F.lit("\r\n"))).otherwise("") for n, v in named]
-    record = F.concat(F.lit("WARC/1.0\r\n"), *lines, F.lit("\r\n"), F.col("block"))
-    records.select(record).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").text(path)
-
-
-def parse_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
-    """The records (headers by lower-cased name, block) of one WARC file, gzipped or not."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    while line := stream.readline():
-        if not line.startswith(b"WARC/"):
+    given = F.filter(F.split(F.coalesce("source_headers", F.lit("")), r"\r?\n"), lambda x: x != "")
+    kept = F.array_join(F.transform(given, lambda x: F.concat(F.lit(f"{SOURCE_FIELD}: "), x, F.lit("\r\n"))), "")
+    size = F.concat(F.lit("Content-Length: "), F.col("content_length").cast("string"), F.lit("\r\n\r\n"))
+    record = F.concat(F.lit("WARC/1.0\r\n"), *lines, kept, size, F.col("block"))
+
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun = False
+        for batch in batches:
+            if batch.num_rows and not begun:
+                begun = True
+                block = f"software: millrace\r\nformat: WARC File Format 1.0\r\nconformsTo: {WARC_STANDARD}\r\n"
+                info = f"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\n"
+                info += f"Content-Type: application/warc-fields\r\nContent-Length: {len(block)}\r\n\r\n{block}"
+                yield pa.RecordBatch.from_pydict({"value": [info]})
+            yield batch
+
+    out = records.select(record.alias("value")).mapInArrow(of_task, "value string")
+    out.write.option("compression", "gzip").option("lineSep", "\r\n\r\n").text(path)
+
+
+def parsed(rows: Iterator[bytes]) -> Iterator[tuple[dict, bytes]]:
+    """Records (headers by lower-cased name, block) of what lies between separators; a block that holds one is put together again."""
+    held = b""
+    for row in rows:
+        held = held + SEPARATOR.encode() + row if held else row
+        head, _, block = held.removeprefix(b"WARC/1.").partition(b"\r\n\r\n")
+        first, *lines = head.split(b"\r\n")
+        if not first.isdigit():  # what lies before the first record
+            held = b""
             continue
-        headers = {}
-        while (line := stream.readline().rstrip(b"\r\n")) != b"":
+        headers: dict = {}
+        for line in lines:
             name, _, value = line.partition(b":")
-            headers[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
-        yield headers, stream.read(int(headers.get("content-length", 0)))
+            headers.setdefault(name.decode("latin-1").strip().lower(), []).append(value.decode("utf-8", "replace").strip())
+        size = int(headers.get("content-length", ["0"])[-1])
+        if len(block) >= size:
+            held = b""
+            yield headers, block[:size]
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """All records of WARC files; a response's block is split into its HTTP headers and its payload."""
-
-    def of_files(frames):
-        import pandas as pd
-
-        for frame in frames:
-            for data in frame["content"]:
-                rows = []
-                for h, block in parse_warc(bytes(data)):
-                    kind, head = h.get("warc-type"), b""
-                    if kind == "response":
-                        head, _, block = block.partition(b"\r\n\r\n")
-                        head += b"\r\n"
-                    texts = [x.decode("utf-8", "replace") for x in (head, block)]
-                    rows.append((h.get("warc-record-id"), kind, h.get("warc-target-uri"), h.get("warc-date"), *texts))
-                    if len(rows) == 1000:
-                        yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESPONSE.split(", ")])
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESPONSE.split(", ")])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("content").mapInPandas(of_files, RESPONSE)
+    """All records of WARC files but ``warcinfo``; a response's block is split into its HTTP headers and its payload's bytes.
+
+    Files are read as text that ends at the start of the next record, so no file has to fit in memory.
+    """
+    names = [c.split()[0] for c in RESPONSE.split(", ")]
+
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
+
+        def made() -> pa.RecordBatch:
+            columns = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "payload" else pa.string()) for n, c in zip(names, columns, strict=True)], names)
+
+        for h, block in parsed(v for batch in batches for v in batch.column(0).to_pylist()):
+            one = {k: v[-1] for k, v in h.items()}
+            kind, head = one.get("warc-type"), "".join(f"{x}\r\n" for x in h.get(SOURCE_FIELD.lower(), ()))
+            if kind == "warcinfo":
+                continue
+            if kind == "response":
+                start, _, block = block.partition(b"\r\n\r\n")
+                head = start.decode("utf-8", "replace") + "\r\n" if start else ""
+            told = one.get("warc-payload-digest")
+            rows.append((one.get("warc-record-id"), kind, one.get("warc-target-uri"), one.get("warc-date"), head, block, told))
+            size += len(block)
+            if size > 8 << 20 or len(rows) == 1000:
+                yield made()
+                rows, size = [], 0
+        if rows:
+            yield made()
+
+    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", SEPARATOR).text(path)
+    return lines.select(F.col("value").cast("binary").alias("value")).mapInArrow(of_task, RESPONSE)

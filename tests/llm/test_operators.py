@@ -346,7 +346,7 @@ def test_warc(spark, tmp_path):
     path = str(tmp_path / "warc")
     warc.write_warc(out, path)
     back = warc.read_warc(spark, path + "/*.gz").collect()
-    assert Counter((r.record_id, r.payload) for r in back) == Counter((r.record_id, r.block) for r in out.collect())
+    assert Counter((r.record_id, r.payload.decode(), r.http_headers) for r in back) == Counter((r.record_id, r.block, r.source_headers) for r in out.collect())
     assert warc.derive(warc.responses_of(frame.where("page_id < 0"))).count() == 0
 
 
@@ -355,7 +355,7 @@ def test_warc_reads_responses(spark, tmp_path):
     record = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <r>\r\nWARC-Target-URI: http://a\r\nContent-Length: %d\r\n\r\n" % len(body)
     (tmp_path / "a.warc").write_bytes((record + body + b"\r\n\r\n") * 3)
     rows = warc.read_warc(spark, str(tmp_path / "a.warc"))
-    assert rows.count() == 3 and rows.first().payload == "<p>x</p>" and rows.first().http_headers.endswith("A: b\r\n")
+    assert rows.count() == 3 and rows.first().payload == b"<p>x</p>" and rows.first().http_headers.endswith("A: b\r\n")
     assert warc.derive(rows).where("warc_type = 'conversion'").first().block == "x"
 
 

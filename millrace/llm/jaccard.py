@@ -9,15 +9,17 @@ enumerating costs no more than scanning, by the measured mean length of a list.
 The order puts shingles seen often late (a sketch of fixed size, filled from all texts), then short ones, so prefixes
 hold what few texts share. It decides the cost only; any order finds all links.
 
-Links are wanted up to components, so a group of near copies needs no pair of all its members: each list has one
-leader, a member is compared with the leader it meets most, and what is then in one component is not compared again.
-In the last pass, every list that still holds two components has the member with most common prefix elements as its
-leader, and each member goes to the ball of every leader it meets; two sets that meet in a list share a ball. A small
+Links are wanted up to components, so a group of near copies needs no pair of all its members: each list and size
+class has one leader, a member is compared with the leader it meets most, and what is then in one component is not
+compared again. In the last pass, every list that still holds two components is led by the member with the largest
+share of common prefix elements, and each member goes to the ball of every leader it meets; two sets that meet in a
+list share a ball. A small
 ball compares its members across components. In a ball with more pairs than shingles, sets are told by their
 differences from the leader: for sets S, B and differences dS, dB from leader L, the sizes of S xor B and of dS xor dB
 are the same, so similar sets that the leader does not link already must share at least half of the smaller
 difference; elements of one difference alone are of no use, and the same prefix rule as before, now on the
-differences, finds all pairs left. No link between components is lost. Equal sets are one node throughout. Candidates
+differences, finds all pairs left. Of these, the likeliest pair of each set is compared first, and the rest only where
+it still parts two components. No link between components is lost. Equal sets are one node throughout. Candidates
 are compared by their whole sets of 64-bit hashes.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; fewer words than a shingle give one
@@ -47,6 +49,7 @@ SAMPLED = 128
 SAMPLED_LEAST = 3
 SEEN_OFTEN = tuple(4 << i for i in range(15))
 LEADER_ROUNDS = 2
+SPANNING_ROUNDS = 2
 HEAVY_BALL = 2.0
 OFTEN = 64
 SIGNS = tuple(f"s{i}" for i in range(8))
@@ -374,20 +377,28 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     # Keys that one document alone has are of no use. Those seen often need no look and are dealt out evenly.
     g = F.when(F.col("w") >= OFTEN, F.xxhash64("key", "id")).otherwise(F.col("key")).alias("g")
     dealt = flat.select(g, "id", "n", "key", "w").repartition("g").sortWithinPartitions("g")
-    met = _met(dealt).withColumn("w", F.expr(f"cast(w % {OFTEN} as int)"))
-    live = cut(met.join(reps, "id", "left_semi"))  # copies that came along go
+    met = _met(dealt).withColumn("w", F.expr(f"cast(w % {OFTEN} as byte)"))
+    # Copies that came along go. What a document has in its lists is counted where the join has brought its rows.
+    live = cut(_with_common(met.join(reps, "id", "left_semi")).withColumn("component", F.col("id")))
     links = None
-    comp = live.select("id").distinct().withColumn("component", F.col("id"))
     for turn in range(LEADER_ROUNDS):
-        pairs = cut(_by_signs(_leader_pairs(live, comp, percent, turn), signs, percent))
+        pairs = cut(_by_signs(_leader_pairs(live, percent, turn), signs, percent))
         found = verified(docs, pairs, words, percent)
         links = cut(found if links is None else links.unionByName(found))
-        comp = _with_components(live, links)
-    near = cut(_balls(_open_rows(live, comp), percent))
+        live = _open_rows(live, _components(links))
+    near = cut(_balls(live))
     pairs = _across(near, percent).unionByName(_by_differences(docs, near, words, percent)).distinct()
-    rest = verified(docs, cut(_by_signs(pairs, signs, percent)), words, percent)
-    links = links.unionByName(rest)
-    comp = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    pairs = cut(_by_signs(pairs, signs, percent))
+    for _ in range(SPANNING_ROUNDS):
+        best = cut(pairs.groupBy("b").agg(F.min(F.struct("apart", F.xxhash64("a").alias("h"), "a")).alias("m")).select("m.a", "b"))
+        links = cut(links.unionByName(verified(docs, best, words, percent)))
+        comp = _components(links)
+        rest = pairs.join(best, ["a", "b"], "left_anti")
+        for k in "ab":
+            rest = rest.join(comp.select(F.col("id").alias(k), F.col("component").alias(f"c{k}")), k, "left")
+        pairs = cut(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "apart"))
+    links = links.unionByName(verified(docs, pairs, words, percent))
+    comp = _components(links)
     out = named.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     own = F.coalesce("component", "rep", "doc_id").alias("component_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), own)
@@ -414,26 +425,33 @@ def _common(k1: str, k2: str) -> Column:
     return F.greatest(F.col(k1), pairs)
 
 
-def _with_components(live: DataFrame, links: DataFrame) -> DataFrame:
-    ids = live.select("id").distinct()
-    comp = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    return cut(ids.join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+def _components(links: DataFrame) -> DataFrame:
+    return components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
-def _leader_pairs(live: DataFrame, comp: DataFrame, percent: int, turn: int) -> DataFrame:
+def _with_common(rows: DataFrame) -> DataFrame:
+    """The rows (key, id, n, w) with ``c``, which bounds what a document's prefix shares with any one partner; a link needs two at least.
+
+    A window holds the rows of one document, at most a few for each of its shingles.
+    """
+    own = Window.partitionBy("id")
+    counts = [F.count_if(F.col("w") == k).over(own).alias(f"k{k}") for k in (1, 2)]
+    out = rows.select("key", "id", "n", "w", *[c for c in ("component",) if c in rows.columns], *counts)
+    return out.withColumn("c", _common("k1", "k2").cast("int")).where("c >= 2").drop("k1", "k2")
+
+
+def _leader_pairs(live: DataFrame, percent: int, turn: int) -> DataFrame:
     """For each document the leader outside its component that it meets most, at least twice.
 
-    A leader is the member of a list and size class with the smallest hash, salted by the round. Classes are as wide
-    as partners may differ; a second set of classes, shifted by half, joins what a class border parts.
+    A leader is the member of a list and size class with the largest share of common elements, or in odd turns with
+    the smallest hash. Classes are as wide as partners may differ; odd turns shift them by half. This decides which
+    pairs are compared early; pairs that no turn compares are left to the last pass.
     """
     scale = 1 / float(np.log(100 / percent))
-    at = F.log(F.col("n").cast("double")) * scale
-    classes = F.array(F.floor(at) * 2, F.floor(at + 0.5) * 2 + 1)
-    rows = live.join(comp, "id").withColumn("class", F.explode(classes))
-    first = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "component")).alias("l")
-    leaders = rows.groupBy("key", "class").agg(first)
-    met = rows.join(leaders, ["key", "class"]).where("component <> l.component")
-    # A key may count for both of its classes; that lets in a few more candidates.
+    rows = live.withColumn("class", F.floor(F.log(F.col("n").cast("double")) * scale + 0.5 * (turn % 2)))
+    order = F.xxhash64("id", F.lit(turn)).cast("double") if turn % 2 else F.col("c") / F.col("n")
+    first = F.max(F.struct(order.alias("o"), F.xxhash64("id").alias("h"), "id", "n", "component")).alias("l")
+    met = rows.join(rows.groupBy("key", "class").agg(first), ["key", "class"]).where("component <> l.component")
     met = met.groupBy(F.col("l.id").alias("a"), F.col("l.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
     met = met.agg(F.count_if(F.col("w") == 1).alias("k1"), F.count_if(F.col("w") == 2).alias("k2")).where(_may_reach(percent))
     met = met.withColumn("c", F.col("k1") + F.col("k2"))
@@ -442,26 +460,19 @@ def _leader_pairs(live: DataFrame, comp: DataFrame, percent: int, turn: int) ->
 
 
 def _open_rows(live: DataFrame, comp: DataFrame) -> DataFrame:
-    """Rows (key, id, n, component, c) of the lists with more than one component.
-
-    ``c`` bounds what a document's prefix shares with any one partner in them; a link needs two at least.
-    """
-    rows = live.join(comp, "id")
-    for _ in range(2):
-        mixed = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-        rows = rows.select("key", "id", "n", "w", "component").join(mixed.select("key"), "key")
-        each = rows.groupBy("id").agg(F.count_if(F.col("w") == 1).alias("k1"), F.count_if(F.col("w") == 2).alias("k2"))
-        rows = cut(rows.join(each.select("id", _common("k1", "k2").cast("long").alias("c")).where("c >= 2"), "id"))
-    return rows.select("key", "id", "n", "component", "c")
+    """The rows of the lists with more than one component."""
+    named = live.select("key", "id", "n", "w").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    return cut(_with_common(named.join(mixed.select("key"), "key")))
 
 
-def _balls(rows: DataFrame, percent: int) -> DataFrame:
+def _balls(rows: DataFrame) -> DataFrame:
     """(leader, ln, lc, lcomponent, id, n, component, c, heavy): each document under every leader of its lists.
 
-    A list is led by the member with the largest ``c``, so the lists of a group of near copies mostly agree. A ball is
-    heavy where its pairs outnumber all shingles of its members and leader.
+    A list is led by the member with the largest share of common elements, so the lists of a group of near copies
+    mostly agree. A ball is heavy where its pairs outnumber all shingles of its members and leader.
     """
-    first = F.max(F.struct("c", F.xxhash64("id").alias("h"), "id", "n", "component")).alias("l")
+    first = F.max(F.struct((F.col("c") / F.col("n")).alias("o"), F.xxhash64("id").alias("h"), "id", "n", "c", "component")).alias("l")
     led = rows.join(rows.groupBy("key").agg(first), "key").where("id <> l.id")
     names = [F.col("l.id").alias("leader"), F.col("l.n").alias("ln"), F.col("l.c").alias("lc"), F.col("l.component").alias("lcomponent")]
     near = cut(led.select(*names, "id", "n", "component", "c").distinct())
@@ -490,8 +501,7 @@ def _by_differences(docs: DataFrame, near: DataFrame, words: int, percent: int)
     """
     q, whole = 100 - percent, 100 + percent
     heavy = near.where("heavy").select("leader", "id", "component")
-    wanted = heavy.select(F.explode(F.array("leader", "id")).alias("id")).distinct()
-    sets = _sets_in(docs, wanted, words)
+    sets = _sets_in(docs, heavy.select(F.explode(F.array("leader", "id")).alias("id")).distinct(), words)
 
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -533,7 +543,7 @@ def _by_differences(docs: DataFrame, near: DataFrame, words: int, percent: int)
 
 
 def _by_signs(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that can still be similar by their parities.
+    """The pairs (a, b, apart) that can still be similar by their parities, of which ``apart`` differ.
 
     Each of BITS bits is the parity of the shingles that fall on it, so two sets differ in at least as many shingles as
     their bits differ; similar sets of na and nb shingles differ in at most (na + nb)(1 - t) / (1 + t).
@@ -544,4 +554,5 @@ def _by_signs(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     apart = F.lit(0)
     for x in SIGNS:
         apart = apart + F.bit_count(F.col(f"a{x}").bitwiseXOR(F.col(f"b{x}")))
-    return both.where(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+    both = both.withColumn("apart", apart.cast("int"))
+    return both.where(F.col("apart") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b", "apart")

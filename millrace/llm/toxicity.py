@@ -10,12 +10,13 @@ Training knows labels of documents only. Round by round, the network learns from
 windows, seen through tables that were filled without the document's part of the sample, as it will see new texts.
 One fold of the training rows is held back from all of this and calibrates the scores.
 
-The sample is bounded by ``MOST_PER_CLASS`` documents of either label, chosen by a hash of their ids, so training costs
-the same on any input. Scoring is one narrow pass in Arrow batches; the model (MODEL_BYTES at most) is broadcast.
+The sample is bounded by ``MOST_PER_CLASS`` documents of either label and by ``MOST_BYTES`` of their texts, chosen by a
+hash of their ids, so training costs the same on any input. Scoring is one narrow pass in Arrow batches; the model (MODEL_BYTES at most) is broadcast.
 
 Defined results: null and empty texts score as a window without words; repeated rows score alike; an empty table gives
-no rows; without both labels in the training fold there is nothing to learn from and a ValueError says so; null labels
-are not used; a document labelled twice counts with each label; further columns are left alone.
+no rows; without both labels in the training fold there is nothing to learn from, and every text gets the smoothed share
+of label 1 (below 0.5 without any label); null labels are not used; a document labelled twice counts with each label; of
+texts that share a doc_id the first in byte order is learned from; further columns are left alone.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.store import cut, narrow_batches
 from millrace.llm.tokens import slices
 
 WINDOW, STRIDE = 32, 16
@@ -36,6 +38,7 @@ HIDDEN, INPUTS = 8, 5
 WORD_SLOTS, CHAR_SLOTS = 1 << 15, 1 << 16
 GRAMS = (3, 4, 5)
 MOST_PER_CLASS = 1500
+MOST_BYTES = 64 << 20
 EPOCHS = 12
 PARTS = 3
 AT_ONCE = 4096
@@ -160,6 +163,10 @@ class Network:
             self.p |= {f"w{side}": some(d, 3 * h, by=0.4), f"u{side}": some(h, 3 * h, by=0.3), f"c{side}": np.zeros(3 * h, np.float32)}
         self.curve = np.array([1.0, 0.0, 0.0, 0.0])
         self.tables = Tables()
+        self.constant: float | None = None
+
+    def nbytes(self) -> int:
+        return self.tables.words.nbytes + self.tables.chars.nbytes + sum(x.nbytes for x in self.p.values())
 
     def _states(self, table: np.ndarray, u: np.ndarray, index: np.ndarray, mask: np.ndarray | None, back: bool) -> np.ndarray:
         h2 = 2 * HIDDEN
@@ -212,6 +219,8 @@ class Network:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         """The calibrated score of each text."""
+        if self.constant is not None:
+            return np.full(len(texts), self.constant)
         index, ends, names = words_of(texts)
         rows, owner, held = window_rows(ends, len(names), index)
         logits = self.logits(self.tables.vectors(slots_of(names)), rows, held)
@@ -290,9 +299,10 @@ def train(texts: list[str], labels: np.ndarray, calibrates: np.ndarray, epochs:
     """A network for these labelled texts; rows marked in ``calibrates`` only set the final scale of scores."""
     labels = np.asarray(labels, np.int64)
     learns = ~calibrates
-    if not (labels[learns].any() and (1 - labels[learns]).any()):
-        raise ValueError("both labels are needed to learn")
     net, r = Network(seed), np.random.default_rng(seed)
+    if not (labels[learns].any() and (1 - labels[learns]).any()):
+        net.constant = float((labels.sum() + 0.5) / (len(labels) + 2))
+        return net
     index, ends, names = words_of(pa.array(texts, pa.large_string()))
     words = slots_of(names)
     net.tables = Tables.filled(words, index, ends, labels, learns)
@@ -374,21 +384,32 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return a
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLASS) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLASS, most_bytes: int = MOST_BYTES) -> Network:
     """Train on at most ``most_per_class`` documents (doc_id, text) of either label (doc_id, toxic) outside the held-out fold."""
+    narrow_batches(docs.sparkSession)
     usable = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     usable = usable.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != HELD_OUT)
     hashed = usable.withColumn("h", F.xxhash64("doc_id"))
     chosen = [hashed.where(f"toxic = {k}").orderBy("h", "doc_id").limit(most_per_class) for k in (0, 1)]
-    sample = chosen[0].unionByName(chosen[1]).drop("h")
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").collect()  # at most twice most_per_class texts
-    rows.sort(key=lambda r: (r.doc_id, r.toxic, r.text or ""))
+    sample = chosen[0].unionByName(chosen[1])
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most twice most_per_class rows are sent
+    one = cut(found.groupBy("doc_id", "toxic", "h").agg(F.min("text").alias("text")))
+    used, taken = 0, []
+    for r in sorted(one.select("doc_id", "toxic", "h", F.octet_length("text").alias("n")).collect(), key=lambda r: (r.h, r.doc_id, r.toxic)):
+        used += r.n or 0
+        if used <= most_bytes:
+            taken.append(r.doc_id)
+    rows = one.where(F.col("doc_id").isin(taken)).collect() if taken else []  # most_bytes of text
+    rows.sort(key=lambda r: (r.doc_id, r.toxic))
     y = np.array([r.toxic for r in rows], np.int64)
     return train([r.text or "" for r in rows], y, np.array([fold_of(r.doc_id) == CALIBRATES for r in rows], bool))
 
 
 def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
     """Every row of ``docs`` with ``score``, from its ``text`` alone; its other columns stay."""
+    if net.nbytes() > MODEL_BYTES:
+        raise ValueError(f"a model of over {MODEL_BYTES} bytes is not broadcast")
+    narrow_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(net)
     kept = [c for c in docs.columns if c != "score"]
 

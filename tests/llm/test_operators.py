@@ -286,12 +286,26 @@ def test_wavelet_files(spark, tmp_path):
         ids = expected_ids(t)
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+    every = np.concatenate([np.array(expected_ids(t)) for t in TEXTS])
+    assert {r.token_id: r.n for r in wavelet.counts(spark, path, [1, 2, int(every[0]), 1]).collect()} == {i: int((every == i).sum()) for i in {1, 2, int(every[0])}}
+    assert sorted(r.position for r in wavelet.occurrences(spark, path, 1).collect()) == np.flatnonzero(every == 1).tolist()
+    assert all(r.offset == len(expected_ids(TEXTS[r.doc_id])) - 1 for r in wavelet.occurrences(spark, path, 1).collect())
+    some = [0, 1, 77, len(every) - 1, len(every), -1]
+    assert {r.position: r.token_id for r in wavelet.tokens_at(spark, path, some).collect()} == {p: int(every[p]) for p in some[:4]}
+    same = documents(spark).unionByName(documents(spark).withColumn("doc_id", F.lit(3))).unionByName(documents(spark).withColumn("doc_id", F.lit(None)))
+    wavelet.write_shards(same, path + "r", vocabulary(), 5)
+    rows = sorted(wavelet.read_documents(spark, path + "r").collect(), key=lambda r: r.start)
+    assert [r.doc_id is not None for r in rows] == [False] * len(TEXTS) + [True] * 2 * len(TEXTS)
+    assert [r.doc_id for r in rows[len(TEXTS) :]] == sorted([*range(len(TEXTS)), *[3] * len(TEXTS)])
+    assert sum(r.n_tokens for r in rows) == 3 * len(every) and all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False))
     wavelet.write_shards(documents(spark).where("doc_id < 0"), path + "0", vocabulary(), 3)
     assert wavelet.read_documents(spark, path + "0").count() == 0
 
 
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 3000])
-def test_wavelet_matrix(n):
+def test_wavelet_matrix(n, monkeypatch):
+    monkeypatch.setattr(wavelet, "CHUNK", 512)
+    monkeypatch.setattr(wavelet, "CHUNKS_KEPT", 5)
     ids = np.random.default_rng(n).integers(0, 9, n).astype(np.uint16) * 7001
     w = wavelet.WaveletMatrix.build(ids)
     assert (w.decode() == ids).all()
@@ -383,8 +397,13 @@ def test_toxicity_learns_and_scores(spark):
     held = [r for r in rows if r.doc_id < len(texts) and toxicity.fold_of(r.doc_id) == toxicity.HELD_OUT]
     assert np.mean([(r.score >= 0.5) == y[r.doc_id] for r in held]) > 0.9
     assert toxicity.score(docs.where("doc_id < 0"), net).count() == 0
-    with pytest.raises(ValueError):
-        toxicity.fit(docs, labels.where("toxic = 0"))
+    # Without both labels there is nothing to learn; without any, no text counts as toxic.
+    for some, low in ((labels.where("toxic = 0"), True), (labels.where("toxic = 1"), False), (labels.where("toxic = 7"), True)):
+        alike = {r.score for r in toxicity.score(docs, toxicity.fit(docs, some)).collect()}
+        assert len(alike) == 1 and (alike.pop() < 0.5) == low
+    assert toxicity.fit(docs.where("doc_id < 0"), labels).constant < 0.5
+    twice = docs.unionByName(docs.limit(40)).unionByName(docs.where("doc_id is null"))
+    assert toxicity.fit(twice, labels, most_bytes=20_000).constant is None
 
 
 def test_toxicity_gradients():

@@ -1,19 +1,20 @@
-"""Chat formatting into prefix trees: turns that conversations share at their start are emitted once.
+"""Chat formatting into prefix trees: turns that conversations share at their start are emitted once, as token ids.
 
 Conversations are sorted by the digests of their turns, so those with a common start are neighbours and a walk over
 them is a depth-first walk of the prefix tree. Each task walks its range and emits blocks of bounded size. A block
-holds the text of its nodes in depth-first order; a node is one formatted turn with its parent, the position id of
-its first character (what its ancestors hold lies before it), the intervals it attends to (its ancestors and itself)
-and its loss interval. A conversation is its last node. Where a block or a task ends within a tree, the next block
-emits the shared start again, which bounds memory; equal conversations are ranged by their id as well, so a tree or
-a conversation that many share is split over tasks.
+holds the tokens of its nodes in depth-first order, each with its position id (the number of tokens before it on its
+path); a node is one formatted turn with its parent, its place in the tokens, the intervals of tokens it attends to
+(its ancestors and itself) and the interval under the loss. A conversation is its last node. Where a block or a task
+ends within a tree, the next block emits the shared start again, which bounds memory; equal conversations are ranged
+by their id as well, so a tree or a conversation that many share is split over tasks.
 
-Positions and lengths count code points. The template marks turns by control strings, and a backslash inside each
-control string (and before each backslash) of a text keeps texts apart from marks; reading back undoes that.
+The template marks turns by control strings, and a backslash inside each control string (and before each backslash)
+of a text keeps texts apart from marks; reading back undoes that. Marks, header and text of a turn are encoded one by
+one with a byte-level vocabulary, so the loss covers whole tokens, and the tokens give back every byte.
 
 Defined results: a null text or role is empty; rows of a conversation are ordered by turn, nulls first, then role and
 text, and repeated rows are repeated turns; a null conv_id is one conversation; no rows give no blocks; further
-columns are ignored.
+columns are ignored. A conversation is held whole by one task; its size bounds what a task needs.
 """
 
 from __future__ import annotations
@@ -26,21 +27,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.store import narrow_batches
+from millrace.llm.tokens import byte_signs
+
 # The marks of this template, and those of other templates that texts should not be able to imitate.
 OPEN, CLOSE = "<s>", "</s>"
 CONTROL = (OPEN, CLOSE, "[INST]", "[/INST]")
 LOSS_ROLES = ("assistant",)
-BLOCK_CHARS = 1 << 20
+BLOCK_TOKENS = 1 << 18
 
 INTERVALS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 ARROW = pa.schema(
     [
         ("block_id", pa.int64()),
-        ("text", pa.string()),
+        ("tokens", pa.list_(pa.int32())),
+        ("position_ids", pa.list_(pa.int32())),
         ("parents", pa.list_(pa.int32())),
         ("starts", pa.list_(pa.int64())),
         ("lengths", pa.list_(pa.int64())),
-        ("positions", pa.list_(pa.int64())),
         ("attends", pa.list_(INTERVALS)),
         ("losses", INTERVALS),
         ("conv_ids", pa.list_(pa.int64())),
@@ -48,7 +52,7 @@ ARROW = pa.schema(
     ]
 )
 SCHEMA = (
-    "block_id long, text string, parents array<int>, starts array<long>, lengths array<long>, positions array<long>,"
+    "block_id long, tokens array<int>, position_ids array<int>, parents array<int>, starts array<long>, lengths array<long>,"
     " attends array<array<struct<start: long, end: long>>>, losses array<struct<start: long, end: long>>,"
     " conv_ids array<long>, leaves array<int>"
 )
@@ -77,11 +81,35 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], role, flags=re.DOTALL)
 
 
-def format_turn(role: str, text: str) -> tuple[str, int, int]:
-    """The formatted turn, and where its text starts and ends in it."""
-    head = f"{OPEN}{escape_role(role)}\n"
-    body = escape(text)
-    return head + body + CLOSE, len(head), len(head) + len(body)
+class Codec:
+    """Token ids of texts and back, by a byte-level vocabulary file; one per worker process and file."""
+
+    _made: dict[str, Codec] = {}
+
+    @classmethod
+    def of(cls, path: str) -> Codec:
+        if path not in cls._made:
+            cls._made[path] = cls(path)
+        return cls._made[path]
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        signs = {ord(c): b for b, c in byte_signs().items()}
+        self.bytes = {i: bytes(signs[ord(c)] for c in t) for t, i in self.whole.get_vocab().items() if all(ord(c) in signs for c in t)}
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def decode(self, ids: list[int]) -> str:
+        return b"".join([self.bytes[i] for i in ids]).decode()
+
+
+def turn_parts(role: str, text: str) -> list[str]:
+    """The formatted turn in three parts: mark and role, text, mark."""
+    return [f"{OPEN}{escape_role(role)}\n", escape(text), CLOSE]
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
@@ -100,9 +128,10 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 class Block:
     """A prefix tree under construction, fed with conversations in sorted order."""
 
-    def __init__(self):
-        self.parts: list[str] = []
-        self.size = 0
+    def __init__(self, codec: Codec):
+        self.codec = codec
+        self.tokens: list[int] = []
+        self.position_ids: list[int] = []
         self.nodes: list[tuple] = []
         self.convs: list[tuple] = []
         self.path: list[tuple[tuple[str, str], int]] = []
@@ -114,39 +143,42 @@ class Block:
                 break
             shared += 1
         del self.path[shared:]
-        for role, text in turns[shared:]:
-            formatted, a, b = format_turn(role, text)
+        own = turns[shared:]
+        encoded = self.codec.encode([part for turn in own for part in turn_parts(*turn)])
+        for k, (role, text) in enumerate(own):
+            head, body, tail = encoded[3 * k : 3 * k + 3]
+            start, length = len(self.tokens), len(head) + len(body) + len(tail)
             parent = self.path[-1][1] if self.path else -1
             attends: list[tuple[int, int]] = []
             position = 0
             if parent >= 0:
-                _, start, length, before, seen, _ = self.nodes[parent]
-                position, attends = before + length, list(seen)
-            here = (self.size, self.size + len(formatted))
-            if attends and attends[-1][1] == here[0]:
-                attends[-1] = (attends[-1][0], here[1])
+                attends = list(self.nodes[parent][3])
+                position = sum(b - a for a, b in attends)
+            if attends and attends[-1][1] == start:
+                attends[-1] = (attends[-1][0], start + length)
             else:
-                attends.append(here)
-            loss = (self.size + a, self.size + b) if role in LOSS_ROLES else None
-            self.nodes.append((parent, self.size, len(formatted), position, attends, loss))
-            self.parts.append(formatted)
-            self.size += len(formatted)
+                attends.append((start, start + length))
+            loss = (start + len(head), start + len(head) + len(body)) if role in LOSS_ROLES else None
+            self.nodes.append((parent, start, length, attends, loss))
+            self.tokens += head + body + tail
+            self.position_ids += range(position, position + length)
             self.path.append(((role, text), len(self.nodes) - 1))
         self.convs.append((conv_id, self.path[-1][1] if self.path else -1))
 
     def row(self, block_id: int) -> pa.RecordBatch:
         spans = lambda xs: [{"start": a, "end": b} for a, b in xs]
-        columns = [*zip(*self.nodes, strict=True)] or [[]] * 6
-        losses = [x and {"start": x[0], "end": x[1]} for x in columns[5]]
+        columns = [*zip(*self.nodes, strict=True)] or [[]] * 5
+        losses = [x and {"start": x[0], "end": x[1]} for x in columns[4]]
         ids, leaves = zip(*self.convs, strict=True)
-        values = [block_id, "".join(self.parts), *columns[:4], [spans(x) for x in columns[4]], losses, ids, leaves]
+        values = [block_id, self.tokens, self.position_ids, *columns[:3], [spans(x) for x in columns[3]], losses, ids, leaves]
         return pa.RecordBatch.from_arrays(
             [pa.array([v], f.type) for v, f in zip(values, ARROW, strict=True)], schema=ARROW
         )
 
 
-def format_trees(conversations: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Blocks of prefix trees over rows (conv_id, turn, role, text)."""
+def format_trees(conversations: DataFrame, vocabulary: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Blocks of prefix trees over rows (conv_id, turn, role, text), in the tokens of a byte-level vocabulary file."""
+    narrow_batches(conversations.sparkSession, 512)
     role, text = (F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text"))
     turns = (
         conversations.select("conv_id", "turn", role, text)
@@ -161,35 +193,38 @@ def format_trees(conversations: DataFrame, block_chars: int = BLOCK_CHARS) -> Da
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block, block_id = Block(), TaskContext.get().partitionId() << 36
+        codec = Codec.of(vocabulary)
+        block, block_id = Block(codec), TaskContext.get().partitionId() << 36
         for batch in batches:
             for conv_id, rows in zip(batch.column("conv_id"), batch.column("turns"), strict=True):
                 block.add(conv_id.as_py(), [(t["role"], t["text"]) for t in rows.as_py()])
-                if block.size >= block_chars:
+                if len(block.tokens) >= block_tokens:
                     yield block.row(block_id)
-                    block, block_id = Block(), block_id + 1
+                    block, block_id = Block(codec), block_id + 1
         if block.convs:
             yield block.row(block_id)
 
     return turns.select("conv_id", F.expr("transform(turns, t -> struct(t.role as role, t.text as text))").alias("turns")).mapInArrow(of_task, SCHEMA)
 
 
-def read_conversations(blocks: DataFrame) -> DataFrame:
+def read_conversations(blocks: DataFrame, vocabulary: str) -> DataFrame:
     """Every conversation as the blocks hold it: turns and loss text by their digests."""
 
     def sha(text: str) -> str:
         return hashlib.sha256(text.encode()).hexdigest()
 
     def of_block(block: dict) -> Iterator[tuple]:
-        text = block["text"]
+        codec, tokens = Codec.of(vocabulary), block["tokens"]
+        node = [codec.decode(tokens[a : a + n]) for a, n in zip(block["starts"], block["lengths"], strict=True)]
+        masks = [unescape(codec.decode(tokens[m["start"] : m["end"]])) if m else None for m in block["losses"]]
         for conv_id, leaf in zip(block["conv_ids"], block["leaves"], strict=True):
-            whole = "".join(text[x["start"] : x["end"]] for x in block["attends"][leaf]) if leaf >= 0 else ""
             path = []
             while leaf >= 0:
                 path.append(leaf)
                 leaf = block["parents"][leaf]
-            masks = [block["losses"][i] for i in reversed(path)]
-            loss = "".join(unescape(text[m["start"] : m["end"]]) for m in masks if m)
+            path.reverse()
+            whole = "".join(node[i] for i in path)
+            loss = "".join(masks[i] for i in path if masks[i] is not None)
             turns = parse(whole)
             yield conv_id, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(whole)
 

@@ -22,6 +22,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_vocabulary() -> str:
+    """The vocabulary file of formatted conversations, whose tokens give back every byte."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's number of links, component and verdict at a cosine of 0.98."""
     return embed.near_duplicates(_table(spark, sf_dir, "embeddings"))
@@ -43,7 +50,8 @@ def op4_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
-    return chat.read_conversations(chat.format_trees(rows.unionByName(own)))
+    names = byte_vocabulary()
+    return chat.read_conversations(chat.format_trees(rows.unionByName(own), names), names)
 
 
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]

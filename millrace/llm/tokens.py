@@ -24,7 +24,7 @@ PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
-def _byte_signs() -> dict[int, str]:
+def byte_signs() -> dict[int, str]:
     """The printable sign that stands for each byte in a byte-level vocabulary: itself, or the next one from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in own]
@@ -47,7 +47,7 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.signs = _byte_signs()
+        self.signs = byte_signs()
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 

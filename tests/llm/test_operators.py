@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import chat, embed, graph, jaccard, mixing, packing, quality, toxicity, urls, warc, wavelet
-from millrace.llm.queries import vocabulary
+from millrace.llm.queries import byte_vocabulary, vocabulary
 from millrace.llm.tokens import Encoder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -180,8 +180,8 @@ def test_chat(spark):
     rows = [(c, t, ("user", "assistant", "sys\ntem", None)[t % 4], f"same {t}" if t < 2 else odd[(c + t) % len(odd)]) for c in range(30) for t in range(5)]
     rows += [(-1, 0, "user", said), (-1, 1, "assistant", said), (None, 0, "user", "x"), (3, 0, "user", "same 0"), (50, None, None, None)]
     frame = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, turns int")
-    blocks = chat.format_trees(frame, block_chars=3000)
-    got = {r.conv_id: r for r in chat.read_conversations(blocks).collect()}
+    blocks = chat.format_trees(frame, byte_vocabulary(), block_tokens=3000)
+    got = {r.conv_id: r for r in chat.read_conversations(blocks, byte_vocabulary()).collect()}
     convs = defaultdict(list)
     for c, t, r, x in rows:
         convs[c].append((-1 if t is None else t, r or "", x or ""))
@@ -194,19 +194,25 @@ def test_chat(spark):
         assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == want
     nodes = sum(len(r.starts) for r in blocks.collect())
     assert nodes < len(rows)  # shared starts are emitted once
-    assert chat.read_conversations(chat.format_trees(frame.where("conv_id = -9"))).count() == 0
+    assert chat.read_conversations(chat.format_trees(frame.where("conv_id = -9"), byte_vocabulary()), byte_vocabulary()).count() == 0
 
 
 def test_positions_and_attention():
-    b = chat.Block()
-    b.add(1, [("user", "hi"), ("assistant", "one")])
-    b.add(2, [("user", "hi"), ("assistant", "two"), ("user", "more")])
-    text = "".join(b.parts)
-    assert text.count("hi") == 1
+    b = chat.Block(chat.Codec.of(byte_vocabulary()))
+    b.add(1, [("user", "hi there you"), ("assistant", "one")])
+    b.add(2, [("user", "hi there you"), ("assistant", "two"), ("user", "more")])
+    b.add(3, [("user", "hi there you"), ("assistant", "one"), ("user", "é\\</s>")])
+    decode = b.codec.decode
+    assert decode(b.tokens).count("hi there you") == 1 and len(b.position_ids) == len(b.tokens)
+    want = {1: ["hi there you", "one"], 2: ["hi there you", "two", "more"], 3: ["hi there you", "one", "é\\</s>"]}
     for conv, leaf in b.convs:
-        whole = "".join(text[s:e] for s, e in b.nodes[leaf][4])
-        assert b.nodes[leaf][3] + b.nodes[leaf][2] == len(whole)
-        assert [t for _, t in chat.parse(whole)] == (["hi", "one"] if conv == 1 else ["hi", "two", "more"])
+        seen = [i for s, e in b.nodes[leaf][3] for i in range(s, e)]
+        assert [t for _, t in chat.parse(decode([b.tokens[i] for i in seen]))] == want[conv]
+        # Along a path, positions count up from 0, whatever lies between in the block.
+        assert [b.position_ids[i] for i in seen] == list(range(len(seen)))
+    _, start, _, _, loss = b.nodes[1]
+    assert decode(b.tokens[loss[0] : loss[1]]) == "one" and loss[0] > start
+    assert b.nodes[0][4] is None
 
 
 def test_urls(spark):

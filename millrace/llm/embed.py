@@ -10,8 +10,9 @@ Pairs meet in hash tables: runs of sign bits of such codes within one label. Bit
 the largest label's size and from the wanted chance to miss a pair at the threshold (MISS; closer pairs are missed
 less). The number of tables grows as a small power of the size, so the work per vector does too.
 
-Equal vectors are one node with a weight. A bucket of over CHUNK rows is cut into chunks whose pairs are compared in
-tiles, each a task-sized group of its own. Pairs are counted in the first table in which they meet; a tile sends one
+Equal vectors are one node with a weight. Buckets are wide (about BUCKET rows): comparing codes within one is a matrix
+product, while every table moves all vectors once, so few tables with wide buckets are cheaper than many narrow ones.
+A bucket of over CHUNK rows is cut into chunks whose pairs are compared in tiles, each a task-sized group of its own. Pairs are counted in the first table in which they meet; a tile sends one
 row per vector with its number of links and the smallest id that it reaches there, never the pairs.
 
 Defined results: a null label, and a vector that is null, empty, zero, or holds null or non-finite numbers, links with
@@ -30,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.graph import components
-from millrace.llm.store import cut
+from millrace.llm.store import cut, narrow_batches
 
-CHUNK = 1024
-BUCKET = 32
+CHUNK = 4096
+BUCKET = 2048
+ROWS_AT_ONCE = 512
 MISS = 1e-4
 SEED = 20240229
 PAIRS_AT_ONCE = 50_000
@@ -47,20 +49,24 @@ def rotation(dim: int, k: int) -> np.ndarray:
 
 def table_plan(largest: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
     """Bits per table, for buckets of about BUCKET unrelated vectors, and the number of tables."""
-    bits = min(40, max(6, math.ceil(math.log2(max(1, largest / BUCKET)))))
+    bits = min(40, max(1, math.ceil(math.log2(max(1, largest / BUCKET)))))
     meet = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(miss) / math.log(1 - meet))
 
 
 def codes(vectors: np.ndarray, bits: int, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For unit rows: packed signs under the first rotation, correction factors, and the tables' keys."""
-    n, dim = vectors.shape
+    """For unit rows: packed signs under the first rotation, correction factors, and the tables' packed sign bits."""
+    dim = vectors.shape[1]
     turned = [vectors @ rotation(dim, k).T for k in range(-(-bits * tables // dim))]
     signs = np.concatenate(turned, 1) >= 0
     factors = np.abs(turned[0]).sum(1) / math.sqrt(dim)
-    weights = np.int64(1) << np.arange(bits, dtype=np.int64)
-    keys = signs[:, : bits * tables].reshape(n, tables, bits) @ weights
-    return np.packbits(signs[:, :dim], axis=1), factors, keys
+    return np.packbits(signs[:, :dim], axis=1), factors, np.packbits(signs[:, : bits * tables], axis=1)
+
+
+def keys_of(packed: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """The tables' keys, one column for each, from their packed sign bits."""
+    signs = np.unpackbits(packed, axis=1, count=bits * tables)
+    return signs.reshape(len(packed), tables, bits) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
 
 
 def _prepared(vectors: DataFrame) -> DataFrame:
@@ -103,26 +109,27 @@ def _coded(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
                 x, length = _units(part.column("vec").to_pylist())
-                packed, factors, keys = codes(x / length[:, None], bits, tables)
+                packed, factors, runs = codes(x / length[:, None], bits, tables)
                 extra = {
                     "code": pa.array([c.tobytes() for c in packed], pa.binary()),
                     "factor": pa.array(factors),
-                    "keys": pa.array([*keys], pa.list_(pa.int64())),
+                    "runs": pa.array([r.tobytes() for r in runs], pa.binary()),
+                    "keys": pa.array([*keys_of(runs, bits, tables)], pa.list_(pa.int64())),
                 }
                 for name, column in extra.items():
                     part = part.append_column(name, column)
                 yield part
 
     return nodes.mapInArrow(
-        of_task, "id long, label long, dim int, weight long, vec binary, code binary, factor double, keys array<long>"
+        of_task, "id long, label long, dim int, weight long, vec binary, code binary, factor double, runs binary, keys array<long>"
     )
 
 
-def _tile(rows: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tile(rows: pa.Table, threshold: float, bits: int, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, links, target) of a tile: links met here for the first time, and the smallest id reached by them."""
     ids, weight, chunk, label, dim = (rows.column(c).to_numpy() for c in ("id", "weight", "chunk", "label", "dim"))
     table, ti, tj = (int(rows.column(c)[0].as_py()) for c in ("t", "ti", "tj"))
-    keys = np.stack(rows.column("keys").to_numpy())
+    keys = keys_of(np.frombuffer(b"".join(rows.column("runs").to_pylist()), np.uint8).reshape(len(ids), -1), bits, tables)
     x, length = _units(rows.column("vec").to_pylist())
     d = x.shape[1]
     signs = np.unpackbits(np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1), axis=1)
@@ -131,18 +138,21 @@ def _tile(rows: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.
     f = rows.column("factor").to_numpy()
     bound = threshold - math.sqrt(1 - threshold**2) * np.sqrt(np.maximum(0, 1 - f * f)) / f
     left, right = np.flatnonzero(chunk == ti), np.flatnonzero(chunk == tj)
-    estimate = (turned[left] @ coded[right].T) / f[right].astype(np.float32)
-    near = estimate >= (bound[right] - 1e-4).astype(np.float32)
-    if ti == tj:
-        near &= np.tri(len(left), k=-1, dtype=bool)
-    i, j = (side[at] for side, at in zip((left, right), np.nonzero(near), strict=True))
+    least = (bound[right] - 1e-4).astype(np.float32)
+    scaled = np.ascontiguousarray((coded[right] / f[right, None].astype(np.float32)).T)
     kept = []
-    for a in range(0, len(i), PAIRS_AT_ONCE):
-        p, q = i[a : a + PAIRS_AT_ONCE], j[a : a + PAIRS_AT_ONCE]
-        ok = (keys[p, table] == keys[q, table]) & (label[p] == label[q]) & (dim[p] == dim[q])
-        ok &= ~(keys[p, :table] == keys[q, :table]).any(1)
-        ok[ok] = np.einsum("ij,ij->i", x[p[ok]], x[q[ok]]) / (length[p[ok]] * length[q[ok]]) >= threshold
-        kept.append(np.stack([p[ok], q[ok]]))
+    for start in range(0, len(left), ROWS_AT_ONCE):
+        some = left[start : start + ROWS_AT_ONCE]
+        near = turned[some] @ scaled >= least
+        if ti == tj:
+            near &= right[None, :] < some[:, None]
+        p, q = (side[at] for side, at in zip((some, right), np.nonzero(near), strict=True))
+        for a in range(0, len(p), PAIRS_AT_ONCE):
+            i, j = p[a : a + PAIRS_AT_ONCE], q[a : a + PAIRS_AT_ONCE]
+            ok = (keys[i, table] == keys[j, table]) & (label[i] == label[j]) & (dim[i] == dim[j])
+            ok &= ~(keys[i, :table] == keys[j, :table]).any(1)
+            ok[ok] = np.einsum("ij,ij->i", x[i[ok]], x[j[ok]]) / (length[i[ok]] * length[j[ok]]) >= threshold
+            kept.append(np.stack([i[ok], j[ok]]))
     i, j = np.concatenate(kept, 1) if kept else (np.empty(0, np.int64),) * 2
     links = np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))
     target = ids.copy()
@@ -156,7 +166,7 @@ def _tile(rows: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.
     return ids[some], links[some].astype(np.int64), target[some]
 
 
-def _tiles(rows: DataFrame, threshold: float) -> DataFrame:
+def _tiles(rows: DataFrame, threshold: float, bits: int, tables: int) -> DataFrame:
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
@@ -166,7 +176,7 @@ def _tiles(rows: DataFrame, threshold: float) -> DataFrame:
             found = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if b - a > 1:
-                    found.append(_tile(table.slice(a, b - a).combine_chunks(), threshold))
+                    found.append(_tile(table.slice(a, b - a).combine_chunks(), threshold, bits, tables))
             if found:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["id", "links", "target"]
@@ -189,15 +199,17 @@ def _tiles(rows: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, miss: float = MISS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of (vec_id, embedding, label)."""
-    rows = cut(_prepared(vectors))
-    usable = rows.where("dim is not null and vec_id is not null")
+    narrow_batches(vectors.sparkSession)
+    prepared = _prepared(vectors)
+    rows = cut(prepared.drop("vec"))
+    usable = prepared.where("dim is not null and vec_id is not null")
     nodes = usable.groupBy("label", "dim", "d1", "d2").agg(
         F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("vec").alias("vec")
     )
     nodes = cut(nodes)
     largest = nodes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
     bits, tables = table_plan(largest, threshold, miss)
-    coded = cut(_coded(nodes.select("id", "label", "dim", "weight", "vec"), bits, tables))
+    coded = _coded(nodes.select("id", "label", "dim", "weight", "vec"), bits, tables)
     each = coded.select("*", F.posexplode("keys").alias("t", "key"))
     hot = each.groupBy("label", "dim", "t", "key").count().where(F.col("count") > CHUNK)
     hot = hot.withColumn("chunks", F.expr(f"(count + {CHUNK - 1}) div {CHUNK}")).drop("count")
@@ -206,8 +218,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, miss: float = M
     each = each.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     each = each.withColumns({"ti": F.least("chunk", "other"), "tj": F.greatest("chunk", "other")})
     each = each.withColumn("g", F.xxhash64("label", "dim", "t", "key", "ti", "tj"))
-    tiles = each.select("g", "id", "label", "dim", "weight", "vec", "code", "factor", "keys", "t", "chunk", "ti", "tj")
-    found = cut(_tiles(tiles.repartition("g").sortWithinPartitions("g"), threshold))
+    tiles = each.select("g", "id", "label", "dim", "weight", "vec", "code", "factor", "runs", "t", "chunk", "ti", "tj")
+    found = cut(_tiles(tiles.repartition("g").sortWithinPartitions("g"), threshold, bits, tables))
     degree = found.groupBy("id").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("id").alias("src"), F.col("target").alias("dst")))
     of_node = nodes.join(degree, "id", "left").join(comp, "id", "left")

@@ -3,7 +3,8 @@
 DataFrame functions only; one narrow pass over the text, no shuffle, no Python on the executors.
 
 Defined results: a null text counts as an empty one; an empty text has no words, fails the base rule and
-is not kept; rows are judged one by one, so repeated rows give repeated results; other columns pass through.
+is not kept; rows are judged one by one, so repeated rows give repeated results; other columns pass through; phrases
+of page furniture count in lines of up to ``max_furniture_bytes`` bytes, as a longer line is a paragraph that quotes one.
 A column of the input that has the name of a result column gives way to the result.
 """
 
@@ -126,12 +127,8 @@ def line_failures(line: str, symbols: str, stutter: str, rules: LineRules = DEFA
     )
 
 
-def judge(docs: DataFrame, text: str = "text", rules: LineRules = DEFAULT) -> DataFrame:
-    """Add the counts, the cleaned text and the verdict to every row.
-
-    ``kept`` is false where the base rules fail (too few words, too many repeated 8-word windows) or where the
-    lines that pass hold less than ``min_kept_percent`` of the characters of all lines' words.
-    """
+def _measured(text: str, rules: LineRules) -> Column:
+    """A struct of a text's counts (``n``, ``r``, ``y``, ``d``) and its lines that pass (``c``)."""
     word = r"[^\\x20\\x09-\\x0D]"
     t = f"coalesce(`{text}`, '')"
     of_words = "struct(cast(size(w) as bigint) as n, q.r as r, q.s as s)"
@@ -142,9 +139,12 @@ def judge(docs: DataFrame, text: str = "text", rules: LineRules = DEFAULT) -> Da
         "struct(w.n as n, w.r as r, y as y, cast(size(l) - size(array_distinct(l)) as bigint) as d,"
         f" array_join(filter(l, x -> not {line_failures('x', 'y', 'w.s', rules)}), '\\n') as c)",
     )
-    made = docs.withColumn(
-        "__q", F.expr(_bind(counts, "w", _bind(f"cast({_count(t, SYMBOLS)} as bigint)", "y", lines)))
-    ).withColumns(
+    return F.expr(_bind(counts, "w", _bind(f"cast({_count(t, SYMBOLS)} as bigint)", "y", lines)))
+
+
+def _with_verdict(made: DataFrame, text: str, rules: LineRules) -> DataFrame:
+    t = f"coalesce(`{text}`, '')"
+    made = made.withColumns(
         {
             "n_words": F.col("__q.n"),
             "word_chars": F.expr(f"cast(length({_without(t, BLANKS)}) as bigint)"),
@@ -163,16 +163,29 @@ def judge(docs: DataFrame, text: str = "text", rules: LineRules = DEFAULT) -> Da
     return made.withColumn("kept", ~F.col("base_failed") & enough).drop("__q")
 
 
+def judge(docs: DataFrame, text: str = "text", rules: LineRules = DEFAULT) -> DataFrame:
+    """Add the counts, the cleaned text and the verdict to every row.
+
+    ``kept`` is false where the base rules fail (too few words, too many repeated 8-word windows) or where the
+    lines that pass hold less than ``min_kept_percent`` of the characters of all lines' words.
+    """
+    return _with_verdict(docs.withColumn("__q", _measured(text, rules)), text, rules)
+
+
 def clean(docs: DataFrame, text: str = "text", rules: LineRules = DEFAULT) -> DataFrame:
     """The kept rows with their cleaned text, in the columns they came with; ``n_chars`` follows where it is there."""
-    judged = judge(docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), text, rules)
-    kept = judged.where("kept").withColumn("__text", F.col("cleaned"))
+    # Names of its own keep the input's columns apart from those of the verdict. The generator is there because a
+    # filter is not pushed below it, which would measure every text twice.
+    names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    measured = own.select("*", F.explode(F.array(_measured(names[text], rules))).alias("__q"))
+    kept = _with_verdict(measured, names[text], rules).where("kept")
     cols = []
-    for c in docs.columns:
+    for c, n in names.items():
         if c == text:
-            cols.append(F.col("__text").alias(c))
+            cols.append(F.col("cleaned").alias(c))
         elif c == "n_chars":
-            cols.append(F.length("__text").cast(docs.schema[c].dataType).alias(c))
+            cols.append(F.length("cleaned").cast(docs.schema[c].dataType).alias(c))
         else:
-            cols.append(F.col("__row")[c].alias(c))
+            cols.append(F.col(n).alias(c))
     return kept.select(*cols)

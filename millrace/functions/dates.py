@@ -67,3 +67,27 @@ def duration(seconds: Column) -> Column:
     """As ``3d 4h`` or ``2h 5m`` or ``7m``."""
     d, h, m = F.floor(seconds / 86400), F.floor(seconds % 86400 / 3600), F.floor(seconds % 3600 / 60)
     return F.when(d > 0, F.format_string("%dd %dh", d, h)).when(h > 0, F.format_string("%dh %dm", h, m)).otherwise(F.format_string("%dm", m))
+
+
+def monday_of(week: Column) -> Column:
+    """The Monday of a week key as :func:`iso_week` makes them: the week of January 4 is the first."""
+    fourth = F.make_date(F.floor(week / 100).cast("int"), F.lit(1), F.lit(4))
+    return F.date_add(F.date_sub(fourth, F.weekday(fourth)), ((week % 100 - 1) * 7).cast("int"))
+
+
+def week_bounds(ts: Column) -> tuple[Column, Column]:
+    """Monday midnight and the next one."""
+    start = F.date_trunc("week", ts)
+    return start, start + F.expr("interval 7 days")
+
+
+def month_bounds(day: Column, anchor: Column) -> tuple[Column, Column]:
+    """The month around a day that starts on the anchor's day of month, and the start of the next one."""
+    start = month_anchor(day, anchor)
+    first = F.trunc(F.add_months(F.trunc(start, "month"), 1), "month")
+    return start, F.date_add(first, F.least(F.dayofmonth(anchor), F.dayofmonth(F.last_day(first))) - 1)
+
+
+def day_cutoff(now: Column, days: int) -> Column:
+    """The start of the day for 0 days, else so many times 24 hours ago."""
+    return F.date_trunc("day", now) if days == 0 else now - F.expr(f"interval {days * 24} hours")

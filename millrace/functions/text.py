@@ -157,3 +157,155 @@ def chunks(text: Column, size: int = 400, overlap: int = 50) -> Column:
 
     # The words are bound once, so that windows do not split the text again.
     return F.transform(F.array(pieces), windows)[0]
+
+
+def preview(s: Column, length: int = 500) -> Column:
+    return F.substring(s, 1, length)
+
+
+def basename(path: Column) -> Column:
+    return F.substring_index(path, "/", -1)
+
+
+def dirname(path: Column) -> Column:
+    """Everything before the last slash; ``.`` where there is none."""
+    return F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, r"/[^/]*$", "")).otherwise(".")
+
+
+def trim_diff(diff: Column) -> Column:
+    """A diff whose body lines lose the indent that all body lines with content share; headers stay."""
+    lines = F.split(diff, "\n")
+    body = lambda x: x.rlike(r"^[-+ ]") & ~x.rlike(r"^(---|\+\+\+)")
+    content = F.filter(lines, lambda x: body(x) & (F.trim(F.regexp_replace(F.substring(x, 2, F.length(x)), r"\s", " ")) != ""))
+    widths = F.transform(content, lambda x: F.length(F.regexp_extract(x, r"^.(\s*)", 1)))
+    least = F.coalesce(F.array_min(widths), F.lit(0))
+
+    def cut(n: Column) -> Column:
+        short = F.transform(lines, lambda x: F.when(body(x), F.concat(F.substring(x, 1, 1), F.substring(x, n + 2, F.length(x)))).otherwise(x))
+        return F.when(n == 0, diff).otherwise(F.array_join(short, "\n"))
+
+    return F.transform(F.array(least), cut)[0]
+
+
+def truncated(s: Column, lines: int = MAX_LINES, most_bytes: int = MAX_BYTES, tail: bool = False) -> Column:
+    """struct(kept, removed, unit): what stays of a text within both limits, from its start or its end, and what went.
+
+    Bytes count a line feed for each line after the first one kept. ``unit`` is ``bytes`` where they ended it, else
+    ``lines``; nothing removed gives 0 and null.
+    """
+    every = F.split(s, "\n")
+    some = F.slice(F.reverse(every) if tail else every, 1, lines)
+    state = F.struct(F.lit(0).cast("long").alias("bytes"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+
+    def step(a: Column, x: Column) -> Column:
+        size = a["bytes"] + F.octet_length(x) + F.when(a["n"] > 0, 1).otherwise(0)
+        fits = a["open"] & (size <= most_bytes)
+        return F.struct(F.when(fits, size).otherwise(a["bytes"]).cast("long").alias("bytes"), F.when(fits, a["n"] + 1).otherwise(a["n"]).alias("n"), fits.alias("open"))
+
+    def told(a: Column) -> Column:
+        kept = F.slice(some, F.lit(1), a["n"])
+        whole = F.octet_length(s).cast("long")
+        uncut = (F.size(every) <= lines) & (whole <= most_bytes)
+        removed = F.when(uncut, F.lit(0).cast("long")).when(a["open"], (F.size(every) - a["n"]).cast("long")).otherwise(whole - a["bytes"])
+        unit = F.when(uncut, F.lit(None)).when(a["open"], "lines").otherwise("bytes")
+        return F.struct(F.array_join(F.reverse(kept) if tail else kept, "\n").alias("kept"), removed.alias("removed"), unit.alias("unit"))
+
+    return F.aggregate(some, state, step, told)
+
+
+def read_page(s: Column, offset: int = 1, limit: int = MAX_LINES, most_bytes: int = MAX_BYTES, longest: int = MAX_LINE) -> Column:
+    """struct(content, first, last, more): numbered lines from ``offset`` on within the limits; null where it is out of range.
+
+    A line over ``longest`` characters is cut and marked; bytes count one line feed for each line after the first.
+    """
+    lines = F.split(F.regexp_replace(s, r"\r?\n$", ""), r"\r?\n")
+    there = F.when(s == "", 0).otherwise(F.size(lines))
+    shown = lambda x: F.when(F.length(x) > longest, F.concat(F.substring(x, 1, longest), F.lit(f"... (line truncated to {longest} chars)"))).otherwise(x)
+    page = F.transform(F.slice(lines, offset, limit), shown)
+    state = F.struct(F.lit(0).cast("long").alias("bytes"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+
+    def step(a: Column, x: Column) -> Column:
+        size = a["bytes"] + F.octet_length(x) + F.when(a["n"] > 0, 1).otherwise(0)
+        fits = a["open"] & (size <= most_bytes)
+        return F.struct(F.when(fits, size).otherwise(a["bytes"]).cast("long").alias("bytes"), F.when(fits, a["n"] + 1).otherwise(a["n"]).alias("n"), fits.alias("open"))
+
+    def told(a: Column) -> Column:
+        kept = F.transform(F.slice(page, F.lit(1), a["n"]), lambda x, i: F.concat((i + offset).cast("string"), F.lit(": "), x))
+        last = (a["n"] + (offset - 1)).alias("last")
+        return F.struct(F.array_join(kept, "\n").alias("content"), F.lit(offset).alias("first"), last, (there > a["n"] + (offset - 1)).alias("more"))
+
+    empty = F.struct(F.lit("").alias("content"), F.lit(offset).alias("first"), F.lit(offset - 1).alias("last"), F.lit(False).alias("more"))
+    paged = F.aggregate(page, state, step, told)
+    return F.when((there == 0) & F.lit(offset == 1), empty).when(there >= offset, paged)
+
+
+def wildcard_value(s: Column, patterns: dict[str, str]) -> Column:
+    """The value of the last pattern that matches, shorter ones first and equal lengths by name; null if none does."""
+    out = F.lit(None).cast("string")
+    for p in sorted(patterns, key=lambda p: (len(p), p)):
+        out = F.when(s.rlike(wildcard_regex(p)), F.lit(patterns[p])).otherwise(out)
+    return out
+
+
+def _matcher(word: str):
+    return lambda x: x.rlike(wildcard_regex(word))
+
+
+def wildcard_sequence(tokens: Column, pattern: str) -> Column:
+    """Whether the tokens match a pattern of words: the first word the first token, the others some later ones in order.
+
+    A word ``*`` takes no token. Taking the first token that matches leaves most for the words behind it.
+    """
+    head, *rest = pattern.split()
+    ok = F.get(tokens, F.lit(0)).rlike(wildcard_regex(head))
+    left = F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1)))
+    for word in (w for w in rest if w != "*"):
+        hit = F.array_position(F.transform(left, _matcher(word)), True)
+        ok = ok & (hit > 0)
+        left = F.when(hit > 0, F.slice(left, hit.cast("int") + 1, F.greatest(F.size(left), F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    return ok
+
+
+def structured_value(tokens: Column, patterns: dict[str, str]) -> Column:
+    """As :func:`wildcard_value` for tokens and patterns of words."""
+    out = F.lit(None).cast("string")
+    for p in sorted(patterns, key=lambda p: (len(p), p)):
+        out = F.when(wildcard_sequence(tokens, p), F.lit(patterns[p])).otherwise(out)
+    return out
+
+
+def glob_regex(glob: str) -> str:
+    """A file glob as a regex over a relative path: ``**`` crosses folders, ``*`` and ``?`` do not, ``{a,b}`` are choices."""
+    import re
+
+    out, at, depth = "", 0, 0
+    while at < len(glob):
+        if glob.startswith("**/", at):
+            out, at = out + "(?:.*/)?", at + 3
+        elif glob.startswith("**", at):
+            out, at = out + ".*", at + 2
+        else:
+            c = glob[at]
+            depth += (c == "{") - (c == "}")
+            special = {"*": "[^/]*", "?": "[^/]", "{": "(?:", "}": ")"}
+            out += "|" if c == "," and depth else special.get(c, re.escape(c))
+            at += 1
+    return f"^{out}$"
+
+
+def fuzzy_score(s: Column, query: str) -> Column:
+    """How well the letters of a query are found in order: 0 if they are not, else more for shorter spans and names.
+
+    The reference's scorer is a library; this one is our own approximation of its order.
+    """
+    import re
+
+    found = F.regexp_extract(F.lower(s), ".*?".join(re.escape(c) for c in query.lower()), 0)
+    exact = F.contains(F.lower(s), F.lit(query.lower())).cast("int")
+    return F.when(found == "", F.lit(0.0)).otherwise(exact + len(query) / F.length(found) + len(query) / (F.length(s) + 1.0))
+
+
+def weighted_bucket(s: Column, weights: dict[str, int]) -> Column:
+    """The name that a hash of the last four characters picks from a list in which each name stands as often as its weight."""
+    names = [n for n, w in weights.items() for _ in range(w)]
+    return F.get(F.array(*[F.lit(n) for n in names]), hash_bucket(s, len(names)).cast("int"))

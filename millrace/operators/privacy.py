@@ -112,45 +112,75 @@ def treatment(category: Column, profile: Column) -> Column:
     return F.coalesce(table[F.concat(profile, F.lit("/"), category)], F.lit("mask"))
 
 
-def treated(spans: DataFrame, profile: str) -> DataFrame:
-    """Rows (session, start, end, category, value) with ``treatment`` and ``replacement``.
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def treat(spans: Column, profile: str) -> Column:
+    """struct(spans, tokens) of one document's spans, sorted by start: each with ``treatment``, ``mapped`` and ``replacement``.
 
-    Masks and pseudonyms are decided by the first occurrence of a value in its session and numbered in text order; a
-    session is one document, so each window holds one document's spans.
+    Masks and pseudonyms are decided by the first occurrence of a value and numbered in text order; ``tokens`` lists
+    them with their values. Everything happens within the row, so treating documents needs no exchange.
     """
     from millrace.functions import dates, numbers
 
     pool = POOLS.get(profile, POOLS["max"])
-    in_order = Window.partitionBy("session").orderBy("start")
-    rows = spans.withColumn("treatment", treatment(F.col("category"), F.lit(profile)))
-    rows = rows.withColumn("day", F.when(F.col("treatment") == "relativize", dates.parse_date(F.col("value"))))
-    rows = rows.withColumn("anchor", F.first("day", ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    rows = rows.withColumn("anchor_at", F.min(F.when(F.col("day").isNotNull(), F.col("start"))).over(Window.partitionBy("session")))
-    mapped = F.col("treatment").isin("mask", "pseudonym") | ((F.col("treatment") == "relativize") & F.col("day").isNull())
-    rows = rows.withColumn("mapped", mapped)
-    by_value = Window.partitionBy("session", "mapped", "value").orderBy("start")
-    rows = rows.withColumn("first", F.col("mapped") & (F.row_number().over(by_value) == 1))
-    wants = F.col("first") & (F.col("treatment") == "pseudonym")
-    rows = rows.withColumn("nth", F.sum(wants.cast("int")).over(in_order))
-    rows = rows.withColumn("named", wants & (F.col("nth") <= len(pool)))
-    base = F.create_map(*[F.lit(x) for kv in PLACEHOLDERS.items() for x in kv])[F.col("category")]
-    rows = rows.withColumn("base", base).withColumn("masked", F.col("first") & ~F.col("named"))
-    number = F.sum(F.col("masked").cast("int")).over(Window.partitionBy("session", "base").orderBy("start"))
-    pseudonym = F.element_at(F.array(*[F.lit(x) for x in pool]), F.least(F.greatest(F.col("nth"), F.lit(1)), F.lit(len(pool))).cast("int"))
-    mask = F.concat(F.lit("["), F.col("base"), F.lit("_"), number.cast("string"), F.lit("]"))
-    rows = rows.withColumn("token", F.when(F.col("named"), pseudonym).when(F.col("masked"), mask))
-    rows = rows.withColumn("token", F.first("token", ignorenulls=True).over(by_value.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    general = F.when(F.col("category").isin("Amount", "AmountRange"), numbers.amount_range(F.col("value"))).when(
-        F.col("category") == "Addr", numbers.address_range(F.col("value"))
-    ).otherwise(F.concat(F.lit("["), F.col("base"), F.lit("_GENERALIZED]")))
-    date = dates.day_token(F.col("day"), F.col("anchor"), F.col("start") == F.col("anchor_at"))
-    replacement = (
-        F.when(F.col("mapped"), F.col("token"))
-        .when(F.col("treatment") == "keep", F.col("value"))
-        .when(F.col("treatment") == "generalize", general)
-        .otherwise(date)
-    )
-    return rows.select("session", "start", "end", "category", "value", "treatment", "mapped", replacement.alias("replacement"))
+    bases = F.create_map(*[F.lit(x) for kv in PLACEHOLDERS.items() for x in kv])
+
+    def known(x: Column) -> Column:
+        of = treatment(x["category"], F.lit(profile))
+        return _bound(of, lambda t: F.struct(*[x[c].alias(c) for c in ("start", "end", "category", "value")], t.alias("treatment"), F.when(t == "relativize", dates.parse_date(x["value"])).alias("day"), bases[x["category"]].alias("base")))
+
+    def is_mapped(x: Column) -> Column:
+        return x["treatment"].isin("mask", "pseudonym") | ((x["treatment"] == "relativize") & x["day"].isNull())
+
+    def number(a: Column, x: Column) -> Column:
+        named = (x["treatment"] == "pseudonym") & (a["named"] < len(pool))
+        n = F.coalesce(a["counts"][x["base"]], F.lit(0)) + 1
+        others = F.map_filter(a["counts"], lambda k, _: k != x["base"])
+        mask = F.concat(F.lit("["), x["base"], F.lit("_"), n.cast("string"), F.lit("]"))
+        name = F.get(F.array(*[F.lit(y) for y in pool]), a["named"])
+        token = F.struct(F.when(named, name).otherwise(mask).alias("token"), x["value"].alias("value"))
+        return F.struct(
+            F.concat(a["tokens"], F.array(token)).alias("tokens"),
+            F.when(named, a["counts"]).otherwise(F.map_concat(others, F.create_map(x["base"], n))).alias("counts"),
+            F.when(named, a["named"] + 1).otherwise(a["named"]).alias("named"),
+        )
+
+    def finished(rows: Column) -> Column:
+        mapped = F.filter(rows, is_mapped)
+        firsts = F.transform(F.array_distinct(F.transform(mapped, lambda x: x["value"])), lambda v: F.element_at(F.filter(mapped, lambda x: x["value"] == v), 1))
+        none = F.struct(
+            F.array().cast("array<struct<token: string, value: string>>").alias("tokens"),
+            F.create_map().cast("map<string, int>").alias("counts"),
+            F.lit(0).alias("named"),
+        )
+        tokens = F.aggregate(firsts, none, number, lambda a: a["tokens"])
+        dated = F.get(F.filter(rows, lambda x: x["day"].isNotNull()), F.lit(0))
+        return F.struct(rows.alias("rows"), tokens.alias("tokens"), dated.alias("anchor"))
+
+    def replaced(x: Column, of: Column, anchor: Column) -> Column:
+        general = F.when(x["category"].isin("Amount", "AmountRange"), numbers.amount_range(x["value"])).when(
+            x["category"] == "Addr", numbers.address_range(x["value"])
+        ).otherwise(F.concat(F.lit("["), x["base"], F.lit("_GENERALIZED]")))
+        date = dates.day_token(x["day"], anchor["day"], x["start"] == anchor["start"])
+        new = F.when(is_mapped(x), of[x["value"]]).when(x["treatment"] == "keep", x["value"]).when(x["treatment"] == "generalize", general).otherwise(date)
+        return F.struct(*[x[c].alias(c) for c in ("start", "end", "category", "value", "treatment")], is_mapped(x).alias("mapped"), new.alias("replacement"))
+
+    def written(m: Column) -> Column:
+        of = F.map_from_entries(F.transform(m["tokens"], lambda t: F.struct(t["value"], t["token"])))
+        done = _bound(F.struct(of.alias("of"), m["rows"].alias("rows"), m["anchor"].alias("anchor")), lambda y: F.transform(y["rows"], lambda x: replaced(x, y["of"], y["anchor"])))
+        return F.struct(done.alias("spans"), m["tokens"].alias("tokens"))
+
+    return _bound(_bound(F.transform(spans, known), finished), written)
+
+
+def treated(spans: DataFrame, profile: str) -> DataFrame:
+    """Rows (session, start, end, category, value) with ``treatment``, ``mapped`` and ``replacement``; a session is one document."""
+    own = F.array_sort(F.collect_list(F.struct("start", "end", "category", "value")))
+    done = spans.groupBy("session").agg(own.alias("s")).select("session", treat(F.col("s"), profile)["spans"].alias("s"))
+    return done.select("session", F.inline("s"))
 
 
 def rewrite(text: Column, replacements: Column) -> Column:
@@ -165,27 +195,18 @@ def rewrite(text: Column, replacements: Column) -> Column:
 
 
 def anonymize(docs: DataFrame, profile: str = "max", patterns=LEGAL, key: str = "doc_id") -> DataFrame:
-    """(key, text, pii_count, token_map): each document rewritten as one session.
+    """(key, text, pii_count, token_map, spans): each document rewritten as one session, in one pass without an exchange.
 
-    A session is told by its key and its text, so null keys are treated too and texts under one key stay apart; equal
-    rows have equal spans, which count once.
+    ``spans`` are the treated spans. Rows are treated one by one, so null and repeated keys are nothing special.
     """
-    session = F.struct(F.col(key).alias("key"), F.xxhash64("text").alias("hash"), F.length("text").alias("length"))
-    found = docs.select(session.alias("session"), "text")
-    # The outer form adds no filter on the spans and so detects once; the count comes from the rows.
-    spans = found.select("session", F.inline_outer(dedup(detect(F.col("text"), patterns)))).where("start is not null")
-    rows = treated(spans.drop("rule"), profile)
-    per = rows.groupBy("session").agg(
-        F.array_sort(F.array_distinct(F.collect_list(F.struct("start", "end", "replacement")))).alias("r"),
-        F.array_distinct(F.collect_list(F.when(F.col("mapped"), F.struct(F.col("replacement").alias("token"), "value")))).alias("m"),
-    )
-    out = found.join(per, "session", "left")
-    none = F.array().cast("array<struct<start int, end int, replacement string>>")
-    return out.select(
-        F.col("session.key").alias(key),
-        rewrite(F.col("text"), F.coalesce("r", none)).alias("text"),
-        F.coalesce(F.size("r"), F.lit(0)).cast("long").alias("pii_count"),
-        F.coalesce(F.map_from_entries("m"), F.create_map().cast("map<string,string>")).alias("token_map"),
+    # The generator is evaluated once for each row, however many of the columns behind it are used.
+    found = docs.select(F.col(key).alias("__key"), "text", F.explode(F.array(treat(dedup(detect(F.col("text"), patterns)), profile))).alias("t"))
+    return found.select(
+        F.col("__key").alias(key),
+        rewrite(F.col("text"), F.col("t.spans")).alias("text"),
+        F.size("t.spans").cast("long").alias("pii_count"),
+        F.map_from_entries(F.transform(F.array_distinct(F.transform("t.tokens", lambda x: x["token"])), lambda k: F.struct(k, F.element_at(F.filter("t.tokens", lambda x: x["token"] == k), 1)["value"]))).alias("token_map"),
+        F.col("t.spans").alias("spans"),
     )
 
 

@@ -1,3 +1,10 @@
 """Importing this module registers every query."""
 
-from millrace.plans import billing_queries, function_queries, privacy_queries, relational_queries, streaming_queries  # noqa: F401
+from millrace.plans import (  # noqa: F401
+    billing_queries,
+    function_queries,
+    privacy_queries,
+    relational_queries,
+    streaming_queries,
+    text_queries,
+)

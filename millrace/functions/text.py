@@ -145,12 +145,14 @@ def chunks(text: Column, size: int = 400, overlap: int = 50) -> Column:
     def windows(p: Column) -> Column:
         whole = F.array(F.struct(F.lit(0).alias("chunk_idx"), F.lit(0).alias("chunk_offset"), text.alias("chunk_text")))
         starts = F.sequence(F.lit(0), F.greatest(F.size(p) - 1, F.lit(0)), F.lit(step))
+        # A window's offset is the sum of the steps before it, each joined once.
+        lengths = F.transform(starts, lambda s: F.length(F.array_join(F.slice(p, s + 1, step), "")))
+        first = F.array(F.struct(F.lit(0).alias("i"), lead.alias("at")))
+        offsets = F.aggregate(lengths, first, lambda a, n: F.concat(a, F.array(F.struct(F.size(a).alias("i"), (F.element_at(a, -1)["at"] + n).alias("at")))))
         cut = F.transform(
-            starts,
-            lambda s, i: F.struct(
-                i.alias("chunk_idx"),
-                (lead + F.length(F.array_join(F.slice(p, F.lit(1), s), ""))).alias("chunk_offset"),
-                F.array_join(F.slice(p, s + 1, size), "").alias("chunk_text"),
+            F.slice(offsets, F.lit(1), F.size(starts)),
+            lambda o: F.struct(
+                o["i"].alias("chunk_idx"), o["at"].alias("chunk_offset"), F.array_join(F.slice(p, o["i"] * step + 1, size), "").alias("chunk_text")
             ),
         )
         return F.when(F.size(p) <= size, whole).otherwise(cut)

@@ -2,6 +2,7 @@
 
 from millrace.plans import (  # noqa: F401
     billing_queries,
+    document_queries,
     function_queries,
     privacy_queries,
     relational_queries,

@@ -4,8 +4,10 @@ from millrace.plans import (  # noqa: F401
     billing_queries,
     document_queries,
     function_queries,
+    log_queries,
     privacy_queries,
     relational_queries,
+    session_queries,
     streaming_queries,
     text_queries,
 )

@@ -1,6 +1,7 @@
 """Importing this module registers every query."""
 
 from millrace.plans import (  # noqa: F401
+    account_queries,
     billing_queries,
     document_queries,
     function_queries,

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.graph import components
-from millrace.llm.store import cut, narrow_batches
+from millrace.llm.store import cut, narrow_batches, released
 
 CHUNK = 4096
 BUCKET = 2048
@@ -194,7 +194,7 @@ def _tiles(rows: DataFrame, threshold: float, bits: int, tables: int) -> DataFra
         if held:
             yield from groups(pa.Table.from_batches(held))
 
-    return rows.mapInArrow(of_task, "id long, links long, target long")
+    return rows.mapInArrow(released(of_task), "id long, links long, target long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, miss: float = MISS) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.graph import components
-from millrace.llm.store import cut, narrow_batches
+from millrace.llm.store import Scratch, narrow_batches, released
 from millrace.llm.tokens import slices
 
 SLOTS = 1 << 22
@@ -48,12 +48,11 @@ CHUNK_SHINGLES = 1 << 20
 SAMPLED = 128
 SAMPLED_LEAST = 3
 SEEN_OFTEN = tuple(4 << i for i in range(15))
-LEADER_ROUNDS = 2
-SPANNING_ROUNDS = 2
+SPANNING_ROUNDS = 1
 HEAVY_BALL = 2.0
 OFTEN = 64
-SIGNS = tuple(f"s{i}" for i in range(8))
-BITS = 64 * len(SIGNS)
+CELLS, CELL_LEVELS = 512, 16
+SLICE_BYTES = 2 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,6 +96,22 @@ def shingles(texts: pa.Array, words: int) -> Iterator[tuple[np.ndarray, np.ndarr
             yield np.empty(0, np.uint64), np.empty(0, np.int64)
 
 
+def cells_of(found: np.ndarray) -> bytes:
+    """How many shingles fall into each of CELLS cells, modulo CELL_LEVELS, two cells in a byte."""
+    n = np.bincount((found >> np.uint64(17)).astype(np.int64) % CELLS, minlength=CELLS).astype(np.uint8) % CELL_LEVELS
+    return (n[::2] << 4 | n[1::2]).tobytes()
+
+
+def cells_apart(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """For each pair of cell counts a number that the symmetric difference of the sets reaches at least."""
+    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, CELLS // 2) for c in (a, b))
+    out = np.zeros(len(x), np.int64)
+    for p, q in ((x >> 4, y >> 4), (x & 15, y & 15)):
+        d = (p - q) % CELL_LEVELS
+        out += np.minimum(d, CELL_LEVELS - d).sum(1, dtype=np.int64)
+    return out
+
+
 def least_shared(n: int, percent: int) -> int:
     """The least number of shingles that a set of n shares with any partner."""
     return -(-percent * n // 100)
@@ -150,7 +165,7 @@ def summaries(docs: DataFrame, words: int) -> DataFrame:
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        names = ["doc_id", "n", "d1", "d2", *SIGNS, "slot", "squares", "sampled"]
+        names = ["doc_id", "n", "d1", "d2", "cells", "slot", "squares", "sampled"]
         seen: set[bytes] = set()
         chunk: list[np.ndarray] = []
         some: list[np.ndarray] = [np.empty(0, np.uint64)]
@@ -167,12 +182,12 @@ def summaries(docs: DataFrame, words: int) -> DataFrame:
             sampled = np.concatenate([np.zeros(len(slot), np.int64), few, [0]])
             none = pa.nulls(len(n), pa.int64())
             own = [slots, pa.array(squares), pa.array(sampled)]
-            return pa.RecordBatch.from_arrays([none, pa.array(n, pa.int64()), *[none] * (2 + len(SIGNS)), *own], names)
+            return pa.RecordBatch.from_arrays([none, pa.array(n, pa.int64()), none, none, pa.nulls(len(n), pa.binary()), *own], names)
 
-        for part in slices(batches, "text"):
-            sizes, digests, signs = [], [], []
+        for part in slices(batches, "text", SLICE_BYTES):
+            sizes, digests, cells = [], [], []
             for found, _ in shingles(part.column("text"), words):
-                signs.append(np.packbits(np.bincount((found >> np.uint64(17)).astype(np.int64) % BITS, minlength=BITS) % 2 == 1).tobytes())
+                cells.append(cells_of(found) if len(found) else None)
                 digest = xxhash.xxh128_digest(found.tobytes())
                 sizes.append(len(found))
                 digests.append(digest)
@@ -185,8 +200,7 @@ def summaries(docs: DataFrame, words: int) -> DataFrame:
             both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             none = pa.nulls(len(sizes), pa.int64())
             columns = [part.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])]
-            columns += [pa.array(x) for x in np.frombuffer(b"".join(signs), np.int64).reshape(-1, len(SIGNS)).T.copy()]
-            yield pa.RecordBatch.from_arrays([*columns, none, none, none], names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(cells, pa.binary()), none, none, none], names)
             if held >= CHUNK_SHINGLES:
                 yield counted()
                 seen.clear()
@@ -194,8 +208,8 @@ def summaries(docs: DataFrame, words: int) -> DataFrame:
         if held:
             yield counted()
 
-    schema = f"doc_id long, n long, d1 long, d2 long, {' long, '.join(SIGNS)} long, slot long, squares long, sampled long"
-    return docs.select("doc_id", "text").mapInArrow(of_task, schema)
+    schema = "doc_id long, n long, d1 long, d2 long, cells binary, slot long, squares long, sampled long"
+    return docs.select("doc_id", "text").mapInArrow(released(of_task), schema)
 
 
 def boundary(mean_list: float, percent: int) -> int:
@@ -229,7 +243,7 @@ def postings(docs: DataFrame, words: int, percent: int, sketch: np.ndarray, ligh
 
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first_heavy = least_shared(light + 1, percent)  # the smallest partner of a heavy set
-        for part in slices((_marked(b, "doc_id", chosen.value) for b in batches), "text"):
+        for part in slices((_marked(b, "doc_id", chosen.value) for b in batches), "text", SLICE_BYTES):
             sizes, keys, weights = [], [], []
             for found, length in shingles(part.column("text"), words):
                 n, mine, count = len(found), [], []
@@ -258,7 +272,7 @@ def postings(docs: DataFrame, words: int, percent: int, sketch: np.ndarray, ligh
                 ["doc_id", "n", "keys", "weights"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(of_task, "doc_id long, n int, keys array<long>, weights array<byte>")
+    return docs.select("doc_id", "text").mapInArrow(released(of_task), "doc_id long, n int, keys array<long>, weights array<byte>")
 
 
 def sets_of(docs: DataFrame, words: int, live: np.ndarray) -> DataFrame:
@@ -266,11 +280,11 @@ def sets_of(docs: DataFrame, words: int, live: np.ndarray) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(live)
 
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices((_marked(b, "doc_id", sent.value) for b in batches), "text"):
+        for part in slices((_marked(b, "doc_id", sent.value) for b in batches), "text", SLICE_BYTES):
             sets = [found.tobytes() for found, _ in shingles(part.column("text"), words)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(sets, pa.binary())], ["id", "set"])
 
-    return docs.select("doc_id", "text").mapInArrow(of_task, "id long, set binary")
+    return docs.select("doc_id", "text").mapInArrow(released(of_task), "id long, set binary")
 
 
 def _marked(batch: pa.RecordBatch, column: str, slots: np.ndarray) -> pa.RecordBatch:
@@ -303,7 +317,7 @@ def _met(rows: DataFrame) -> DataFrame:
             if held.column("g")[0].as_py() == before or held.column("w")[0].as_py() >= OFTEN:
                 yield held.select(names)
 
-    return rows.mapInArrow(of_task, "id long, n int, key long, w byte")
+    return rows.mapInArrow(released(of_task), "id long, n int, key long, w byte")
 
 
 def _live_slots(ids: DataFrame) -> np.ndarray:
@@ -347,15 +361,16 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
 
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     both = with_b.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(of_task, "a long, b long")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(released(of_task), "a long, b long")
 
 
 def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of (doc_id, text); two texts link at ``percent`` or more."""
     narrow_batches(docs.sparkSession)
-    told = cut(summaries(docs, words))
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    told = scratch.cut(summaries(docs, words))
     sets = told.where("slot is null and squares is null").select("doc_id", "n", "d1", "d2")
-    signs = told.where("slot is null and squares is null and n > 0").select(F.col("doc_id").alias("id"), *SIGNS)
+    cells = told.where("cells is not null and doc_id is not null").select(F.col("doc_id").alias("id"), "cells")
     sums = told.where("squares is not null")
     s = sums.where("slot is null").agg(F.sum("n"), F.sum("squares")).first()
     mean_list = (s[1] / s[0] - 1) if s[0] else 0.0
@@ -379,26 +394,25 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     dealt = flat.select(g, "id", "n", "key", "w").repartition("g").sortWithinPartitions("g")
     met = _met(dealt).withColumn("w", F.expr(f"cast(w % {OFTEN} as byte)"))
     # Copies that came along go. What a document has in its lists is counted where the join has brought its rows.
-    live = cut(_with_common(met.join(reps, "id", "left_semi")).withColumn("component", F.col("id")))
-    links = None
-    for turn in range(LEADER_ROUNDS):
-        pairs = cut(_by_signs(_leader_pairs(live, percent, turn), signs, percent))
-        found = verified(docs, pairs, words, percent)
-        links = cut(found if links is None else links.unionByName(found))
-        live = _open_rows(live, _components(links))
-    near = cut(_balls(live))
-    pairs = _across(near, percent).unionByName(_by_differences(docs, near, words, percent)).distinct()
-    pairs = cut(_by_signs(pairs, signs, percent))
+    live = scratch.cut(_with_common(met.join(reps, "id", "left_semi")).withColumn("component", F.col("id")))
+    pairs = scratch.cut(_by_cells(_leader_pairs(live, percent), cells, percent))
+    links = scratch.cut(verified(docs, pairs, words, percent))
+    rows = scratch.cut(_open_rows(live, _components(links)))
+    scratch.free(live, pairs)
+    near = scratch.cut(_balls(rows, scratch))
+    scratch.free(rows)
+    pairs = _across(near, percent).unionByName(_by_differences(docs, near, words, percent, scratch)).distinct()
+    pairs = scratch.cut(_by_cells(pairs, cells, percent))
     for _ in range(SPANNING_ROUNDS):
-        best = cut(pairs.groupBy("b").agg(F.min(F.struct("apart", F.xxhash64("a").alias("h"), "a")).alias("m")).select("m.a", "b"))
-        links = cut(links.unionByName(verified(docs, best, words, percent)))
+        best = pairs.groupBy("b").agg(F.min(F.struct("apart", F.xxhash64("a").alias("h"), "a")).alias("m"))
+        best = scratch.cut(best.select("m.a", "b"))
+        links = scratch.cut(links.unionByName(verified(docs, best, words, percent)))
         comp = _components(links)
         rest = pairs.join(best, ["a", "b"], "left_anti")
         for k in "ab":
             rest = rest.join(comp.select(F.col("id").alias(k), F.col("component").alias(f"c{k}")), k, "left")
-        pairs = cut(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "apart"))
-    links = links.unionByName(verified(docs, pairs, words, percent))
-    comp = _components(links)
+        pairs = scratch.cut(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "apart"))
+    comp = _components(links.unionByName(verified(docs, pairs, words, percent)))
     out = named.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     own = F.coalesce("component", "rep", "doc_id").alias("component_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), own)
@@ -440,18 +454,16 @@ def _with_common(rows: DataFrame) -> DataFrame:
     return out.withColumn("c", _common("k1", "k2").cast("int")).where("c >= 2").drop("k1", "k2")
 
 
-def _leader_pairs(live: DataFrame, percent: int, turn: int) -> DataFrame:
-    """For each document the leader outside its component that it meets most, at least twice.
+def _leader_pairs(live: DataFrame, percent: int) -> DataFrame:
+    """For each document the leader that it meets most, at least twice.
 
-    A leader is the member of a list and size class with the largest share of common elements, or in odd turns with
-    the smallest hash. Classes are as wide as partners may differ; odd turns shift them by half. This decides which
-    pairs are compared early; pairs that no turn compares are left to the last pass.
+    A leader is the member of a list and size class with the largest share of common elements; classes are as wide as
+    partners may differ. This decides which pairs are compared early; pairs that it leaves out are left to the last pass.
     """
     scale = 1 / float(np.log(100 / percent))
-    rows = live.withColumn("class", F.floor(F.log(F.col("n").cast("double")) * scale + 0.5 * (turn % 2)))
-    order = F.xxhash64("id", F.lit(turn)).cast("double") if turn % 2 else F.col("c") / F.col("n")
-    first = F.max(F.struct(order.alias("o"), F.xxhash64("id").alias("h"), "id", "n", "component")).alias("l")
-    met = rows.join(rows.groupBy("key", "class").agg(first), ["key", "class"]).where("component <> l.component")
+    rows = live.withColumn("class", F.floor(F.log(F.col("n").cast("double")) * scale).cast("int"))
+    first = F.max(F.struct((F.col("c") / F.col("n")).cast("float").alias("o"), "id", "n")).alias("l")
+    met = rows.join(rows.groupBy("key", "class").agg(first), ["key", "class"]).where("id <> l.id")
     met = met.groupBy(F.col("l.id").alias("a"), F.col("l.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
     met = met.agg(F.count_if(F.col("w") == 1).alias("k1"), F.count_if(F.col("w") == 2).alias("k2")).where(_may_reach(percent))
     met = met.withColumn("c", F.col("k1") + F.col("k2"))
@@ -463,19 +475,19 @@ def _open_rows(live: DataFrame, comp: DataFrame) -> DataFrame:
     """The rows of the lists with more than one component."""
     named = live.select("key", "id", "n", "w").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    return cut(_with_common(named.join(mixed.select("key"), "key")))
+    return _with_common(named.join(mixed.select("key"), "key"))
 
 
-def _balls(rows: DataFrame) -> DataFrame:
+def _balls(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(leader, ln, lc, lcomponent, id, n, component, c, heavy): each document under every leader of its lists.
 
     A list is led by the member with the largest share of common elements, so the lists of a group of near copies
     mostly agree. A ball is heavy where its pairs outnumber all shingles of its members and leader.
     """
-    first = F.max(F.struct((F.col("c") / F.col("n")).alias("o"), F.xxhash64("id").alias("h"), "id", "n", "c", "component")).alias("l")
+    first = F.max(F.struct((F.col("c") / F.col("n")).cast("float").alias("o"), "id", "n", "c", "component")).alias("l")
     led = rows.join(rows.groupBy("key").agg(first), "key").where("id <> l.id")
     names = [F.col("l.id").alias("leader"), F.col("l.n").alias("ln"), F.col("l.c").alias("lc"), F.col("l.component").alias("lcomponent")]
-    near = cut(led.select(*names, "id", "n", "component", "c").distinct())
+    near = scratch.cut(led.select(*names, "id", "n", "component", "c").distinct())
     size = near.groupBy("leader").agg((F.count("*") > HEAVY_BALL * F.avg(F.col("n") + F.col("ln"))).alias("heavy"))
     return near.join(size, "leader")
 
@@ -490,7 +502,7 @@ def _across(near: DataFrame, percent: int) -> DataFrame:
     return own.where(apart).select("a", "na", "b", "nb").unionByName(both.select("a", "na", "b", "nb"))
 
 
-def _by_differences(docs: DataFrame, near: DataFrame, words: int, percent: int) -> DataFrame:
+def _by_differences(docs: DataFrame, near: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, na, b, nb) of members of heavy balls that may be similar and are not both linked with the leader.
 
     Sets of na and nb shingles are similar if they differ in at most q (na + nb), q = (1 - t) / (1 + t). With
@@ -526,14 +538,14 @@ def _by_differences(docs: DataFrame, near: DataFrame, words: int, percent: int)
 
     both = heavy.join(sets.select(F.col("id").alias("leader"), "set"), "leader")
     both = both.join(sets.select("id", F.col("set").alias("own")), "id").select("leader", "id", "component", "set", "own")
-    each = both.mapInArrow(of_task, "l long, i long, k long, n int, d int, linked boolean, least int, x array<long>")
-    each = cut(each.withColumn("x", F.explode("x")))
+    each = both.mapInArrow(released(of_task), "l long, i long, k long, n int, d int, linked boolean, least int, x array<long>")
+    each = scratch.cut(each.withColumn("x", F.explode("x")))
     shared = each.groupBy("l", "x").agg(F.count("*").alias("times")).where("times > 1")
     each = each.join(shared, ["l", "x"])
     of_set = Window.partitionBy("l", "i")
     each = each.withColumn("useful", F.count("*").over(of_set)).where("useful >= least")
     place = F.row_number().over(of_set.orderBy("times", "x"))
-    each = cut(each.withColumn("place", place).where("place <= useful - least + 1"))
+    each = scratch.cut(each.withColumn("place", place).where("place <= useful - least + 1"))
     names = {"i": "", "k": "c", "n": "n", "d": "d", "linked": "linked_", "useful": "useful_"}
     left, right = (each.select("l", "x", *[F.col(x).alias(y + k) for x, y in names.items()]) for k in "ab")
     apart = F.expr("a < b and ca <> cb and not (linked_a and linked_b)")
@@ -542,17 +554,29 @@ def _by_differences(docs: DataFrame, near: DataFrame, words: int, percent: int)
     return left.join(right, ["l", "x"]).where(apart & fits & needed).select("a", "na", "b", "nb").distinct()
 
 
-def _by_signs(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, apart) that can still be similar by their parities, of which ``apart`` differ.
+def _by_cells(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, apart) that can still be similar by the counts of their cells, with what these differ by.
 
-    Each of BITS bits is the parity of the shingles that fall on it, so two sets differ in at least as many shingles as
-    their bits differ; similar sets of na and nb shingles differ in at most (na + nb)(1 - t) / (1 + t).
+    Sets differ in at least as many shingles as their cells do; similar sets of na and nb shingles differ in at most
+    (na + nb)(1 - t) / (1 + t). Only cells of documents in a pair are moved.
     """
-    both = pairs
-    for k in "ab":
-        both = both.join(signs.select(F.col("id").alias(k), *[F.col(x).alias(k + x) for x in SIGNS]), k)
-    apart = F.lit(0)
-    for x in SIGNS:
-        apart = apart + F.bit_count(F.col(f"a{x}").bitwiseXOR(F.col(f"b{x}")))
-    both = both.withColumn("apart", apart.cast("int"))
-    return both.where(F.col("apart") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b", "apart")
+    pairs = pairs.select("a", "na", "b", "nb")
+    live = cells.sparkSession.sparkContext.broadcast(_live_slots(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _marked(batch, "id", live.value)
+
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                apart = cells_apart(batch.column("x"), batch.column("y"))
+                most = (batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()) * (100 - percent)
+                kept = pa.array(apart * (100 + percent) <= most)
+                out = batch.select(["a", "b"]).append_column("apart", pa.array(apart, pa.int32()))
+                yield out.filter(kept)
+
+    near = cells.mapInArrow(some, "id long, cells binary")
+    both = pairs.join(near.select(F.col("id").alias("b"), F.col("cells").alias("y")), "b")
+    both = both.join(near.select(F.col("id").alias("a"), F.col("cells").alias("x")), "a")
+    return both.select("a", "na", "b", "nb", "x", "y").mapInArrow(released(of_task), "a long, b long, apart int")

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.store import narrow_batches
+from millrace.llm.store import narrow_batches, released
 from millrace.llm.tokens import Encoder, slices
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -134,7 +134,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, waste: float =
                 yield pa.RecordBatch.from_arrays(columns, schema=ARROW)
 
     narrow_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(of_task, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(released(of_task), SCHEMA)
 
 
 def padding(lengths: np.ndarray, capacity: int = 2048) -> int:

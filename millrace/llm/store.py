@@ -6,8 +6,12 @@ Checkpoints and intermediate files go there, so a lost executor costs a recomput
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import logging
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local[") and sc.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
+    logging.getLogger(__name__).warning("spark.checkpoint.dir is not set, using %s", sc.getCheckpointDir())
     return sc.getCheckpointDir().rstrip("/")
 
 
@@ -40,6 +45,57 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables in the shared folder that cut the lineage of a job's large intermediate frames, and go when they are read for the last time.
+
+    They are compressed, unlike checkpoints, and Spark knows their size when it plans what follows.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name = spark, name
+        self.paths: list[tuple[DataFrame, str]] = []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = new_path(self.spark, self.name)
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths.append((out, path))
+        return out
+
+    def free(self, *frames: DataFrame) -> None:
+        """Delete the tables of these frames."""
+        jvm = self.spark._jvm
+        for frame, path in self.paths:
+            if any(frame is f for f in frames):
+                p = jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        self.paths = [x for x in self.paths if not any(x[0] is f for f in frames)]
+
+
+def release() -> None:
+    """Give memory that a worker no longer uses back to the system, as workers are kept for later tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def released(of_task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The function of a task, after whose end its worker gives its memory back."""
+
+    @functools.wraps(of_task)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from of_task(batches)
+        finally:
+            release()
+
+    return run
+
+
 def narrow_batches(spark: SparkSession, rows: int = 2048) -> None:
     """At most so many rows in an Arrow batch, so that rows with long texts or whole sets fit in memory."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -2,7 +2,7 @@
 
 The vocabulary drops white space and never merges across it, so the ids of a text are those of its words one after
 the other. Each batch is split at ASCII white space, its distinct words are looked up in a bounded cache of the
-worker, and the ids are gathered with numpy. A word outside plain Latin letters, digits and ASCII signs goes to the
+worker (two generations of CACHE_WORDS, so words in use stay), and the ids are gathered with numpy. A word outside plain Latin letters, digits and ASCII signs goes to the
 tokenizer itself, so every text gets the ids that encoding it whole would give.
 """
 
@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 END_ID = 1
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 SLICE_BYTES = 8 << 20
 
 # The pre-tokenizer's pattern for lower-cased words of the plain alphabet.
@@ -31,6 +31,26 @@ def byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Recent:
+    """A bounded cache of two generations: when the younger is full, the older goes; a hit in the older renews it."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.young) >= self.most:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+
+
 class Encoder:
     """Encodes Arrow string arrays; one per worker process and vocabulary file."""
 
@@ -48,17 +68,14 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.signs = byte_signs()
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.parts = Recent(CACHE_WORDS), Recent(CACHE_WORDS)
 
     def _part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
             signs = part.encode().decode("latin-1").translate(self.signs)
             found = np.array([t.id for t in self.model.tokenize(signs)], np.uint16).tobytes()
-            if len(self.parts) >= CACHE_WORDS:
-                self.parts.clear()
-            self.parts[part] = found
+            self.parts.put(part, found)
         return found
 
     def word(self, word: str) -> bytes:
@@ -73,15 +90,13 @@ class Encoder:
         lists = pc.ascii_split_whitespace(texts)
         flat = lists.values.dictionary_encode()
         distinct = flat.dictionary.to_pylist()
-        for w in set(distinct).difference(self.words):
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-                break
-            self.words[w] = self.word(w)
-        encoded = [self.words.get(w) for w in distinct]
-        for i, e in enumerate(encoded):
+        encoded = []
+        for w in distinct:
+            e = self.words.get(w)
             if e is None:
-                encoded[i] = self.words[distinct[i]] = self.word(distinct[i])
+                e = self.word(w)
+                self.words.put(w, e)
+            encoded.append(e)
         pool = np.frombuffer(b"".join(encoded), np.uint16)
         lens = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 2
         starts = np.cumsum(lens) - lens

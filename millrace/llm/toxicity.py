@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.store import cut, narrow_batches
+from millrace.llm.store import cut, narrow_batches, released
 from millrace.llm.tokens import slices
 
 WINDOW, STRIDE = 32, 16
@@ -415,8 +415,8 @@ def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
 
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
-        for part in slices(batches, text, 4 << 20):
+        for part in slices(batches, text, 2 << 20):
             yield part.append_column("score", pa.array(net.scores(part.column(text))))
 
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("score", F.lit(0.0)).schema
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(of_task, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(released(of_task), schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.store import narrow_batches
+from millrace.llm.store import narrow_batches, released
 from millrace.llm.tokens import Encoder, slices
 
 BITS = 16
@@ -191,7 +191,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, shards: int) -> No
     # Equal rows are told apart by a seeded random number, as one document may hold a third of all rows.
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.rand(7).alias("r"))
     sorted_docs = keyed.repartitionByRange(shards, "doc_id", "h", "r").sortWithinPartitions("doc_id", "h")
-    sorted_docs.select("doc_id", "text").mapInArrow(of_shard, FILE_SCHEMA).write.option("compression", "none").parquet(path)
+    sorted_docs.select("doc_id", "text").mapInArrow(released(of_shard), FILE_SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def open_block(row) -> WaveletMatrix:
@@ -233,7 +233,7 @@ def counts(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
     wanted = spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "token_id int")
     files = spark.read.schema(FILE_SCHEMA).parquet(path).select("planes", "zeros", "ranks", "n_tokens")
     ids = list(dict.fromkeys(ids))
-    each = files.mapInArrow(of_blocks, "token_id int, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
+    each = files.mapInArrow(released(of_blocks), "token_id int, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
     return wanted.join(each, "token_id", "left").select("token_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -248,7 +248,7 @@ def occurrences(spark: SparkSession, path: str, token_id: int) -> DataFrame:
             own = [row["doc_ids"][d] for d in doc]
             yield pa.RecordBatch.from_pydict({"position": pa.array(at + row["before"]), "doc_id": pa.array(own, pa.int64()), "offset": pa.array(at - starts[doc])})
 
-    return _placed(spark, path).mapInArrow(of_blocks, "position long, doc_id long, offset long")
+    return _placed(spark, path).mapInArrow(released(of_blocks), "position long, doc_id long, offset long")
 
 
 def tokens_at(spark: SparkSession, path: str, positions: list[int]) -> DataFrame:
@@ -262,7 +262,7 @@ def tokens_at(spark: SparkSession, path: str, positions: list[int]) -> DataFrame
             found = [w.access(int(p - row["before"])) for p in mine]
             yield pa.RecordBatch.from_pydict({"position": pa.array(mine), "token_id": pa.array(found, pa.int32())})
 
-    return _placed(spark, path).mapInArrow(of_blocks, "position long, token_id int")
+    return _placed(spark, path).mapInArrow(released(of_blocks), "position long, token_id int")
 
 
 def _placed(spark: SparkSession, path: str) -> DataFrame:
@@ -294,6 +294,6 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
             )
 
     before = blocks_of(spark, path).select("shard", "block", "before")
-    docs = spark.read.schema(FILE_SCHEMA).parquet(path).mapInArrow(of_blocks, READ_SCHEMA).join(before, ["shard", "block"])
+    docs = spark.read.schema(FILE_SCHEMA).parquet(path).mapInArrow(released(of_blocks), READ_SCHEMA).join(before, ["shard", "block"])
     start = (F.col("before") + F.col("local_start")).alias("start")
     return docs.select("doc_id", start, "n_tokens", "ids_crc32")

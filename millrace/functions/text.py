@@ -60,7 +60,8 @@ def plain_punctuation(s: Column) -> Column:
 
 
 def token_estimate(s: Column) -> Column:
-    return F.floor(F.length(s) / CHARS_PER_TOKEN + 0.5).cast("long")
+    units = F.octet_length(F.encode(s, "UTF-16BE")) / 2
+    return F.floor(units / CHARS_PER_TOKEN + 0.5).cast("long")
 
 
 def truncate_head(s: Column, lines: int = MAX_LINES, most_bytes: int = MAX_BYTES) -> Column:
@@ -125,11 +126,33 @@ def base64url(b: Column) -> Column:
     return F.rtrim(F.translate(F.base64(b), "+/=", "-_ "))
 
 
+def utf16_units(s: Column) -> Column:
+    """The UTF-16 code units of a text as an array of numbers."""
+    h = F.hex(F.encode(s, "UTF-16BE"))
+    places = F.when(F.length(h) > 0, F.sequence(F.lit(0), (F.length(h) / 4 - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.conv(F.substring(h, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))
+
+
+def fnv1a(s: Column) -> Column:
+    """The 32-bit FNV-1a hash over UTF-16 units, unsigned."""
+    return F.aggregate(utf16_units(s), F.lit(2_166_136_261), lambda h, c: (h.bitwiseXOR(c) * 16_777_619) % (1 << 32))
+
+
 def fnv1a_base36(s: Column) -> Column:
-    """FNV-1a over code units, 32 bits, in base 36 (texts of the basic plane)."""
-    codes = F.transform(F.filter(F.split(s, ""), lambda x: x != ""), lambda x: F.conv(F.hex(F.encode(x, "UTF-16BE")), 16, 10).cast("long"))
-    h = F.aggregate(codes, F.lit(0x811C9DC5).cast("long"), lambda a, x: (a.bitwiseXOR(x) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF)))
-    return F.lower(F.conv(h.cast("string"), 10, 36))
+    """:func:`fnv1a` in base 36; null for an empty text."""
+    return F.when(s != "", F.lower(F.conv(fnv1a(s).cast("string"), 10, 36)))
+
+
+def sampled_checksum(s: Column, limit: int = 500_000, size: int = 4_096) -> Column:
+    """The checksum of a text, or for one over ``limit`` its length and those of five pieces of it."""
+    n = F.length(s)
+
+    def piece(point: Column) -> Column:
+        start = F.greatest(F.lit(0), F.least(n - size, F.floor(point) - size // 2)).cast("int")
+        return F.coalesce(fnv1a_base36(F.substring(s, start + 1, F.lit(size))), F.lit(""))
+
+    points = [F.lit(0), n * 0.25, n * 0.5, n * 0.75, n - size]
+    return F.when(n <= limit, fnv1a_base36(s)).otherwise(F.concat(n.cast("string"), F.lit(":"), F.concat_ws(":", *map(piece, points))))
 
 
 def chunks(text: Column, size: int = 400, overlap: int = 50) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+from millrace.streaming.scans import Register, Rolling, scan
 
 
 def stream_of(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
@@ -16,11 +19,30 @@ def stream_of(spark: SparkSession, path: str, files_per_trigger: int = 64) -> Da
     return reader.parquet(path)
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Process what is there now, and return the resulting table; for aggregates that fit the driver."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode)
-    query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_files(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+    """Process what is there now into files of the shared folder, and return the result as they hold it.
+
+    A batch's rows are one folder, which a batch that runs again writes again; in ``complete`` mode the last one is
+    the result, in the other modes all of them are, each row with the number of its ``batch``.
+    """
+    from millrace.sources.shared import shared_path
+
+    spark = stream.sparkSession
+    path = shared_path(spark, name)
+    last: list[int] = []
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/data/batch={batch}")
+        last.append(batch)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    query.start().awaitTermination()
+    schema = stream.schema
+    if not last:
+        return spark.createDataFrame([], schema)
+    if mode == "complete":
+        return spark.read.schema(schema).parquet(f"{path}/data/batch={max(last)}")
+    return spark.read.option("basePath", f"{path}/data").parquet(f"{path}/data")
 
 
 def weekly(usage: DataFrame, ts: str = "ts", late: str = "1 day") -> DataFrame:
@@ -32,30 +54,44 @@ def weekly(usage: DataFrame, ts: str = "ts", late: str = "1 day") -> DataFrame:
 
 def rolling_quota(events: DataFrame, key: str, ts: str, cost: str, seconds: int) -> DataFrame:
     """Usage in windows anchored at their first event: one ``seconds`` or less after the anchor adds, a later one starts anew."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(cost).alias("c"))))
+    rows = events.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(cost).cast("long").alias("c"))
+    kind = dict(events.dtypes)[key]
+    done = scan(rows, [key], ["t", "c"], f"{key} {kind}, t long, usage long", lambda: Rolling(seconds * 1_000_000))
+    return done.select(key, F.timestamp_micros("t").alias("anchor"), "usage")
+
+
+def rolling_quota_stream(stream: DataFrame, key: str, ts: str, cost: str, seconds: int) -> DataFrame:
+    """The same over a stream: the state of a key is its anchor and usage; each batch updates the keys that it holds.
+
+    Rows of a batch count in the order of their times; a row that is older than its key's anchor counts as if now.
+    """
+    kind = dict(stream.dtypes)[key]
+
+    def update(k, frames, state):
+        import pandas as pd
 
-    def step(a: Column, e: Column) -> Column:
-        inside = a["anchor"].isNotNull() & (e["t"] - a["anchor"] <= F.lit(seconds * 1_000_000).cast("long"))
-        return F.struct(
-            F.when(inside, a["anchor"]).otherwise(e["t"]).alias("anchor"),
-            F.when(inside, a["usage"] + e["c"]).otherwise(e["c"]).alias("usage"),
-        )
+        fold = Rolling(seconds * 1_000_000)
+        if state.exists:
+            fold.anchor, fold.usage = state.get
+        rows = sorted((int(t), int(c)) for f in frames for t, c in zip(f["t"], f["c"], strict=True))
+        for t, c in rows:
+            fold.step({"t": max(t, fold.anchor or t), "c": c})
+        state.update((fold.anchor, fold.usage))
+        yield pd.DataFrame([(k[0], fold.anchor, fold.usage)], columns=[key, "t", "usage"])
 
-    start = F.struct(F.lit(None).cast("long").alias("anchor"), F.lit(0).cast("long").alias("usage"))
-    folded = events.groupBy(key).agg(ordered.alias("e")).select(key, F.aggregate("e", start, step).alias("s"))
-    return folded.select(key, F.timestamp_micros("s.anchor").alias("anchor"), F.col("s.usage").alias("usage"))
+    rows = stream.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(cost).cast("long").alias("c"))
+    out = rows.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, t long, usage long", "t long, usage long", "update", GroupStateTimeout.NoTimeout)
+    return out.select(key, F.timestamp_micros("t").alias("anchor"), "usage")
 
 
 def reduce_events(log: DataFrame, key: list[str]) -> DataFrame:
-    """The state after a log of (key, seq, op, value) with ops ``set``, ``append`` and ``remove``, from one sort per key.
+    """The state after a log of (key, seq, op, value) with ops ``set``, ``append`` and ``remove``.
 
     Appended values follow the last ``set``; a key whose last ``set`` or ``remove`` is a ``remove`` is gone.
     """
-    seq = F.max(F.when(F.col("op") != "append", F.col("seq"))).alias("last")
-    marks = log.groupBy(*key).agg(seq, F.max_by("op", F.when(F.col("op") != "append", F.col("seq"))).alias("last_op"))
-    kept = log.join(marks, key).where("(last is null or seq >= last) and coalesce(last_op, 'set') <> 'remove'")
-    parts = F.array_sort(F.collect_list(F.struct("seq", "value")))
-    return kept.groupBy(*key).agg(F.array_join(F.transform(parts, lambda x: x["value"]), "").alias("value"))
+    kinds = dict(log.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in key) + ", value string"
+    return scan(log.select(*key, "seq", "op", "value"), key, ["seq"], schema, Register)
 
 
 def rehydrated(stream: DataFrame, text: str, tokens: dict[str, str], pattern: str = r"\[[A-Z][A-Z0-9_]+_\d+\]") -> DataFrame:

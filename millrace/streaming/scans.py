@@ -66,6 +66,24 @@ class Rolling:
         return [(self.anchor, self.usage)]
 
 
+class Register:
+    """A value that is set, appended to and removed."""
+
+    def __init__(self):
+        self.parts, self.gone = [], False
+
+    def step(self, row: dict) -> list:
+        if row["op"] == "append":
+            self.parts += [] if self.gone else [row["value"] or ""]
+        else:
+            self.gone = row["op"] == "remove"
+            self.parts = [] if self.gone else [row["value"] or ""]
+        return []
+
+    def end(self) -> list:
+        return [] if self.gone or not self.parts else [("".join(self.parts),)]
+
+
 class IpLimit:
     """Requests by day: twice the daily limit while the client's accepted requests are below seven times it, then the limit."""
 

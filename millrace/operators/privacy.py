@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.shared import shared_path
+
 # Categories with their placeholders.
 PLACEHOLDERS = {
     "Per": "PERSON", "Org": "ORG", "OrgForm": "ORG_FORM", "OrgSector": "SECTOR", "OrgStruct": "STRUCT", "Role": "ROLE",
@@ -213,13 +215,21 @@ def anonymize(docs: DataFrame, profile: str = "max", patterns=LEGAL, key: str =
 def vault(docs: DataFrame, patterns=STRUCTURED, key: str = "doc_id") -> DataFrame:
     """(category, value, token): stable ``CATEGORY_n`` tokens by first appearance over all documents.
 
-    Values are reduced to one row each before they are numbered within their category.
+    Values are reduced to one row each before they are numbered within their category. Of values that begin at one
+    place, as none do after overlaps are resolved, the order would be open.
     """
     spans = docs.select(F.col(key).alias("doc"), F.inline_outer(dedup(detect(F.col("text"), patterns)))).where("start is not null")
     firsts = spans.groupBy("category", "value").agg(F.min(F.struct("doc", "start")).alias("at"))
-    nr = F.row_number().over(Window.partitionBy("category").orderBy("at"))
+    # Numbered by ranges, which are written so that a second look finds the same ones; a window holds a range's rows.
+    path = shared_path(docs.sparkSession, "vault")
+    firsts.repartitionByRange("category", "at").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    ranged = docs.sparkSession.read.parquet(path)
+    before = Window.partitionBy("category").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("category", "part").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    rows = ranged.join(F.broadcast(parts), ["category", "part"])  # a row for each category and partition
+    nr = F.row_number().over(Window.partitionBy("category", "part").orderBy("at")) + F.col("before")
     base = F.create_map(*[F.lit(x) for kv in PLACEHOLDERS.items() for x in kv])[F.col("category")]
-    return firsts.select("category", "value", F.concat(base, F.lit("_"), nr.cast("string")).alias("token"))
+    return rows.select("category", "value", F.concat(base, F.lit("_"), nr.cast("string")).alias("token"))
 
 
 def restore(text: Column, tokens: Column, pattern: str = r"\[[A-Z][A-Z0-9_]+_\d+\]") -> Column:

@@ -83,7 +83,7 @@ def search_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register(
-    "d2_5_nearest",
+    "d2_4_vector_search",
     """with q as (select vec_id query_id, embedding::double[] q from embeddings where vec_id % 100 = 0),
     s as (select query_id, vec_id, list_cosine_similarity(embedding::double[], q) c from embeddings, q)
     select query_id, vec_id, round(c, 6) score from (select *, row_number() over (partition by query_id order by c desc, vec_id) k from s) x where k <= 10""",
@@ -194,7 +194,7 @@ def overlaps(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.inline(spans)).where("category = 'Contact'").select("doc_id", "value")
 
 
-@register("f50_cosine_pairs", "select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) c from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
+@register("f50_cosine", "select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) c from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
 def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))

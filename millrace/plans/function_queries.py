@@ -119,26 +119,6 @@ def retry(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", dates.retry_after(F.col("ts").cast("timestamp")).alias("s"))
 
 
-@register(
-    "f50_cosine",
-    "select e.vec_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 9) c from embeddings e, (select embedding from embeddings where vec_id = 0) q",
-)
-def cosines(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
-    q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    return e.crossJoin(F.broadcast(q)).select("vec_id", F.round(numbers.cosine(F.col("embedding"), F.col("q")), 9).alias("c"))
-
-
-@register(
-    "f50_cosine_all",
-    "select q.vec_id query_id, e.vec_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 9) c from embeddings e, embeddings q where q.vec_id % 100 = 0",
-)
-def all_cosines(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return e.crossJoin(q).select("query_id", "vec_id", F.round(numbers.cosine(F.col("embedding"), F.col("q")), 9).alias("c"))
-
-
 @register(
     "f51_parse_amount",
     "select o_orderkey, round(o_totalprice, 2) plain, floor(o_totalprice) * 1000000.0 millions, round(o_totalprice, 2) french from orders",

@@ -74,7 +74,7 @@ def mask_all(spark: SparkSession, d: str) -> DataFrame:
     return p.anonymize(table(spark, d, "documents"), "max", ALL).select("doc_id", "text", "pii_count")
 
 
-@register("d1_8_round_trip_all")
+@register("d1_8_round_trip_all", "select doc_id, text from documents")
 def round_trip_all(spark: SparkSession, d: str) -> DataFrame:
     """Texts masked with all patterns and restored are the documents again."""
     out = p.anonymize(table(spark, d, "documents"), "max", ALL)

@@ -2,7 +2,13 @@
 
 quality rules -> toxicity -> n-gram Jaccard join -> mixing to target weights -> packing
 
-Every stage but the last returns the columns of ``documents``; each works on all that its predecessor kept.
+Every stage but the last returns the columns of its input, whatever their names; each works on all that its predecessor
+kept. Rows are told apart by keys of their own, so null and repeated ids, and repeated rows, are nothing special.
+
+Defined results: a null or empty text fails the quality rules; a text that reaches a later stage without words is not
+toxic, resembles nothing, is mixed like others and is packed as one end id; without both labels no document counts as
+toxic; a null source is a source of its own; an empty table stays empty in every stage; of equal ids in a group of near
+copies any one row stays, and a row without an id only where no other is in its group.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.5 or more go. The network learns from the labelled documents of this stage's input."""
     net = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, net).where("score < 0.5").drop("score")
+    return toxicity.score(docs, net, name="__toxic").where("__toxic < 0.5").drop("__toxic")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +50,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mixture, so that files and the rows in them follow it."""
     keyed = with_row_key(docs)
-    places = mixing.mix(keyed.select("__row", "source"), key="__row").select("__row", "slot", "in_block")
+    places = mixing.mix(keyed.select("__row", "source"), key="__row").select("__row", F.col("slot").alias("__slot"), F.col("in_block").alias("__at"))
     placed = keyed.join(places, "__row")
-    return placed.repartitionByRange("slot").sortWithinPartitions("slot", "in_block").select(docs.columns)
+    return placed.repartitionByRange("__slot").sortWithinPartitions("__slot", "__at").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -405,18 +405,18 @@ def fit(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLASS
     return train([r.text or "" for r in rows], y, np.array([fold_of(r.doc_id) == CALIBRATES for r in rows], bool))
 
 
-def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """Every row of ``docs`` with ``score``, from its ``text`` alone; its other columns stay."""
+def score(docs: DataFrame, net: Network, text: str = "text", name: str = "score") -> DataFrame:
+    """Every row of ``docs`` with its score as ``name``, from its ``text`` alone; its other columns stay."""
     if net.nbytes() > MODEL_BYTES:
         raise ValueError(f"a model of over {MODEL_BYTES} bytes is not broadcast")
     narrow_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(net)
-    kept = [c for c in docs.columns if c != "score"]
+    kept = [c for c in docs.columns if c != name]
 
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
         for part in slices(batches, text, 2 << 20):
-            yield part.append_column("score", pa.array(net.scores(part.column(text))))
+            yield part.append_column(name, pa.array(net.scores(part.column(text))))
 
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("score", F.lit(0.0)).schema
+    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn(name, F.lit(0.0)).schema
     return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(released(of_task), schema)

@@ -18,8 +18,8 @@ ball compares its members across components. In a ball with more pairs than shin
 differences from the leader: for sets S, B and differences dS, dB from leader L, the sizes of S xor B and of dS xor dB
 are the same, so similar sets that the leader does not link already must share at least half of the smaller
 difference; elements of one difference alone are of no use, and the same prefix rule as before, now on the
-differences, finds all pairs left. Of these, the likeliest pair of each set is compared first, and the rest only where
-it still parts two components. No link between components is lost. Equal sets are one node throughout. Candidates
+differences, finds all pairs left. Where these outnumber their sets, the likeliest pair of each set is compared first,
+and the rest only where it still parts two components. No link between components is lost. Equal sets are one node throughout. Candidates
 are compared by their whole sets of 64-bit hashes.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; fewer words than a shingle give one
@@ -48,7 +48,7 @@ CHUNK_SHINGLES = 1 << 20
 SAMPLED = 128
 SAMPLED_LEAST = 3
 SEEN_OFTEN = tuple(4 << i for i in range(15))
-SPANNING_ROUNDS = 1
+PAIRS_FOR_SPANNING = 2.0
 HEAVY_BALL = 2.0
 OFTEN = 64
 CELLS, CELL_LEVELS = 512, 16
@@ -403,7 +403,8 @@ def similar(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     scratch.free(rows)
     pairs = _across(near, percent).unionByName(_by_differences(docs, near, words, percent, scratch)).distinct()
     pairs = scratch.cut(_by_cells(pairs, cells, percent))
-    for _ in range(SPANNING_ROUNDS):
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).agg(F.countDistinct("id")).first()[0]
+    if pairs.count() > PAIRS_FOR_SPANNING * ids:
         best = pairs.groupBy("b").agg(F.min(F.struct("apart", F.xxhash64("a").alias("h"), "a")).alias("m"))
         best = scratch.cut(best.select("m.a", "b"))
         links = scratch.cut(links.unionByName(verified(docs, best, words, percent)))

@@ -137,6 +137,16 @@ def hunks(patch: Column) -> Column:
     return run(patch)
 
 
+def located(content: Column, wanted: Column) -> Column:
+    """The place (from 0) of the wanted lines among those of a content, by :func:`find_lines`; -1 where they are not there."""
+
+    @F.pandas_udf("int")
+    def run(c: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series([find_lines((a or "").split("\n"), (b or "").split("\n")) for a, b in zip(c, w, strict=True)])
+
+    return run(content, wanted)
+
+
 def applied(content: Column, path: Column, patch: Column) -> Column:
     """struct(content, path, error): a file after a patch. A deleted one has no content; a file that the patch does not name stays as it is."""
 

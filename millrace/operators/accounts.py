@@ -94,6 +94,14 @@ def weekly_columns(rows: DataFrame, key: str, week: str, value: str, weeks: list
     return wide.select(key, *[F.coalesce(F.col(f"`{w}`"), F.lit(0)).alias(f"w{w}") for w in listed])
 
 
+def with_deltas(report: DataFrame, order: str, values: list[str]) -> DataFrame:
+    """A report of one row a day with what each value has grown by since the row before; the first grows from 0."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(F.lit(0)).orderBy(order)  # a row a day
+    return report.select("*", *[(F.col(v) - F.lag(v, 1, 0).over(w)).alias(f"{v}_delta") for v in values])
+
+
 def task_scores(results: DataFrame) -> DataFrame:
     """(agent, task, score) of results (agent, result) whose JSON holds ``tasks: [{id, averageScore}]``; tasks without an id are left out."""
     tasks = F.from_json(F.get_json_object("result", "$.tasks"), "array<struct<id: string, averageScore: double>>")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import dates, numbers, replace, text
+from millrace.functions import dates, markdown, numbers, patch, replace, text
+from millrace.operators import accounts
 from millrace.plans.registry import register
 from millrace.sources.tables import table
 
@@ -145,3 +146,38 @@ _PIECES = " || ':' || ".join(_fnv_sql(f"substr(p_name, greatest(0, least(n - 6,
 @register("x24_sampled", f"select p_partkey, case when n <= 20 then {_fnv_sql('p_name')} else n || ':' || {_PIECES} end hash from (select p_partkey, p_name, length(p_name) n from part)")
 def sampled(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", text.sampled_checksum(F.col("p_name"), 20, 6).alias("hash"))
+
+
+_FIRST, _SECOND = "string_split(text, chr(10))[1]", "string_split(text, chr(10))[2]"
+
+
+@register("x1_located", "select doc_id, (list_position(l, l[len(l)]) - 1)::int as place from (select doc_id, string_split(text, chr(10)) l from documents)")
+def located(spark: SparkSession, d: str) -> DataFrame:
+    """Where the last line of each document stands for the first time."""
+    last = F.substring_index("text", "\n", -1)
+    return table(spark, d, "documents").select("doc_id", patch.located(F.col("text"), last).alias("place"))
+
+
+@register(
+    "x2_patched",
+    f"""select doc_id, 'NEW' || substr(t, length({_FIRST}) + 1) || case when right(t, 1) = chr(10) then '' else chr(10) end as content, 'moved' as path from (
+        select doc_id, text, case when text like '%' || chr(10) || chr(10) then left(text, length(text) - 1) else text end t from documents) where {_SECOND} is not null""",
+)
+def patched(spark: SparkSession, d: str) -> DataFrame:
+    """The first line of every document of two lines or more replaced by a patch that moves it."""
+    first, second = (F.get(F.split("text", "\n"), F.lit(i)) for i in (0, 1))
+    body = F.concat(F.lit("*** Begin Patch\n*** Update File: f\n*** Move to: moved\n@@\n-"), first, F.lit("\n+NEW\n "), second, F.lit("\n*** End Patch"))
+    docs = table(spark, d, "documents").where(second.isNotNull())
+    done = docs.select("doc_id", patch.applied(F.col("text"), F.lit("f"), body).alias("r"))
+    return done.select("doc_id", "r.content", "r.path")
+
+
+@register("f15_markdown")
+def markdowns(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", markdown.markdown(F.col("html")).alias("markdown"))
+
+
+@register("k17_stats_rows", "select day, n, (n - lag(n, 1, 0) over (order by day))::bigint n_delta from (select ts::date as day, count(*) n from events group by 1)")
+def stats_rows(spark: SparkSession, d: str) -> DataFrame:
+    daily = table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    return accounts.with_deltas(daily, "day", ["n"])

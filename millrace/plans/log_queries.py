@@ -199,3 +199,15 @@ def folders_first(spark: SparkSession, d: str) -> DataFrame:
     p = F.split(F.regexp_extract("url", "://([^?#]*)", 1), "/")
     n = table(spark, d, "pages").select(p.alias("p")).where(F.size("p") >= 2).select(F.get("p", F.lit(1)).alias("name"), (F.size("p") > 2).alias("is_dir")).distinct()
     return n.orderBy(F.desc("is_dir"), "name")
+
+
+@register(
+    "s13_unignored",
+    """with p as (select distinct regexp_extract(url, '://([^?#]*)', 1) path from pages) select path from p
+    where regexp_matches(path, '\\.html$') and not regexp_matches(path, '(^|/)fr/') and (not starts_with(path, 'm.') or regexp_matches(path, '(^|/)en(/|$)'))""",
+)
+def unignored(spark: SparkSession, d: str) -> DataFrame:
+    from millrace.sources import readers
+
+    paths = table(spark, d, "pages").select(F.regexp_extract("url", "://([^?#]*)", 1).alias("path")).distinct()
+    return readers.unignored(paths, ["# rules", "m.*", "!en/", "fr/"], "*.html")

@@ -62,3 +62,28 @@ def listing(spark: SparkSession, path: str, glob: str = "*", after: str | None =
     files = files.where(F.col("path") > after) if after else files
     files = files.orderBy("path")
     return files.limit(limit) if limit is not None else files
+
+
+def jdbc_table(spark: SparkSession, url: str, name: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 16) -> DataFrame:
+    """A table of a database; filters and columns are pushed to it. With a numeric key and its bounds it is read in parallel."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", name)
+    if key and bounds:
+        reader = reader.option("partitionColumn", key).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", parts)
+    return reader.load()
+
+
+def unignored(paths: DataFrame, ignore: list[str], glob: str | None = None) -> DataFrame:
+    """Paths that no ignore rule takes: rules are globs, a later one counts, ``!`` takes back, a final slash names a folder.
+
+    Paths are relative; those below ``.git`` are never listed.
+    """
+    from millrace.functions.text import glob_regex
+
+    out = F.lit(False)
+    for rule in [r for r in ignore if r.strip() and not r.startswith("#")]:
+        keep, body = rule.startswith("!"), rule.lstrip("!").rstrip("/")
+        anchored = "/" in body
+        regex = glob_regex(body.lstrip("/") if anchored else f"**/{body}")[:-1] + "(?:/.*)?$"
+        out = F.when(F.col("path").rlike(regex), not keep).otherwise(out)
+    kept = paths.where(~out & ~F.col("path").rlike(r"(^|/)\.git(/|$)"))
+    return kept.where(F.col("path").rlike(glob_regex(glob if "/" in glob else f"**/{glob}"))) if glob else kept

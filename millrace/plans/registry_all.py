@@ -5,6 +5,7 @@ from millrace.plans import (  # noqa: F401
     billing_queries,
     document_queries,
     function_queries,
+    file_queries,
     further_queries,
     log_queries,
     privacy_queries,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,9 +39,17 @@ def json_folder(spark: SparkSession, path: str, schema: str, parent: str = "pare
 
 def session_export(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """An export ``{info, messages: [{info, parts}]}`` as sessions, messages and parts, with positions."""
+    return _sessions(spark.read.option("wholetext", "true").text(path))
+
+
+def session_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same of files that hold an export on each line."""
+    return _sessions(spark.read.text(path))
+
+
+def _sessions(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     info = "struct<id: string, title: string>"
     message = "struct<info: struct<id: string, role: string>, parts: array<struct<id: string, type: string, text: string>>>"
-    raw = spark.read.option("wholetext", "true").text(path)
     s = raw.select(F.from_json("value", f"struct<info: {info}, messages: array<{message}>>").alias("s")).select("s.*")
     m = s.select(F.col("info.id").alias("session_id"), F.posexplode("messages").alias("position", "m"))
     messages = m.select("session_id", F.col("m.info.id").alias("id"), F.col("m.info.role").alias("role"), "position")
@@ -52,7 +60,12 @@ def session_export(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 def whole_texts(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, text) of all files; bytes that are not UTF-8 become replacement characters."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    return files.select("path", lossy(F.col("content")).alias("text"))
+
+
+def lossy(content: Column) -> Column:
+    """Bytes as text; those that are not UTF-8 become replacement characters."""
+    return F.make_valid_utf8(content.cast("string"))
 
 
 def listing(spark: SparkSession, path: str, glob: str = "*", after: str | None = None, limit: int | None = None) -> DataFrame:

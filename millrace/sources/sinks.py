@@ -51,11 +51,41 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "append") ->
     df.write.mode(mode).option("header", "true").option("quote", '"').option("escape", '"').option("sep", sep).csv(path)
 
 
-def write_by_hour(df: DataFrame, path: str, ts: str, model: str = "model") -> None:
-    """JSON partitioned by model and hour; rows without a model are left out."""
-    parts = {"y": "yyyy", "m": "MM", "d": "dd", "h": "HH"}
+LEVELS = {"y": "yyyy", "m": "MM", "d": "dd", "h": "HH", "min": "mm", "s": "ss"}
+
+
+def write_by_time(df: DataFrame, path: str, ts: str, model: str = "model", finest: str = "h") -> None:
+    """JSON below ``data``, partitioned by model and time down to a level of LEVELS; rows without a model are left out."""
+    parts = {k: v for i, (k, v) in enumerate(LEVELS.items()) if i <= list(LEVELS).index(finest)}
     timed = reduce(lambda f, kv: f.withColumn(kv[0], F.date_format(ts, kv[1])), parts.items(), df.where(F.col(model).isNotNull()))
-    timed.write.mode("append").partitionBy(model, *parts).json(path)
+    timed.write.mode("append").partitionBy(model, *parts).json(f"{path}/data")
+
+
+def write_meta(df: DataFrame, path: str, session: str, model: str = "model") -> None:
+    """JSON below ``meta``, partitioned by model and session; rows without a model are left out."""
+    df.where(F.col(model).isNotNull()).write.mode("append").partitionBy(model, session).json(f"{path}/meta")
+
+
+def send_batches(stream: DataFrame, post, checkpoint: str, rows: int = 500):
+    """Hand a stream's rows to ``post`` as lists of dicts of up to ``rows``, from the tasks that hold them.
+
+    A batch that fails is handed over again, so ``post`` may see a row twice and never misses one.
+    """
+
+    def deliver(df: DataFrame, _: int) -> None:
+        def of_task(part) -> None:
+            held = []
+            for r in part:
+                held.append(r.asDict(recursive=True))
+                if len(held) == rows:
+                    post(held)
+                    held = []
+            if held:
+                post(held)
+
+        df.foreachPartition(of_task)
+
+    return stream.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def nested_sessions(sessions: DataFrame, messages: DataFrame, parts: DataFrame) -> DataFrame:

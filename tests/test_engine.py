@@ -69,7 +69,7 @@ def test_csv_and_partitioned_json(spark, tmp_path):
     sinks.write_csv(df.select("t"), str(tmp_path / "csv"))
     lines = [x for p in (tmp_path / "csv").glob("*.csv") for x in p.read_text().splitlines()]
     assert '"say ""x"", y"' in lines and "plain" in lines
-    sinks.write_by_hour(df, str(tmp_path / "dump"), "ts")
+    sinks.write_by_time(df, str(tmp_path / "dump"), "ts")
     assert [p.parent.name for p in (tmp_path / "dump").rglob("*.json")] == ["h=03"]
 
 

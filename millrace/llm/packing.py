@@ -39,7 +39,7 @@ ARROW = pa.schema(
     ]
 )
 TASK_BITS = 36
-FLUSH_PIECES = 20_000
+FLUSH_PIECES = 2_000
 
 
 def cut_lengths(n: int, capacity: int, waste: float) -> list[int]:
@@ -121,7 +121,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, waste: float =
         encoder = Encoder.of(vocabulary)
 
         def texts() -> Iterator[tuple[int, bytes]]:
-            for part in slices(batches, "text"):
+            for part in slices(batches, "text", 2 << 20):
                 ids, offsets = encoder.encode(part.column("text"))
                 wide = ids.astype("<u4").tobytes()
                 for doc_id, a, b in zip(part.column("doc_id").to_pylist(), offsets[:-1], offsets[1:], strict=True):

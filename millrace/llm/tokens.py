@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 END_ID = 1
-CACHE_WORDS = 100_000
+CACHE_WORDS = 50_000
 SLICE_BYTES = 8 << 20
 
 # The pre-tokenizer's pattern for lower-cased words of the plain alphabet.

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.store import cut, narrow_batches, released
+from millrace.llm.store import cut, narrow_batches, release, released
 from millrace.llm.tokens import slices
 
 WINDOW, STRIDE = 32, 16
@@ -42,6 +42,7 @@ MOST_BYTES = 64 << 20
 EPOCHS = 12
 PARTS = 3
 AT_ONCE = 4096
+WORDS_AT_ONCE = 1 << 14
 TOP, LEAST_TO_CALIBRATE = 3, 20
 FOLDS, HELD_OUT, CALIBRATES = 5, 0, 1
 MODEL_BYTES = 8 << 20
@@ -65,18 +66,27 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 
 def slots_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word its slot, the slots of its character n-grams one after the other, and where each word's begin."""
+    """For each word its slot, the slots of its character n-grams one after the other, and where each word's begin.
+
+    Words are taken WORDS_AT_ONCE at a time, as their n-grams need many times their memory.
+    """
+    parts = [_slots_of(words.slice(a, WORDS_AT_ONCE)) for a in range(0, len(words), WORDS_AT_ONCE)]
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(1, np.int64)
+    word, grams, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return word, grams, np.concatenate([[0], np.cumsum(counts)])
+
+
+def _slots_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     import pandas as pd
 
     n = len(words)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
     hashed = pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False)
     marked = [f"^{w}$".encode() for w in words.to_pylist()]
     raw = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64) + np.uint64(1)
     sizes = np.fromiter(map(len, marked), np.int64, n)
     starts = np.cumsum(sizes) - sizes
-    word_of = np.repeat(np.arange(n), sizes)
+    word_of = np.repeat(np.arange(n, dtype=np.int32), sizes)
     left = np.repeat(starts + sizes, sizes) - np.arange(len(raw))
     rolled, all_slots, owners = raw.copy(), [], []
     for k in range(1, max(GRAMS)):
@@ -84,12 +94,11 @@ def slots_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if k + 1 in GRAMS:
             whole = left[: len(rolled)] > k
             spread = (rolled[whole] ^ (rolled[whole] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-            all_slots.append((spread >> np.uint64(40)).astype(np.int64) % CHAR_SLOTS)
+            all_slots.append(((spread >> np.uint64(40)) % np.uint64(CHAR_SLOTS)).astype(np.int32))
             owners.append(word_of[: len(rolled)][whole])
     owner, slots = np.concatenate(owners), np.concatenate(all_slots)
     order = np.argsort(owner, kind="stable")
-    counts = np.bincount(owner, minlength=n)
-    return (hashed % np.uint64(WORD_SLOTS)).astype(np.int64), slots[order], np.concatenate([[0], np.cumsum(counts)])
+    return (hashed % np.uint64(WORD_SLOTS)).astype(np.int32), slots[order], np.bincount(owner, minlength=n)
 
 
 def window_rows(ends: np.ndarray, pad: int, index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,10 +109,13 @@ def window_rows(ends: np.ndarray, pad: int, index: np.ndarray) -> tuple[np.ndarr
     k = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
     start = ends[:-1][text] + np.minimum(k * STRIDE, np.maximum(n[text] - WINDOW, 0))
     held = np.minimum(n[text], WINDOW)
-    at = start[:, None] + np.arange(WINDOW)
-    inside = np.arange(WINDOW) < held[:, None]
-    padded = np.append(index, np.int32(pad))
-    return padded[np.where(inside, at, len(index))].astype(np.int32), text, held
+    padded = np.append(index, np.int32(pad)).astype(np.int32)
+    rows = np.empty((len(text), WINDOW), np.int32)
+    for a in range(0, len(text), AT_ONCE):
+        at = start[a : a + AT_ONCE, None] + np.arange(WINDOW)
+        inside = np.arange(WINDOW) < held[a : a + AT_ONCE, None]
+        rows[a : a + AT_ONCE] = padded[np.where(inside, at, len(index))]
+    return rows, text, held
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -190,8 +202,8 @@ class Network:
             out[t] = h
         return out
 
-    def logits(self, vectors: np.ndarray, index: np.ndarray, held: np.ndarray) -> np.ndarray:
-        """The score of each window; windows with padding are run apart from full ones."""
+    def logits(self, vectors: np.ndarray, index: np.ndarray, held: np.ndarray, some: np.ndarray | None = None) -> np.ndarray:
+        """The score of each window, or of some; windows with padding are run apart from full ones."""
         h2 = 2 * HIDDEN
         tables, us = [], []
         for side in "fb":
@@ -199,11 +211,13 @@ class Network:
             half[:h2] = 0.5
             tables.append(np.ascontiguousarray((vectors @ self.p[f"w{side}"] + self.p[f"c{side}"]) * half))
             us.append(self.p[f"u{side}"] * half)
-        out = np.empty(len(index), np.float32)
-        full = np.flatnonzero(held == WINDOW)
-        for rows in (full, np.flatnonzero(held < WINDOW)):
+        some = np.arange(len(index)) if some is None else some
+        out = np.empty(len(some), np.float32)
+        full = np.flatnonzero(held[some] == WINDOW)
+        for rows in (full, np.flatnonzero(held[some] < WINDOW)):
             for a in range(0, len(rows), AT_ONCE):
-                part = rows[a : a + AT_ONCE]
+                place = rows[a : a + AT_ONCE]
+                part = some[place]
                 mask = None if rows is full else np.arange(WINDOW) < held[part][:, None]
                 both = [self._states(tables[i], us[i], index[part], mask, i == 1) for i in (0, 1)]
                 v, w = self.p["attention"], self.p["out"]
@@ -214,7 +228,7 @@ class Network:
                 said = both[0] @ w[:HIDDEN] + both[1] @ w[HIDDEN:]
                 if mask is not None:
                     said = np.where(held[part] > 0, said, 0)
-                out[part] = (e * said).sum(0) / e.sum(0) + self.p["bias"][0]
+                out[place] = (e * said).sum(0) / e.sum(0) + self.p["bias"][0]
         return out
 
     def scores(self, texts: pa.Array) -> np.ndarray:
@@ -316,7 +330,7 @@ def train(texts: list[str], labels: np.ndarray, calibrates: np.ndarray, epochs:
     trained = np.flatnonzero(learns[text])
     vectors = np.stack(seen)
     known = vectors[:, :, 0] + vectors[:, :, 2]
-    score = known[part[text][:, None], rows].max(1)
+    score = np.concatenate([known[part[text[a : a + AT_ONCE]][:, None], rows[a : a + AT_ONCE]].max(1) for a in range(0, len(rows), AT_ONCE)])
     mean = {k: np.zeros_like(v) for k, v in net.p.items()}
     square = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
@@ -324,7 +338,7 @@ def train(texts: list[str], labels: np.ndarray, calibrates: np.ndarray, epochs:
         if epoch:
             for k in range(PARTS):
                 some = trained[part[text[trained]] == k]
-                score[some] = net.logits(vectors[k], rows[some], held[some])
+                score[some] = net.logits(vectors[k], rows, held, some)
         order = trained[np.lexsort((-score[trained], text[trained]))]
         place = np.arange(len(order)) - np.searchsorted(text[order], text[order])
         bad = labels[text[order]] == 1
@@ -350,7 +364,7 @@ def train(texts: list[str], labels: np.ndarray, calibrates: np.ndarray, epochs:
         logits = score
         for k in range(PARTS):
             some = trained[part[text[trained]] == k]
-            logits[some] = net.logits(vectors[k], rows[some], held[some])
+            logits[some] = net.logits(vectors[k], rows, held, some)
     worst = worst_windows(logits.astype(np.float64), text, len(texts))
     net.curve = _logistic(worst[fit], labels[fit])
     return net
@@ -402,7 +416,12 @@ def fit(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLASS
     rows = one.where(F.col("doc_id").isin(taken)).collect() if taken else []  # most_bytes of text
     rows.sort(key=lambda r: (r.doc_id, r.toxic))
     y = np.array([r.toxic for r in rows], np.int64)
-    return train([r.text or "" for r in rows], y, np.array([fold_of(r.doc_id) == CALIBRATES for r in rows], bool))
+    texts, calibrates = [r.text or "" for r in rows], np.array([fold_of(r.doc_id) == CALIBRATES for r in rows], bool)
+    del rows
+    release()
+    net = train(texts, y, calibrates)
+    release()
+    return net
 
 
 def score(docs: DataFrame, net: Network, text: str = "text", name: str = "score") -> DataFrame:

@@ -178,7 +178,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, shards: int) -> No
                 }
             )
 
-        for part in slices(batches, "text", 4 << 20):
+        for part in slices(batches, "text", 2 << 20):
             ids, offsets = encoder.encode(part.column("text"))
             held.append((part.column("doc_id").to_pylist(), ids, offsets))
             if sum(len(h[1]) for h in held) >= BLOCK_TOKENS:

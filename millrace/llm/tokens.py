@@ -2,7 +2,7 @@
 
 The vocabulary drops white space and never merges across it, so the ids of a text are those of its words one after
 the other. Each batch is split at ASCII white space, its distinct words are looked up in a bounded cache of the
-worker (two generations of CACHE_WORDS, so words in use stay), and the ids are gathered with numpy. A word outside plain Latin letters, digits and ASCII signs goes to the
+worker (two generations of CACHE_WORDS words and CACHE_PARTS parts, so those in use stay), and the ids are gathered with numpy. A word outside plain Latin letters, digits and ASCII signs goes to the
 tokenizer itself, so every text gets the ids that encoding it whole would give.
 """
 
@@ -16,7 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 END_ID = 1
-CACHE_WORDS = 50_000
+CACHE_WORDS = 150_000
+CACHE_PARTS = 100_000
 SLICE_BYTES = 8 << 20
 
 # The pre-tokenizer's pattern for lower-cased words of the plain alphabet.
@@ -68,7 +69,7 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.signs = byte_signs()
-        self.words, self.parts = Recent(CACHE_WORDS), Recent(CACHE_WORDS)
+        self.words, self.parts = Recent(CACHE_WORDS), Recent(CACHE_PARTS)
 
     def _part(self, part: str) -> bytes:
         found = self.parts.get(part)
@@ -90,13 +91,14 @@ class Encoder:
         lists = pc.ascii_split_whitespace(texts)
         flat = lists.values.dictionary_encode()
         distinct = flat.dictionary.to_pylist()
-        encoded = []
-        for w in distinct:
-            e = self.words.get(w)
+        encoded = list(map(self.words.young.get, distinct))
+        for i, e in enumerate(encoded):
             if e is None:
-                e = self.word(w)
-                self.words.put(w, e)
-            encoded.append(e)
+                w = distinct[i]
+                encoded[i] = self.words.get(w)
+                if encoded[i] is None:
+                    encoded[i] = self.word(w)
+                    self.words.put(w, encoded[i])
         pool = np.frombuffer(b"".join(encoded), np.uint16)
         lens = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 2
         starts = np.cumsum(lens) - lens

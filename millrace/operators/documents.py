@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,11 +121,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 25
     batch once, and of each batch at most k rows for a query go on, so what is shuffled is bounded by batches, not pairs.
     Ties go by vec_id. Vectors of another length than the query's, and those of norm 0, score 0.
     """
-    from collections.abc import Iterator
-
-    import numpy as np
-    import pyarrow as pa
-
     def unit(x: np.ndarray) -> np.ndarray:
         n = np.sqrt((x * x).sum(1))
         return np.divide(x, n[:, None], out=np.zeros_like(x), where=n[:, None] > 0)
@@ -130,28 +129,27 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 25
     asked = queries.select("query_id", "embedding").withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     rows = asked.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("query_id", "embedding"))).alias("q"))  # about ``block`` rows each
 
+    def scored(asked: list[dict], held: list[dict]) -> Iterator[tuple]:
+        """The best k of a batch for each query; rows that cannot be compared score 0."""
+        by_length: dict[int, list[dict]] = {}
+        for y in sorted((y for y in held if y["vec_id"] is not None), key=lambda y: y["vec_id"]):
+            by_length.setdefault(len(y["embedding"] or ()), []).append(y)
+        units = {n: unit(np.array([y["embedding"] for y in rows], np.float64)) for n, rows in by_length.items() if n}
+        for x in asked:
+            n = len(x["embedding"] or ())
+            score = {m: np.zeros(len(rows)) for m, rows in by_length.items()}
+            if n in units:
+                score[n] = units[n] @ unit(np.array([x["embedding"]], np.float64))[0]
+            pairs = [(-s, y["vec_id"]) for m, rows in by_length.items() for s, y in zip(score[m].tolist(), rows, strict=True)]
+            yield from ((x["query_id"], i, -s) for s, i in heapq.nsmallest(k, pairs))
+
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                q, v = batch.column("q")[i].as_py(), batch.column("v")[i].as_py()
-                found: list[tuple] = []
-                for dim in {len(x["embedding"] or ()) for x in q}:
-                    some = [x for x in q if len(x["embedding"] or ()) == dim]
-                    same = [x for x in v if len(x["embedding"] or ()) == dim]
-                    rest = [(x["query_id"], y["vec_id"], 0.0) for x in some for y in sorted(v, key=lambda y: y["vec_id"])[:k] if len(y["embedding"] or ()) != dim]
-                    found += rest
-                    if not same or not dim:
-                        found += [(x["query_id"], y["vec_id"], 0.0) for x in some for y in sorted(same, key=lambda y: y["vec_id"])[:k]]
-                        continue
-                    ids = np.array([y["vec_id"] for y in same])
-                    a, b = (unit(np.array([x["embedding"] for x in z], np.float64)) for z in (some, same))
-                    score = a @ b.T
-                    for x, s in zip(some, score, strict=True):
-                        best = np.lexsort((ids, -s))[:k]
-                        found += [(x["query_id"], int(ids[j]), float(s[j])) for j in best]
+            for row in batch.to_pylist():
+                found = [*scored(row["q"], row["v"])]
                 if found:
-                    columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)]
-                    yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
+                    columns = zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["query_id", "vec_id", "score"])
 
     many = max(1, -(-vectors.count() // 4096))
     dealt = vectors.select("vec_id", "embedding").withColumn("g", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(many)))

@@ -8,14 +8,23 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_LOCAL: dict[str, str] = {}
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """An unused path below the folder in ``spark.checkpoint.dir``; a temporary one only where it is unset and the master is one local JVM."""
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where it is unset and the master is one local JVM."""
     sc = spark.sparkContext
-    told = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not told:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        told = tempfile.mkdtemp(prefix="millrace-")
-        logging.getLogger(__name__).warning("spark.checkpoint.dir is not set, using %s", told)
-    return f"{told.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    told = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if told:
+        return told.rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if sc.applicationId not in _LOCAL:
+        _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="millrace-")
+        logging.getLogger(__name__).warning("spark.checkpoint.dir is not set, using %s", _LOCAL[sc.applicationId])
+    return _LOCAL[sc.applicationId]
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """An unused path below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -8,30 +8,21 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import logging
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.shared import shared_folder
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where it is unset and the master is one local JVM."""
-    sc = spark.sparkContext
-    told = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(told)
-        return told.rstrip("/")
-    if sc.getCheckpointDir():
-        return sc.getCheckpointDir().rstrip("/")
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
-    logging.getLogger(__name__).warning("spark.checkpoint.dir is not set, using %s", sc.getCheckpointDir())
-    return sc.getCheckpointDir().rstrip("/")
+    """The shared folder, which checkpoints go to as well."""
+    folder = shared_folder(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def new_path(spark: SparkSession, name: str) -> str:

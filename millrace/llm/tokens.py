@@ -9,6 +9,7 @@ tokenizer itself, so every text gets the ids that encoding it whole would give.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,34 +56,36 @@ class Recent:
 class Encoder:
     """Encodes Arrow string arrays; one per worker process and vocabulary file."""
 
-    _made: dict[str, Encoder] = {}
+    _made: dict[tuple, Encoder] = {}
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, words: int = CACHE_WORDS, parts: int = CACHE_PARTS) -> Encoder:
+        if (path, words, parts) not in cls._made:
+            cls._made[path, words, parts] = cls(path, words, parts)
+        return cls._made[path, words, parts]
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = CACHE_WORDS, parts: int = CACHE_PARTS):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.signs = byte_signs()
-        self.words, self.parts = Recent(CACHE_WORDS), Recent(CACHE_PARTS)
+        self.words, self.parts = Recent(words), Recent(parts)
 
     def _part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
             signs = part.encode().decode("latin-1").translate(self.signs)
-            found = np.array([t.id for t in self.model.tokenize(signs)], np.uint16).tobytes()
+            found = array("H", [t.id for t in self.model.tokenize(signs)]).tobytes()
             self.parts.put(part, found)
         return found
 
     def word(self, word: str) -> bytes:
         """The ids of one word as little-endian 16-bit integers."""
         if PLAIN.fullmatch(word) and "<|" not in word:
-            return b"".join(map(self._part, PARTS.findall(word.lower())))
+            parts = PARTS.findall(word.lower())
+            found = list(map(self.parts.young.get, parts))
+            return b"".join(found if None not in found else map(self._part, parts))
         return np.array(self.whole.encode(word, add_special_tokens=False).ids, np.uint16).tobytes()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -30,6 +30,7 @@ from millrace.llm.tokens import Encoder, slices
 BITS = 16
 CHUNK = 1 << 16
 CHUNKS_KEPT = 64
+CACHE_WORDS, CACHE_PARTS = 300_000, 200_000  # tokens are all that the task holds, so its caches may be large
 BLOCK_TOKENS = 1 << 21
 FILE_SCHEMA = T.StructType(
     [
@@ -46,6 +47,12 @@ FILE_SCHEMA = T.StructType(
 READ_SCHEMA = "doc_id long, shard int, block int, local_start long, n_tokens long, ids_crc32 long"
 
 
+def _unpacked(chunk: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(chunk)
+
+
 class WaveletMatrix:
     """Access, rank, select and count over a sequence of integers below 2 ** BITS."""
 
@@ -56,12 +63,15 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         planes, zeros, ranks = [], [], []
         values = np.ascontiguousarray(ids, np.uint16)
         for k in reversed(range(BITS)):
             bits = ((values >> k) & 1).astype(bool)
             packed = np.packbits(bits).tobytes()
-            planes.append([zlib.compress(packed[a : a + CHUNK // 8], 1) for a in range(0, len(packed), CHUNK // 8)])
+            planes.append([squeeze(packed[a : a + CHUNK // 8]) for a in range(0, len(packed), CHUNK // 8)])
             ones = np.flatnonzero(bits)
             ranks.append(np.searchsorted(ones, np.arange(0, len(bits) + 1, CHUNK)).tolist())
             values = np.concatenate([values[~bits], values[ones]])
@@ -73,7 +83,7 @@ class WaveletMatrix:
         found = self.kept.pop((plane, a), None)
         if found is None:
             size = min(CHUNK, self.n - a * CHUNK)
-            found = np.unpackbits(np.frombuffer(zlib.decompress(self.planes[plane][a]), np.uint8), count=size)
+            found = np.unpackbits(np.frombuffer(_unpacked(self.planes[plane][a]), np.uint8), count=size)
             if len(self.kept) >= CHUNKS_KEPT:
                 del self.kept[next(iter(self.kept))]
         self.kept[plane, a] = found
@@ -141,7 +151,7 @@ class WaveletMatrix:
         """All ids, by undoing the planes from the last to the first."""
         values = np.zeros(self.n, np.uint16)
         for plane in reversed(range(BITS)):
-            packed = b"".join(map(zlib.decompress, self.planes[plane]))
+            packed = b"".join(map(_unpacked, self.planes[plane]))
             bits = np.unpackbits(np.frombuffer(packed, np.uint8), count=self.n).astype(bool)
             z = self.zeros[plane]
             above = np.empty(self.n, np.uint16)
@@ -157,7 +167,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, shards: int) -> No
     def of_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, shard, block = Encoder.of(vocabulary), TaskContext.get().partitionId(), 0
+        encoder, shard, block = Encoder.of(vocabulary, CACHE_WORDS, CACHE_PARTS), TaskContext.get().partitionId(), 0
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:

@@ -33,5 +33,8 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+FLAGSHIP = "d4_2_monthly_snapshot"
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next(iter(_QUERIES.values()))(spark, sf_dir)
+    return _QUERIES[FLAGSHIP](spark, sf_dir)

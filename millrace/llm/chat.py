@@ -20,6 +20,7 @@ columns are ignored. A conversation is held whole by one task; its size bounds w
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -93,6 +94,7 @@ class Codec:
         return cls._made[path]
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)

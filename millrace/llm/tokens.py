@@ -23,6 +23,7 @@ SLICE_BYTES = 8 << 20
 
 # The pre-tokenizer's pattern for lower-cased words of the plain alphabet.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+SIGNS_BEHIND = ".,;:!?"
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
@@ -75,15 +76,24 @@ class Encoder:
     def _part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
-            signs = part.encode().decode("latin-1").translate(self.signs)
+            # Printable ASCII stands for itself in the vocabulary.
+            signs = part if part.isascii() else part.encode().decode("latin-1").translate(self.signs)
             found = array("H", [t.id for t in self.model.tokenize(signs)]).tobytes()
             self.parts.put(part, found)
         return found
 
     def word(self, word: str) -> bytes:
         """The ids of one word as little-endian 16-bit integers."""
+        low = word.lower()
+        if not low:  # splitting leaves empty pieces at the ends of a text
+            return b""
+        if low.isascii():  # letters alone, or with one sign behind them, need no pattern
+            if low.isalpha():
+                return self.parts.young.get(low) or self._part(low)
+            if low[-1] in SIGNS_BEHIND and low[:-1].isalpha():
+                return (self.parts.young.get(low[:-1]) or self._part(low[:-1])) + self._part(low[-1])
         if PLAIN.fullmatch(word) and "<|" not in word:
-            parts = PARTS.findall(word.lower())
+            parts = PARTS.findall(low)
             found = list(map(self.parts.young.get, parts))
             return b"".join(found if None not in found else map(self._part, parts))
         return np.array(self.whole.encode(word, add_special_tokens=False).ids, np.uint16).tobytes()

@@ -9,8 +9,8 @@ and :func:`occurrences` do that over all shards of a folder. Files go through Sp
 that Spark reaches will do, and a lost task writes its shard again under the same commit protocol.
 
 Defined results: a null or empty text is a document of one end id; a null ``doc_id`` sorts first; repeated rows are
-written once each, next to each other, and rows with one ``doc_id`` in the order of a hash of their texts (so a
-``doc_id`` of many rows is split over shards); an empty table gives no rows; further columns are ignored.
+written once each; rows with one ``doc_id`` stand next to each other in a seeded random order, so that a ``doc_id`` of
+many rows is split over shards; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -198,9 +198,9 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, shards: int) -> No
             yield flush()
 
     narrow_batches(docs.sparkSession)
-    # Equal rows are told apart by a seeded random number, as one document may hold a third of all rows.
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.rand(7).alias("r"))
-    sorted_docs = keyed.repartitionByRange(shards, "doc_id", "h", "r").sortWithinPartitions("doc_id", "h")
+    # Rows of one id are told apart by a seeded random number, as one document may hold a third of all rows.
+    keyed = docs.select("doc_id", "text", F.rand(7).alias("r"))
+    sorted_docs = keyed.repartitionByRange(shards, "doc_id", "r").sortWithinPartitions("doc_id", "r")
     sorted_docs.select("doc_id", "text").mapInArrow(released(of_shard), FILE_SCHEMA).write.option("compression", "none").parquet(path)
 
 

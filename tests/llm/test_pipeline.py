@@ -69,13 +69,18 @@ def test_without_toxic(spark, docs, tmp_path):
     assert pairs(out.where("doc_id is null or doc_id < 100")) == Counter((i, t) for i, t, *_ in rows())
 
 
+@pytest.fixture
+def made(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(3)
+
+
 CLASHES = ["kept", "score", "slot", "block", "in_block", "component_id", "n_words", "cleaned", "start", "length"]
 
 
 @pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES[:-1]])
-def test_clashing_columns_pass(spark, docs, tmp_path, name):
+def test_clashing_columns_pass(spark, made, tmp_path, name):
     spark.createDataFrame([(k, 1, k % 2) for k in range(10, 30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    wide = docs
+    wide = made
     for i, c in enumerate(CLASHES):
         wide = wide.selectExpr("*", f"concat('{c}', doc_id, {i}) `{c}`")
     out = dict(corpus_pipeline.STAGES)[name](spark, wide, str(tmp_path))
@@ -85,12 +90,12 @@ def test_clashing_columns_pass(spark, docs, tmp_path, name):
 
 
 @pytest.mark.parametrize("labels", [[], [(k, 1, 0) for k in range(10, 30)]])
-def test_empty_tables_and_one_label(spark, docs, tmp_path, labels):
+def test_empty_tables_and_one_label(spark, made, tmp_path, labels):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for name, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs.where("doc_id < -5"), str(tmp_path)).count() == 0, name
+        assert stage(spark, made.where("doc_id < -5"), str(tmp_path)).count() == 0, name
     # With one label or none there is nothing to learn, and no document counts as toxic.
-    assert pairs(corpus_pipeline.without_toxic(spark, docs, str(tmp_path))) == Counter((i, t) for i, t, *_ in rows())
+    assert pairs(corpus_pipeline.without_toxic(spark, made, str(tmp_path))) == Counter((i, t) for i, t, *_ in rows())
 
 
 def test_null_empty_and_long_texts(spark, tmp_path):

@@ -19,8 +19,8 @@ columns are ignored. A conversation is held whole by one task; its size bounds w
 
 from __future__ import annotations
 
+import base64
 import hashlib
-import os
 import re
 from collections.abc import Iterator
 
@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.store import narrow_batches
-from millrace.llm.tokens import byte_signs
 
 # The marks of this template, and those of other templates that texts should not be able to imitate.
 OPEN, CLOSE = "<s>", "</s>"
@@ -83,7 +82,7 @@ def unescape_role(role: str) -> str:
 
 
 class Codec:
-    """Token ids of texts and back, by a byte-level vocabulary file; one per worker process and file."""
+    """Token ids of texts and back, by a byte-level vocabulary file of ranks; one per worker process and file."""
 
     _made: dict[str, Codec] = {}
 
@@ -94,19 +93,18 @@ class Codec:
         return cls._made[path]
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
+        import public_tokenizers
+        import tiktoken
 
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        signs = {ord(c): b for b, c in byte_signs().items()}
-        self.bytes = {i: bytes(signs[ord(c)] for c in t) for t, i in self.whole.get_vocab().items() if all(ord(c) in signs for c in t)}
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(i) for token, i in map(bytes.split, lines)}
+        self.whole = tiktoken.Encoding("chat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        return [self.whole.encode_ordinary(x) for x in texts]
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join([self.bytes[i] for i in ids]).decode()
+        return self.whole.decode_bytes(ids).decode()
 
 
 def turn_parts(role: str, text: str) -> list[str]:

@@ -26,7 +26,7 @@ def byte_vocabulary() -> str:
     """The vocabulary file of formatted conversations, whose tokens give back every byte."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

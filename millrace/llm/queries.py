@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, embed, jaccard, mixing, packing, quality, toxicity, urls, warc, wavelet
+from millrace.llm import audit, chat, counts, embed, jaccard, middle, mixing, packing, quality, toxicity, urls, warc, wavelet
 from millrace.llm.store import new_path
 
 
@@ -102,6 +102,31 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def piece_vocabulary() -> str:
+    """The vocabulary file that tokens are counted by."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes and tokens of every document, and whether it has more than 4096 tokens."""
+    return counts.count_tokens(_table(spark, sf_dir, "documents"), piece_vocabulary(), limit=4096)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each order, by language and step."""
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut into lines and rearranged, and the text restored from the output."""
+    moved = middle.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"), seed=7, percent=100, spm_percent=50)
+    digest = F.sha2(F.col("output").cast("binary"), 256)
+    restored = F.sha2(middle.restore(F.col("output"), F.col("form")).cast("binary"), 256)
+    return moved.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest.alias("output_sha256"), restored.alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_near_duplicates": op1_embedding_near_duplicates,
@@ -114,6 +139,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_quality": op8_line_quality,
         "op9_warc_derivatives": op9_warc_derivatives,
         "op10_toxicity": op10_toxicity,
+        "op11_token_counts": op11_token_counts,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
@@ -187,8 +215,56 @@ select page_id, {uuid("g")} record_id, warc_type, refers_to, url target_uri, '19
 from d"""
 
 
+def _op12_sql() -> str:
+    return r"""
+with d as (select doc_id, coalesce(lang, '') part, coalesce(text, '') t from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') ws, min(doc_id) over (partition by t) first from d),
+m as (
+    select doc_id, part, (case when len(ws) < 200 then 1 else 0 end) + (case when 100 * len(list_distinct(ws)) < 50 * len(ws) then 2 else 0 end)
+        + (case when 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t) then 4 else 0 end)
+        + (case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end) + (case when doc_id > first then 16 else 0 end) mask from w),
+l as (select doc_id, max(quality) quality, max(toxic) toxic from labels group by doc_id),
+c as (
+    select part, mask, count(*) n, count(*) filter (l.quality = 1) good, count(*) filter (l.toxic = 1) bad
+    from m left join l on m.doc_id = l.doc_id group by part, mask),
+x as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(f, b)),
+o as (
+    select x1.f || x2.f || x3.f || x4.f || x5.f filter_order, [x1.b, x2.b, x3.b, x4.b, x5.b] bs
+    from x x1, x x2, x x3, x x4, x x5 where x1.b + x2.b + x3.b + x4.b + x5.b = 31 and x1.b | x2.b | x3.b | x4.b | x5.b = 31),
+s as (select filter_order, step::int step, bs[step] own, coalesce(list_sum(bs[1:step - 1]), 0)::int before from o, range(1, 6) r(step)),
+p as (
+    select part, filter_order, step, own,
+        coalesce(sum(n) filter (mask & (before | own) = 0), 0)::bigint kept,
+        coalesce(sum(n) filter (mask & before = 0 and mask & own > 0), 0)::bigint removed,
+        coalesce(sum(n) filter (mask & before > 0 and mask & own > 0), 0)::bigint redundant,
+        coalesce(sum(n) filter (mask = own), 0)::bigint unique_fails,
+        coalesce(sum(good) filter (mask & before = 0 and mask & own > 0), 0)::bigint good_lost,
+        coalesce(sum(bad) filter (mask & before = 0 and mask & own > 0), 0)::bigint toxic_lost
+    from c, s group by part, filter_order, step, own)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    (sum(removed) over (partition by part, own))::bigint shapley from p"""
+
+
+def _op13_sql() -> str:
+    draw = ", ".join(f"('0x' || substr(h, {8 * i + 1}, 8))::bigint h{i + 1}" for i in range(4))
+    return rf"""
+with d as (select doc_id, coalesce(text, '') t, sha256('7:' || coalesce(doc_id::varchar, '')) h from documents),
+u as (select doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') us, {draw} from d),
+c as (
+    select *, len(us)::bigint n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) a, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) b,
+        case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain'
+            when h4 % 100 < 50 then 'spm' else 'psm' end form from u),
+p as (
+    select *, array_to_string(us[1:a], '') x, array_to_string(us[a + 1:b], '') y, array_to_string(us[b + 1:], '') z from c)
+select doc_id, n, form, case when form <> 'plain' then length(x) end prefix_chars, case when form <> 'plain' then length(y) end middle_chars,
+    sha256(case form when 'plain' then t when 'psm' then '<P>' || x || '<S>' || z || '<M>' || y else '<S>' || z || '<P>' || x || '<M>' || y end) output_sha256,
+    sha256(t) restored_sha256 from p"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op8_line_quality": _op8_sql(),
         "op9_warc_derivatives": _op9_sql(),
+        "op12_filter_audit": _op12_sql(),
+        "op13_fill_in_middle": _op13_sql(),
     }

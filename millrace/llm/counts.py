@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from millrace.llm.store import Scratch, numbered, released
 from millrace.llm.tokens import slices
 
-COMMON = 100_000
+COMMON = 400_000
 KEY_BYTES = 32
 SLICE_BYTES = 8 << 20
 ENCODED_AT_ONCE = 20_000

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.sources.shared import shared_folder
+from millrace.sources.shared import numbered, shared_folder  # noqa: F401
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -94,27 +94,6 @@ def narrow_batches(spark: SparkSession, rows: int = 2048) -> None:
         spark.conf.set(name, str(rows))
 
 
-def plain_scan(df: DataFrame) -> bool:
-    """Whether a frame is nothing but a scan of Parquet files, perhaps of some of its columns."""
-    plan = df._jdf.queryExecution().analyzed()
-    while plan.getClass().getSimpleName() == "Project" and plan.deterministic():
-        plan = plan.child()
-    return plan.getClass().getSimpleName() == "LogicalRelation" and "parquet" in plan.toString().lower()
-
-
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """The rows with a number of their own, which a task that runs again gives once more.
-
-    It is made of the task's number and the row's place in it, which are the same each time only where tasks read
-    files; a frame that is not a scan of files is written first.
-    """
-    if not plain_scan(df):
-        path = new_path(df.sparkSession, "rows")
-        df.write.parquet(path)
-        df = df.sparkSession.read.parquet(path)
-    return df.withColumn(name, F.monotonically_increasing_id())
-
-
 def with_row_key(docs: DataFrame, name: str = "__row") -> DataFrame:
     """The rows with a key of their own, whatever their ids: the number of their Parquet file and their place in it.
 

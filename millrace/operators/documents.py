@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text
-from millrace.operators import privacy
+from millrace.operators import neighbours, privacy
 
 # Numbers of personal data from which on a document's risk is higher.
 RISK_LEVELS = (("low", 1), ("medium", 10), ("high", 30))
@@ -114,48 +110,24 @@ def search(documents: DataFrame, chunks: DataFrame, needle: str, limit: int = 10
     return both.withColumn("__best", F.min("__p").over(Window.partitionBy(F.lit(0)))).where("__p = __best").drop("__p", "__best")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 256) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 1024, rows: int = 4096) -> DataFrame:
     """(query_id, vec_id, score): the k rows (vec_id, embedding) of highest cosine for each query (query_id, embedding).
 
-    The stated set of queries is dealt into blocks of about ``block``; each block is one row that meets every vector's
-    batch once, and of each batch at most k rows for a query go on, so what is shuffled is bounded by batches, not pairs.
-    Ties go by vec_id. Vectors of another length than the query's, and those of norm 0, score 0.
+    This compares all pairs; ``collection.Collection`` keeps an index that does not. The stated set of queries is dealt into
+    blocks of about ``block`` and the vectors into blocks of about ``rows``; each pair of blocks is one matrix product, and
+    at most k rows for a query leave it. Ties go by vec_id. Vectors of another length than the query's, and those of norm
+    0 or with null or non-finite components, score 0; rows without a vec_id are left out.
     """
-    def unit(x: np.ndarray) -> np.ndarray:
-        n = np.sqrt((x * x).sum(1))
-        return np.divide(x, n[:, None], out=np.zeros_like(x), where=n[:, None] > 0)
-
-    blocks = max(1, queries.count() // block)
-    asked = queries.select("query_id", "embedding").withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    rows = asked.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("query_id", "embedding"))).alias("q"))  # about ``block`` rows each
-
-    def scored(asked: list[dict], held: list[dict]) -> Iterator[tuple]:
-        """The best k of a batch for each query; rows that cannot be compared score 0."""
-        by_length: dict[int, list[dict]] = {}
-        for y in sorted((y for y in held if y["vec_id"] is not None), key=lambda y: y["vec_id"]):
-            by_length.setdefault(len(y["embedding"] or ()), []).append(y)
-        units = {n: unit(np.array([y["embedding"] for y in rows], np.float64)) for n, rows in by_length.items() if n}
-        for x in asked:
-            n = len(x["embedding"] or ())
-            score = {m: np.zeros(len(rows)) for m, rows in by_length.items()}
-            if n in units:
-                score[n] = units[n] @ unit(np.array([x["embedding"]], np.float64))[0]
-            pairs = [(-s, y["vec_id"]) for m, rows in by_length.items() for s, y in zip(score[m].tolist(), rows, strict=True)]
-            yield from ((x["query_id"], i, -s) for s, i in heapq.nsmallest(k, pairs))
-
-    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                found = [*scored(row["q"], row["v"])]
-                if found:
-                    columns = zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["query_id", "vec_id", "score"])
-
-    many = max(1, -(-vectors.count() // 4096))
-    dealt = vectors.select("vec_id", "embedding").withColumn("g", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(many)))
-    batches = dealt.groupBy("g").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("v"))  # about 4096 rows each
-    met = batches.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(rows, "b")
-    best = met.select("q", "v").mapInArrow(of_task, "query_id long, vec_id long, score double")
+    asked = max(1, -(-queries.count() // block))
+    held = max(1, -(-vectors.count() // rows))
+
+    def dealt(df: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        at = F.pmod(F.xxhash64(key, F.lit(1)), F.lit(n)).cast("int")
+        return df.select(key, "embedding", at.alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+
+    left = dealt(vectors, "vec_id", "rows", held, "asked", asked).groupBy("rows", "asked")
+    right = dealt(queries, "query_id", "asked", asked, "rows", held).groupBy("rows", "asked")
+    best = left.cogroup(right).applyInArrow(lambda v, q: neighbours.best(q.select(["query_id", "embedding"]), v.select(["vec_id", "embedding"]), k), neighbours.SCHEMA)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).drop("k")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.sources.shared import shared_path
+from millrace.sources.shared import numbered, shared_path
 
 # Categories with their placeholders.
 PLACEHOLDERS = {
@@ -242,3 +242,68 @@ def restore(text: Column, tokens: Column, pattern: str = r"\[[A-Z][A-Z0-9_]+_\d+
         ),
     )
     return F.array_join(parts, "")
+
+
+#: Words with a share of at least one in so many of all that are looked up are met by broadcast, as are at most so many.
+COMMON_WORDS = 10_000
+BROADCAST_CHARS = 1_000
+TOKEN = r"\[[A-Z][A-Z0-9_]+_\d+\]"
+
+
+def looked_up(asked: DataFrame, table: DataFrame, on: list[str], new: str, common: int = COMMON_WORDS) -> DataFrame:
+    """Rows of ``asked`` with the column ``new`` of those rows of ``table`` (one for each ``on``) that they name.
+
+    A word that a large share of the rows asks for would be one task of a join. There are at most ``common`` words with a
+    share of 1 / ``common`` each; those, with values of at most BROADCAST_CHARS characters, are sent to the rows. The
+    others, of which none is frequent or which Spark splits, meet their rows by a shuffle. ``asked`` is read three times.
+    """
+    counts = asked.groupBy(*on).agg(F.count("*").alias("__n"))
+    total = asked.count()
+    often = table.join(counts.where(F.col("__n") * common >= total), on).where(F.length(new) <= BROADCAST_CHARS).select(*on, new)
+    sent = F.broadcast(often)
+    return asked.join(sent, on).unionByName(asked.join(sent.select(*on), on, "left_anti").join(table.select(*on, new), on))
+
+
+def _maps(known: DataFrame, word, new: str) -> DataFrame:
+    """(__row, __m): what the words of each row stand for."""
+    return known.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct(word, F.col(new)))).alias("__m"))
+
+
+def mask_by_vault(docs: DataFrame, tokens: DataFrame, patterns=STRUCTURED, key: str = "doc_id") -> DataFrame:
+    """(key, text) with every value that the vault (category, value, token) knows in the form ``[token]``; other values stay.
+
+    Detected values are looked up in the vault as rows, not as a map that a task would have to hold. Null and repeated keys
+    and null texts are rows like others; texts without a known value stay as they are.
+    """
+    spark = docs.sparkSession
+    rows = numbered(docs.select(F.col(key).alias("__key"), "text"), "__row")
+    path = shared_path(spark, "spans")  # detection is the costly part and runs once
+    rows.withColumn("__s", dedup(detect(F.col("text"), patterns))).write.parquet(path)
+    found = spark.read.parquet(path)
+    values = F.array_distinct(F.transform("__s", lambda s: F.struct(s["category"].alias("category"), s["value"].alias("value"))))
+    asked = found.select("__row", F.inline(values))
+    maps = _maps(looked_up(asked, tokens, ["category", "value"], "token"), F.concat("category", F.lit("/"), "value"), "token")
+
+    def replaced(s: Column, of: Column) -> Column:
+        token = F.concat(F.lit("["), of[F.concat(s["category"], F.lit("/"), s["value"])], F.lit("]"))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.coalesce(token, s["value"]).alias("replacement"))
+
+    done = found.join(maps, "__row", "left")
+    return done.select(F.col("__key").alias(key), F.when(F.col("__m").isNull(), F.col("text")).otherwise(rewrite(F.col("text"), F.transform("__s", lambda s: replaced(s, F.col("__m"))))).alias("text"))
+
+
+def rehydrate(docs: DataFrame, tokens: DataFrame, key: str = "doc_id", pattern: str = TOKEN) -> DataFrame:
+    """(key, text) with every token ``[token]`` that the vault (category, value, token) knows replaced by its value.
+
+    The distinct tokens of each text are looked up in the vault as rows, frequent ones by broadcast, and come back to the
+    text as its own small map; unknown tokens stay. Null and repeated keys and null texts are rows like others.
+    """
+    spark = docs.sparkSession
+    rows = numbered(docs.select(F.col(key).alias("__key"), "text"), "__row")
+    own = F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))), lambda t: F.substring(t, F.lit(2), F.length(t) - 2))
+    path = shared_path(spark, "tokens")
+    rows.select("__row", F.explode(own).alias("token")).write.parquet(path)
+    asked = spark.read.parquet(path)
+    maps = _maps(looked_up(asked, tokens, ["token"], "value"), F.concat(F.lit("["), "token", F.lit("]")), "value")
+    done = rows.join(maps, "__row", "left")
+    return done.select(F.col("__key").alias(key), F.when(F.col("__m").isNull(), F.col("text")).otherwise(restore(F.col("text"), F.col("__m"), pattern)).alias("text"))

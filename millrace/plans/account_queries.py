@@ -191,14 +191,6 @@ def subscribed(spark: SparkSession, d: str) -> DataFrame:
     return e.where("event_type = 'error'").select("event_id", F.lit("typed").alias("channel")).unionByName(e.select("event_id", F.lit("all").alias("channel")))
 
 
-@register("st7_live_sessions", "select user_id, max(ts) last_ts from events group by 1 having max(ts) > (select max(ts) from events) - interval 30 minutes")
-def live_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """Sessions of which the last sign of life is at most thirty minutes old."""
-    per = table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("last_ts"))
-    now = per.agg(F.max("last_ts").alias("now"))  # one row
-    return per.join(F.broadcast(now)).where("last_ts > now - interval 30 minutes").select("user_id", "last_ts")
-
-
 @register("a19_download_totals", "select event_type, sum(k)::bigint total, sum(n)::bigint events from (select event_type, ts::date as day, sum(json_extract_string(props, '$.k')::bigint) k, count(*) n from events group by 1, 2) group by 1")
 def download_totals(spark: SparkSession, d: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")

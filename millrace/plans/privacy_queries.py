@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import privacy as p
 from millrace.plans.registry import register
+from millrace.sources.shared import shared_path
 from millrace.sources.tables import table
 
 EMAIL = p.STRUCTURED[0]
@@ -86,6 +87,30 @@ def vault_all(spark: SparkSession, d: str) -> DataFrame:
     return p.vault(table(spark, d, "documents"), ALL)
 
 
+@register(
+    "d1_9_masked_by_vault",
+    rf"""with s as (select doc_id, unnest(regexp_extract_all(text, '{EMAIL_SQL}')) as value, generate_subscripts(regexp_extract_all(text, '{EMAIL_SQL}'), 1) i from documents),
+    f as (select value, min((doc_id, i)) a from s group by value), v as (select value, '[CONTACT_' || row_number() over (order by a) || ']' token from f),
+    t as (select s.doc_id, list(token order by i) ts from s join v using (value) group by 1)
+    select d.doc_id, case when ts is null then d.text else array_to_string([g || coalesce(ts[i], '') for g, i in regexp_split_to_array(d.text, '{EMAIL_SQL}')], '') end as text
+    from documents d left join t on t.doc_id = d.doc_id""",
+)
+def masked_by_vault(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses replaced by tokens that are the same in all documents."""
+    docs = table(spark, d, "documents")
+    return p.mask_by_vault(docs, p.vault(docs, (EMAIL,)), (EMAIL,))
+
+
+@register("d1_10_rehydrated", "select doc_id, text from documents")
+def rehydrated(spark: SparkSession, d: str) -> DataFrame:
+    """Texts masked by the vault of all documents, with all patterns, and put back from the vault's table."""
+    docs = table(spark, d, "documents")
+    known = shared_path(spark, "vault")  # numbered once: two looks at it must agree
+    p.vault(docs, ALL).write.parquet(known)
+    tokens = spark.read.parquet(known)
+    return p.rehydrate(p.mask_by_vault(docs, tokens, ALL), tokens)
+
+
 @register("d1_15_profiles", "select * from (values " + ", ".join(f"('{x}', 30)" for x in p.PROFILES) + ") v(profile, treatment_count)")
 def profiles(spark: SparkSession, d: str) -> DataFrame:
     rows = [(x, c) for x in p.PROFILES for c in p.TREATMENTS]

@@ -3,6 +3,7 @@
 from millrace.plans import (  # noqa: F401
     account_queries,
     billing_queries,
+    collection_queries,
     document_queries,
     function_queries,
     file_queries,
@@ -13,4 +14,5 @@ from millrace.plans import (  # noqa: F401
     session_queries,
     streaming_queries,
     text_queries,
+    timer_queries,
 )

@@ -78,7 +78,7 @@ _LOG = f"""l as (select user_id % 7 directory, event_id seq, ([{", ".join(f"'{k}
     case when user_id % 3 = 0 then 1 end parent, event_id % 13 = 0 archived, substr(event_type, 1, 1) || (event_id % 10) v from events)"""
 
 
-def _log(spark: SparkSession, d: str) -> DataFrame:
+def store_log(spark: SparkSession, d: str) -> DataFrame:
     k, u = F.col("event_id"), F.col("user_id")
     kind = F.get(F.array(*map(F.lit, _KINDS)), (k * 7 % 20).cast("int"))
     value = F.concat(F.substring("event_type", 1, 1), (k % 10).cast("string"))
@@ -88,9 +88,9 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@register(
-    "st14_store_entries",
-    f"""with {_LOG}, c as (select *, coalesce(max(seq) filter (where t = 'session.deleted' or (t = 'session.updated' and archived)) over (partition by session), -1) cut from l), k as (select * from c where seq > cut),
+def store_entries_sql() -> str:
+    """The entries that the log leaves, in SQL."""
+    return f"""with {_LOG}, c as (select *, coalesce(max(seq) filter (where t = 'session.deleted' or (t = 'session.updated' and archived)) over (partition by session), -1) cut from l), k as (select * from c where seq > cut),
     s as (select session, 'session' kind, null::bigint id, null::bigint part, arg_max(v, seq) v from k where t in ('session.created', 'session.updated') group by 1),
     w as (select session, case t when 'todo.updated' then 'todo' when 'session.status' then 'session_status' else 'session_diff' end kind, null::bigint, null::bigint, arg_max(v, seq) from k where t in ('todo.updated', 'session.status', 'session.diff') group by 1, 2),
     e as (select session, case when t like 'message.%' then 'message' when t like 'permission.%' then 'permission' else 'question' end kind, id, null::bigint p, arg_max(v, seq) v, arg_max(t, seq) t from k
@@ -100,10 +100,12 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
     r as (select *, max(seq) filter (where t <> 'message.part.delta') over (partition by session, id, part) last from p),
     o as (select session, id, part, arg_min(t, seq) t, string_agg(v, '' order by seq) v from r where seq >= last group by 1, 2, 3)
     select session, kind, id, part, v as value from s union all select * from w union all select session, kind, id, p, v from e where t in ('message.updated', 'permission.asked', 'question.asked')
-    union all select session, 'part', id, part, v from o where t = 'message.part.updated'""",
-)
+    union all select session, 'part', id, part, v from o where t = 'message.part.updated'"""
+
+
+@register("st14_store_entries", store_entries_sql())
 def store_entries(spark: SparkSession, d: str) -> DataFrame:
-    return store.entries(_log(spark, d))
+    return store.entries(store_log(spark, d))
 
 
 @register(
@@ -118,4 +120,4 @@ def store_entries(spark: SparkSession, d: str) -> DataFrame:
         arg_max(v, seq) filter (where t = 'vcs.branch.updated') branch from l group by directory""",
 )
 def store_directories(spark: SparkSession, d: str) -> DataFrame:
-    return store.directories(_log(spark, d))
+    return store.directories(store_log(spark, d))

@@ -65,15 +65,65 @@ STRUCTURED = (
     ("Contact", r"(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,4}){2,4}"),
     ("DateAbs", r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b|\b[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}\b"),
 )
+# What a match of a pattern must hold: of each group one text at least, in lower case where the pattern's case does not count.
+NEEDLES = {
+    LEGAL[0][1]: (("président", "directeur", "dg", "gérant", "associé", "mandataire", "représentant"),),
+    LEGAL[1][1]: (("juge", "conseil"),),
+    LEGAL[2][1]: (("maitre", "maître"),),
+    LEGAL[3][1]: (("art", "code"), ("l", "r", "d")),
+    LEGAL[4][1]: (("ccn", "convention"),),
+    LEGAL[5][1]: (("€", "eur"),),
+    LEGAL[6][1]: (("€", "eur"), ("entre", "de")),
+    LEGAL[7][1]: (("ebitda", "%", "fois"),),
+    LEGAL[8][1]: (("j+", "j-", "dans", "sous", "délai"),),
+    LEGAL[9][1]: (("brevet", "ep", "fr", "marque"),),
+    LEGAL[10][1]: (("parcelle", "lot", "section"),),
+    LEGAL[11][1]: (("zone", "icpe", "natura"),),
+    LEGAL[12][1]: (("chiffre", "ca", "ebitda", "capitaux", "résultat", "endettement", "levier"),),
+    LEGAL[13][1]: (("SA", "SC", "SN", "EURL", "GIE", "SE", "SL"),),
+    STRUCTURED[0][1]: (("@",),),
+    STRUCTURED[2][1]: (("-", " ", "."),),
+    STRUCTURED[3][1]: (("-", "/", "."),),
+}
+# Patterns whose matches hold a number, and what a number is there.
+NUMBERED = {LEGAL[i][1]: r"\p{Nd}" for i in (3, 5, 6, 7)} | {x[1]: "[0-9]" for x in STRUCTURED[1:]}
+#: Letters that a pattern without case takes for others, though their lower case is not the same.
+FOLDED = ("ſİıK", "siik")
 BLOCKED = "[PII_DETECTION_ERROR: content blocked]"
 OPEN, CLOSE = "", ""
 SPAN = "array<struct<start int, end int, category string, value string, rule int>>"
 
 
-def spans_of(text: Column, category: str, pattern: str, rule: int = 0) -> Column:
-    """All matches of a pattern as spans (start, end, category, value, rule), ends exclusive."""
-    clean = F.translate(text, OPEN + CLOSE, "  ")
-    marked = F.split(F.regexp_replace(clean, pattern, OPEN + "$0" + CLOSE), OPEN)
+def folded(text: Column) -> Column:
+    """The text in lower case, in which NEEDLES of patterns without case are looked for."""
+    return F.lower(_translated(text, *FOLDED))
+
+
+def _translated(text: Column, signs: str, by: str) -> Column:
+    """Signs replaced one by one; texts without any, nearly all, are only searched for them."""
+    some = F.lit(False)
+    for sign in signs:
+        some = some | F.contains(text, F.lit(sign))
+    return F.when(some, F.translate(text, signs, by)).otherwise(text)
+
+
+def may_match(text: Column, low: Column, pattern: str) -> Column:
+    """Whether a text holds what every match of a pattern holds; a plain search of a few words costs far less than a pattern."""
+    where = low if pattern.startswith("(?i") else text
+    out = F.lit(True)
+    for group in NEEDLES.get(pattern, ()):
+        one = F.lit(False)
+        for needle in group:
+            one = one | F.contains(where, F.lit(needle))
+        out = out & one
+    return out & text.rlike(NUMBERED[pattern]) if pattern in NUMBERED else out
+
+
+def spans_of(text: Column, category: str, pattern: str, rule: int = 0, low: Column | None = None) -> Column:
+    """All matches of a pattern as spans (start, end, category, value, rule), ends exclusive. ``low`` is ``folded`` of the text."""
+    clean = _translated(text, OPEN + CLOSE, "  ")
+    found = may_match(text, folded(text) if low is None else low, pattern)
+    marked = F.when(found, F.split(F.regexp_replace(clean, pattern, OPEN + "$0" + CLOSE), OPEN)).otherwise(F.array(F.lit("")))
 
     def step(a: Column, part: Column) -> Column:
         value, rest = F.substring_index(part, CLOSE, 1), F.substring_index(part, CLOSE, -1)
@@ -92,20 +142,43 @@ def spans_of(text: Column, category: str, pattern: str, rule: int = 0) -> Column
 def detect(text: Column, patterns=LEGAL + STRUCTURED) -> Column:
     """Spans of all patterns, one after the other; null text has none."""
     t = F.coalesce(text, F.lit(""))
-    return F.flatten(F.array(*[spans_of(t, c, p, i) for i, (c, p) in enumerate(patterns)]))
+    both = F.struct(t.alias("t"), folded(t).alias("low"))
+    return _bound(both, lambda x: F.flatten(F.array(*[spans_of(x["t"], c, p, i, x["low"]) for i, (c, p) in enumerate(patterns)])))
 
 
-def dedup(spans: Column) -> Column:
-    """Longest spans first, then earlier ones, then earlier rules; a span that overlaps a kept one goes. Sorted by start."""
+def _longest_first(spans: Column) -> Column:
+    """Longest spans first, then earlier ones, then earlier rules; a span that overlaps a kept one goes."""
     ranked = F.array_sort(
         F.transform(spans, lambda s: F.struct((s["start"] - s["end"]).alias("short"), s["start"].alias("start"), s["rule"].alias("rule"), s.alias("s")))
     )
-    kept = F.aggregate(
+    return F.aggregate(
         ranked,
         F.array().cast(SPAN),
         lambda a, x: F.when(F.exists(a, lambda k: (x["s"]["start"] < k["end"]) & (x["s"]["end"] > k["start"])), a).otherwise(F.concat(a, F.array(x["s"]))),
     )
-    return F.array_sort(kept)
+
+
+def dedup(spans: Column) -> Column:
+    """Longest spans first, then earlier ones, then earlier rules; a span that overlaps a kept one goes. Sorted by start.
+
+    Spans are taken in the order of their starts in groups that no other span reaches into, and only those of a group,
+    a few as a rule, are compared with each other.
+    """
+
+    def step(a: Column, x: Column) -> Column:
+        apart = x["start"] >= a["end"]
+        return F.struct(
+            F.when(apart, F.concat(a["done"], settled(a["group"]))).otherwise(a["done"]).alias("done"),
+            F.when(apart, F.array(x)).otherwise(F.concat(a["group"], F.array(x))).alias("group"),
+            F.greatest(a["end"], x["end"]).alias("end"),
+        )
+
+    def settled(group: Column) -> Column:
+        return F.when(F.size(group) < 2, group).otherwise(_longest_first(group))
+
+    none = F.array().cast(SPAN)
+    start = F.struct(none.alias("done"), none.alias("group"), F.lit(-1).alias("end"))
+    return F.array_sort(F.aggregate(F.array_sort(spans), start, step, lambda a: F.concat(a["done"], settled(a["group"]))))
 
 
 def treatment(category: Column, profile: Column) -> Column:
@@ -152,7 +225,8 @@ def treat(spans: Column, profile: str) -> Column:
 
     def finished(rows: Column) -> Column:
         mapped = F.filter(rows, is_mapped)
-        firsts = F.transform(F.array_distinct(F.transform(mapped, lambda x: x["value"])), lambda v: F.element_at(F.filter(mapped, lambda x: x["value"] == v), 1))
+        values = F.transform(mapped, lambda x: x["value"])
+        firsts = F.transform(F.array_distinct(values), lambda v: F.element_at(mapped, F.array_position(values, v).cast("int")))
         none = F.struct(
             F.array().cast("array<struct<token: string, value: string>>").alias("tokens"),
             F.create_map().cast("map<string, int>").alias("counts"),

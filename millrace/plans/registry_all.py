@@ -15,4 +15,5 @@ from millrace.plans import (  # noqa: F401
     streaming_queries,
     text_queries,
     timer_queries,
+    wire_queries,
 )

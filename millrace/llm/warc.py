@@ -15,8 +15,10 @@ records unless they have the name of a result column; an entity that is not know
 from __future__ import annotations
 
 import uuid
+from collections import deque
 from collections.abc import Iterator
 from html.entities import name2codepoint
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,8 +33,11 @@ NAMED = {name: " " if code == 160 else chr(code) for name, code in sorted(name2c
 LATIN = r"(?i)content-type:[^\n]*charset=[\"']?(?:iso-8859-1|latin-?1|windows-1252|us-ascii)\b"
 SOURCE_FIELD = "X-Source-HTTP-Header"
 SEPARATOR = "\r\n\r\nWARC/1."
+#: A record whose length may be wrong is held while so many bytes of what may be further records follow it.
+HELD_BYTES = 64 << 20
+NOT_GZIPPED = "{*[!z],*[!g]z,*[!.]gz,z,gz}"
 WARC_STANDARD = "http://bibnum.bnf.fr/WARC/WARC_ISO_28500_version1_latestdraft.pdf"
-RESPONSE = "record_id string, warc_type string, target_uri string, warc_date string, http_headers string, payload binary, payload_digest string"
+RESPONSE = "record_id string, warc_type string, target_uri string, warc_date string, http_headers string, payload binary, payload_digest string, damage string"
 ADDED = ("record_id", "warc_type", "refers_to", "target_uri", "warc_date", "content_type", "payload_digest", "block_digest", "content_length", "source_headers", "block")
 
 
@@ -181,30 +186,104 @@ def write_warc(records: DataFrame, path: str) -> None:
     out.write.option("compression", "gzip").option("lineSep", "\r\n\r\n").text(path)
 
 
-def parsed(rows: Iterator[bytes]) -> Iterator[tuple[dict, bytes]]:
-    """Records (headers by lower-cased name, block) of what lies between separators; a block that holds one is put together again."""
-    held = b""
-    for row in rows:
-        held = held + SEPARATOR.encode() + row if held else row
-        head, _, block = held.removeprefix(b"WARC/1.").partition(b"\r\n\r\n")
-        first, *lines = head.split(b"\r\n")
-        if not first.isdigit():  # what lies before the first record
-            held = b""
-            continue
-        headers: dict = {}
-        for line in lines:
-            name, _, value = line.partition(b":")
-            headers.setdefault(name.decode("latin-1").strip().lower(), []).append(value.decode("utf-8", "replace").strip())
-        size = int(headers.get("content-length", ["0"])[-1])
-        if len(block) >= size:
-            held = b""
-            yield headers, block[:size]
+def _head(row: bytes) -> tuple[dict, bytes] | None:
+    """The headers by lower-cased name and the block behind them, of a row that starts like a record, else null."""
+    head, _, block = row.removeprefix(b"WARC/1.").partition(b"\r\n\r\n")
+    first, *lines = head.split(b"\r\n")
+    headers: dict = {}
+    for line in lines:
+        name, _, value = line.partition(b":")
+        headers.setdefault(name.decode("latin-1").strip().lower(), []).append(value.decode("utf-8", "replace").strip())
+    return (headers, block) if first.isdigit() and "warc-type" in headers else None
+
+
+class _Record:
+    """A record whose rows are read one after the other; ``rows`` holds those after its head, ``other`` the first of them that starts like a record."""
+
+    def __init__(self, headers: dict, block: bytes):
+        self.headers, self.blocks, self.rows = headers, [block], []
+        self.length, self.other, self.since = len(block), None, 0
+        told = headers.get("content-length", [""])[-1]
+        self.size = int(told) if told.isascii() and told.isdigit() else None
+
+    def add(self, row: bytes, starts: bool) -> None:
+        if starts and self.other is None:
+            self.other = len(self.rows)
+        self.since += len(row) if self.other is not None else 0
+        self.rows.append(row)
+        self.blocks.append(row)
+        self.length += len(SEPARATOR) + len(row)
+
+    def ended(self) -> bool:
+        """Whether the block is as long as it should be; the end of a file may follow it."""
+        over = self.length - (self.size if self.size is not None else self.length + 1)
+        return over == 0 or 0 < over <= 4 and len(self.blocks[-1]) >= over and not self.blocks[-1][-over:].strip(b"\r\n")
+
+    def block(self) -> bytes:
+        return SEPARATOR.encode().join(self.blocks)
+
+    def cut(self) -> tuple[bytes, list[bytes]]:
+        """The block up to the row that starts like another record, and the rows from there on."""
+        if self.other is None:
+            return self.block(), []
+        return SEPARATOR.encode().join(self.blocks[: self.other + 1]), self.rows[self.other :]
+
+
+def parsed(rows: Iterator[bytes]) -> Iterator[tuple[dict, bytes, str | None]]:
+    """Records (headers by lower-cased name, block, damage) of the rows of one file, which lie between separators.
+
+    A block that holds separators is put together again until it has its length. If it never does, because it grows too
+    long, the file ends, or HELD_BYTES have been read behind a row that starts like a record, the length was wrong: the
+    block ends before that row, which is read as the next record. Damage is ``length`` for a wrong one, ``no length`` where
+    none is told or it is no number, ``truncated`` at the end of a file, and ``stray`` for bytes that belong to no record.
+    Nothing that is read is left out.
+    """
+    waiting: deque[bytes] = deque()
+    open_: _Record | None = None
+    more = True
+    source = iter(rows)
+    while True:
+        if not waiting:
+            row = next(source, None) if more else None
+            if row is None:
+                more = False
+                if open_ is None:
+                    return
+                block, rest = open_.cut()
+                yield open_.headers, block, "no length" if open_.size is None else "length" if rest else "truncated"
+                waiting.extend(rest)
+                open_ = None
+                continue
+            waiting.append(row)
+        row = waiting.popleft()
+        found = _head(row)
+        if open_ is not None and open_.size is None and found:
+            yield open_.headers, open_.block(), "no length"
+            open_ = None
+        if open_ is None:
+            if not found:
+                if row.strip():
+                    yield {}, row, "stray"
+                continue
+            open_ = _Record(*found)
+        else:
+            open_.add(row, found is not None)
+        if open_.ended():
+            yield open_.headers, open_.block()[: open_.size], None
+            open_ = None
+        elif open_.size is not None and (open_.length > open_.size or open_.since > HELD_BYTES):
+            block, rest = open_.cut()
+            yield open_.headers, block, "length"
+            waiting.extendleft(reversed(rest))
+            open_ = None
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """All records of WARC files but ``warcinfo``; a response's block is split into its HTTP headers and its payload's bytes.
 
-    Files are read as text that ends at the start of the next record, so no file has to fit in memory.
+    Files are read as text that ends at the start of the next record, so no file has to fit in memory. Spark does not
+    split gzipped files. Others may be split within a block, so their rows are dealt by file and put in order again.
+    ``damage`` says what is wrong with a record (see ``parsed``), or is null.
     """
     names = [c.split()[0] for c in RESPONSE.split(", ")]
 
@@ -216,7 +295,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             columns = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "payload" else pa.string()) for n, c in zip(names, columns, strict=True)], names)
 
-        for h, block in parsed(v for batch in batches for v in batch.column(0).to_pylist()):
+        pairs = ((p, v) for batch in batches for p, v in zip(batch.column("path").to_pylist(), batch.column("value").to_pylist(), strict=True))
+        for h, block, damage in (x for _, own in groupby(pairs, lambda p: p[0]) for x in parsed(v for _, v in own)):
             one = {k: v[-1] for k, v in h.items()}
             kind, head = one.get("warc-type"), "".join(f"{x}\r\n" for x in h.get(SOURCE_FIELD.lower(), ()))
             if kind == "warcinfo":
@@ -225,7 +305,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 start, _, block = block.partition(b"\r\n\r\n")
                 head = start.decode("utf-8", "replace") + "\r\n" if start else ""
             told = one.get("warc-payload-digest")
-            rows.append((one.get("warc-record-id"), kind, one.get("warc-target-uri"), one.get("warc-date"), head, block, told))
+            rows.append((one.get("warc-record-id"), kind, one.get("warc-target-uri"), one.get("warc-date"), head, block, told, damage))
             size += len(block)
             if size > 8 << 20 or len(rows) == 1000:
                 yield made()
@@ -233,5 +313,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         if rows:
             yield made()
 
-    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", SEPARATOR).text(path)
-    return lines.select(F.col("value").cast("binary").alias("value")).mapInArrow(of_task, RESPONSE)
+    def lines(glob: str) -> DataFrame:
+        text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", SEPARATOR).text(path)
+        return text.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+
+    dealt = lines(NOT_GZIPPED).withColumn("at", F.monotonically_increasing_id()).repartition("path").sortWithinPartitions("path", "start", "at")
+    columns = ["path", "value"]
+    return lines("*.gz").select(columns).mapInArrow(of_task, RESPONSE).unionByName(dealt.select(columns).mapInArrow(of_task, RESPONSE))

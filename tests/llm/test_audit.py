@@ -17,7 +17,7 @@ def brute(rows, labels):
     for i, t, _ in rows:
         if i is not None:
             smallest[t or ""] = min(smallest.get(t or "", i), i)
-    good, toxic = ({i for i, *v in labels if v[k] == 1} for k in (0, 1))
+    good, toxic = ({i for i, *v in labels if v[k] == 1 and i is not None} for k in (0, 1))
     masks = []
     for i, t, part in rows:
         t = t or ""

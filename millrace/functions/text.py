@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Token estimate, limits of truncation and pages.
@@ -109,9 +110,11 @@ def csv_cell(s: Column) -> Column:
     return F.when(s.rlike('[",\n]'), quoted).otherwise(s)
 
 
-def key_prefix(s: Column) -> Column:
-    """The prefix part of an API key ``gdpr_sk_{env}_{prefix}_...``, at most ten characters; null for other texts."""
-    found = F.regexp_extract(s, r"^gdpr_sk_[^_]+_([^_]{1,10})", 1)
+def key_prefix(s: Column, kind: str = "sk_") -> Column:
+    """The prefix part of an API key ``{kind}{env}_{prefix}_...``, at most ten characters; null for other texts."""
+    import re
+
+    found = F.regexp_extract(s, rf"^{re.escape(kind)}[^_]+_([^_]{{1,10}})", 1)
     return F.when(found != "", found)
 
 
@@ -318,16 +321,80 @@ def glob_regex(glob: str) -> str:
     return f"^{out}$"
 
 
+#: What a match of letters in order is worth: each letter, one that follows the one before, one at the start of a word,
+#: the whole name; and what each letter in a gap, before the match and behind it costs.
+LETTER, RUN, WORD_START, WHOLE, GAP, LEADING, TRAILING = 100, 60, 80, 200, 3, 1, 1
+WORD_SIGNS = "/\\\\_-. "
+
+
+def best_alignment(names: list[str], query: str):
+    """The score of the best way to find the letters of a query in order in each name; -1 where there is none.
+
+    Cells (letter of the query, place in the name) hold the best score of a match that ends there; all names and places
+    are worked on at once, letter by letter.
+    """
+    import numpy as np
+
+    low, wanted = [n.lower() for n in names], query.lower()
+    if not names or not wanted:
+        return np.zeros(len(names), np.int64)
+    width = max(max(map(len, low)), 1)
+    letters = np.zeros((len(low), width), np.uint32)
+    starts = np.zeros((len(low), width), bool)
+    for i, (n, name) in enumerate(zip(low, names, strict=True)):
+        letters[i, : len(n)] = np.frombuffer(n.encode("utf-32-le"), np.uint32)
+        for j, c in enumerate(name[: len(n)]):
+            starts[i, j] = j == 0 or name[j - 1] in WORD_SIGNS or (c.isupper() and name[j - 1].islower())
+    none = np.int64(-(1 << 40))
+    place = np.arange(width)
+    worth = LETTER + WORD_START * starts.astype(np.int64)
+    best = None
+    for c in wanted:
+        here = letters == ord(c)
+        if best is None:
+            found = worth - LEADING * place
+        else:
+            # The best end of the letters before, any number of places back, less what the gap costs.
+            far = np.maximum.accumulate(best + GAP * place, axis=1)[:, :-2] - GAP * (place[2:] - 1) if width > 2 else np.empty((len(low), 0), np.int64)
+            found = np.full(letters.shape, none)
+            found[:, 1:] = best[:, :-1] + RUN
+            found[:, 2:] = np.maximum(found[:, 2:], far)
+            found = found + worth
+        best = np.where(here & (found > none // 2), found, none)
+    lengths = np.array([len(n) for n in low])
+    behind = np.maximum(lengths[:, None] - 1 - place, 0)
+    score = (best - TRAILING * behind).max(axis=1) + WHOLE * np.array([n == wanted for n in low])
+    return np.where(score > none // 2, np.maximum(score, 0), -1)
+
+
 def fuzzy_score(s: Column, query: str) -> Column:
-    """How well the letters of a query are found in order: 0 if they are not, else more for shorter spans and names.
+    """The best alignment's score of a query in each name, -1 where its letters are not all there in order; a null name has none.
 
-    The reference's scorer is a library; this one is our own approximation of its order.
+    The reference's scorer is a library that is not part of it; the values of LETTER and the rest are our own.
     """
-    import re
+    @F.pandas_udf("long")
+    def scored(names: pd.Series) -> pd.Series:
+        return pd.Series(best_alignment(["" if n is None else n for n in names], query))
+
+    return F.when(s.isNotNull(), scored(s))
+
 
-    found = F.regexp_extract(F.lower(s), ".*?".join(re.escape(c) for c in query.lower()), 0)
-    exact = F.contains(F.lower(s), F.lit(query.lower())).cast("int")
-    return F.when(found == "", F.lit(0.0)).otherwise(exact + len(query) / F.length(found) + len(query) / (F.length(s) + 1.0))
+def hidden_path(s: Column) -> Column:
+    """Whether a part of a path begins with a dot."""
+    parts = F.split(F.regexp_replace(F.replace(s, F.lit("\\"), F.lit("/")), "/+$", ""), "/")
+    return F.exists(parts, lambda p: p.startswith(".") & (F.length(p) > 1))
+
+
+def fuzzy_search(names: DataFrame, column: str, query: str, limit: int = 100, hidden_last: bool = True) -> DataFrame:
+    """The names that hold the letters of a query in order, best first with ``score``; equal scores by name.
+
+    Hidden paths come behind all others, unless the query asks for them. An empty query gives the first names.
+    """
+    query = query.strip()
+    prefer = query.startswith(".") or "/." in query or not hidden_last
+    kept = names.where(F.col(column).isNotNull()).withColumn("score", fuzzy_score(F.col(column), query)).where("score >= 0")
+    order = [F.lit(False) if prefer else hidden_path(F.col(column)), F.desc("score"), F.col(column)]
+    return kept.orderBy(*order).limit(limit)
 
 
 def weighted_bucket(s: Column, weights: dict[str, int]) -> Column:

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Where paths of changed files lead, the first prefix that fits; kinds of commits that are not listed.
+#: Where paths of changed files lead, the first prefix that fits: an example, as every repository has areas of its own.
 AREAS = (
-    ("packages/opencode/src/cli/cmd/", "tui"),
-    ("packages/opencode/", "core"),
-    ("packages/desktop/src-tauri/", "tauri"),
-    ("packages/desktop/", "app"),
-    ("packages/app/", "app"),
-    ("packages/sdk/", "sdk"),
-    ("packages/plugin/", "plugin"),
-    ("packages/extensions/", "extensions/zed"),
-    ("sdks/vscode/", "extensions/vscode"),
+    ("core/cmd/", "tui"),
+    ("core/", "core"),
+    ("desktop/native/", "tauri"),
+    ("desktop/", "app"),
+    ("app/", "app"),
+    ("sdk/", "sdk"),
+    ("plugin/", "plugin"),
+    ("extensions/", "extensions"),
     ("github/", "github"),
 )
+# Fixed value: kinds of commits that are not listed.
 UNLISTED = r"(?i)^(ignore|test|chore|ci|release):"
 METRIC = "_metric:"
 RETRY = 1000

@@ -37,7 +37,7 @@ def wildcard(spark: SparkSession, d: str) -> DataFrame:
 
 @register("f23_key_prefix", "select c_custkey, case when c_custkey % 3 <> 0 then substr(lower(replace(c_mktsegment, '_', '')), 1, 10) end prefix from customer")
 def prefixes(spark: SparkSession, d: str) -> DataFrame:
-    key = F.concat(F.when(F.col("c_custkey") % 3 != 0, "gdpr_sk_live_").otherwise("other_"), F.lower("c_mktsegment"), F.lit("_x"))
+    key = F.concat(F.when(F.col("c_custkey") % 3 != 0, "sk_live_").otherwise("other_"), F.lower("c_mktsegment"), F.lit("_x"))
     return table(spark, d, "customer").select("c_custkey", text.key_prefix(key).alias("prefix"))
 
 
@@ -181,3 +181,31 @@ def markdowns(spark: SparkSession, d: str) -> DataFrame:
 def stats_rows(spark: SparkSession, d: str) -> DataFrame:
     daily = table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
     return accounts.with_deltas(daily, "day", ["n"])
+
+
+# A block behind each document that only one of the tries finds; the document's number picks the try.
+BLOCK = "'  alpha ' || n || chr(10) || '    beta  ' || n || chr(10) || '    gamma ' || n || chr(10) || '  omega ' || n"
+GAMMA = "chr(10) || '    gamma ' || n || chr(10) || '  omega ' || n"
+
+
+@register(
+    "f10_all_strategies",
+    f"""with d as (select doc_id, doc_id % 9 k, doc_id::varchar n, coalesce(text, '') || chr(10) t from documents)
+    select doc_id, k, md5(case k when 0 then t || '  NEW' || chr(10) || '    beta  ' || n || {GAMMA} when 1 then t || 'NEW' || {GAMMA} when 2 then t || 'NEW'
+        when 3 then t || '  alpha ' || n || chr(10) || 'NEW' || {GAMMA} when 4 then t || 'NEW' || {GAMMA} || chr(10) || 'alpha ' || n || chr(10) || '        beta  ' || n
+        when 5 then t || '  NEW' || {GAMMA} when 6 then t || '  aNEW  ' || n || {GAMMA} when 8 then replace(t || {BLOCK}, 'a ' || n, 'NEW') end) as changed, case k when 7 then 'not found' end error from d""",
+)
+def all_strategies(spark: SparkSession, d: str) -> DataFrame:
+    """An edit of every document that one try decides: exact, trimmed lines, anchors, white space, indentation, escapes, trimmed ends, none, everywhere."""
+    n, k = F.col("doc_id").cast("string"), (F.col("doc_id") % 9).cast("int")
+    alpha, beta = F.concat(F.lit("alpha "), n), F.concat(F.lit("beta  "), n)
+    block = F.concat(F.lit("  "), alpha, F.lit("\n    "), beta, F.lit("\n    gamma "), n, F.lit("\n  omega "), n)
+    twice = F.when(k == 4, F.concat(F.lit("\n"), alpha, F.lit("\n        "), beta)).otherwise("")
+    finds = (
+        alpha, F.concat(alpha, F.lit("\n"), beta), F.concat(alpha, F.lit("\nother\nlines\nomega "), n), F.concat(F.lit("beta "), n), F.concat(alpha, F.lit("\n  "), beta),
+        F.concat(alpha, F.lit("\\n    "), beta), F.concat(F.lit(" lpha "), n, F.lit("\n    beta")), F.concat(F.lit("no such line "), n), F.concat(F.lit("a "), n),
+    )
+    rows = table(spark, d, "documents").select("doc_id", k.alias("k"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), block, twice).alias("t"), F.get(F.array(*finds), k).alias("find"))
+    one = rows.where("k <> 8").withColumn("r", replace.replaced(F.col("t"), F.col("find"), F.lit("NEW")))
+    every = rows.where("k = 8").withColumn("r", replace.replaced(F.col("t"), F.col("find"), F.lit("NEW"), everywhere=True))
+    return one.unionByName(every).select("doc_id", "k", F.md5("r.text").alias("changed"), "r.error")

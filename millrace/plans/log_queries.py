@@ -109,7 +109,7 @@ def listed(spark: SparkSession, d: str) -> DataFrame:
     return logs.listed(w, "m.", "m.th", "m.ththz", 30)
 
 
-_PREFIX = "(['packages/opencode/src/cli/cmd/', 'packages/opencode/', 'packages/desktop/src-tauri/', 'packages/app/', 'docs/', 'github/'])"
+_PREFIX = "(['core/cmd/', 'core/', 'desktop/native/', 'app/', 'docs/', 'github/'])"
 
 
 @register(

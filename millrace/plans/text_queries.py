@@ -93,15 +93,11 @@ def structured(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", text.structured_value(F.split("p_name", " "), rules).alias("value"))
 
 
-@register(
-    "f18_fuzzy_search",
-    """with s as (select p_partkey, lower(p_name) n, regexp_extract(lower(p_name), 'r.*?e.*?d', 0) f from part)
-    select p_partkey, round(case when f = '' then 0.0 else (contains(n, 'red'))::int + 3.0 / length(f) + 3.0 / (length(n) + 1) end, 9) score from s
-    order by case when f = '' then 0.0 else (contains(n, 'red'))::int + 3.0 / length(f) + 3.0 / (length(n) + 1) end desc, p_partkey limit 20""",
-)
+@register("f18_fuzzy_search")
 def fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    score = text.fuzzy_score(F.col("p_name"), "Red")
-    return table(spark, d, "part").select("p_partkey", F.round(score, 9).alias("score")).orderBy(F.desc(score), "p_partkey").limit(20)
+    """The twenty names that hold the letters best, hidden ones last."""
+    names = table(spark, d, "part").select("p_partkey", F.concat(F.when(F.col("p_partkey") % 7 == 0, ".").otherwise(""), F.replace("p_name", F.lit(" "), F.lit("/")), F.lit("-"), F.col("p_partkey").cast("string")).alias("path"))
+    return text.fuzzy_search(names, "path", "Red", 20)
 
 
 @register(

@@ -11,6 +11,8 @@ from millrace.operators import billing as b
 from millrace.plans.billing_queries import LIMITS, SNAPSHOT, USAGE, limited, usage
 from millrace.plans.registry import register
 from millrace.sources import sinks
+from millrace.sources.ledger import Ledger
+from millrace.sources.shared import shared_path
 from millrace.sources.tables import table
 from millrace.streaming import scans
 
@@ -396,3 +398,25 @@ def per_seat(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     n = o.groupBy("o_custkey").agg(F.count("*").alias("n"))
     return o.join(n, "o_custkey").select("o_orderkey", F.round(F.col("o_totalprice") / F.col("n"), 6).alias("share"))
+
+
+@register(
+    "k11_counters_written_back",
+    """with recursive e as (select user_id, ts, event_id % 100 c, row_number() over (partition by user_id order by ts, event_id % 100) i from events),
+    f as (select user_id, i, ts anchor, c usage from e where i = 1
+        union all select e.user_id, e.i, case when e.ts - f.anchor <= interval 5 hour then f.anchor else e.ts end, case when e.ts - f.anchor <= interval 5 hour then f.usage + e.c else e.c end
+        from f join e on e.user_id = f.user_id and e.i = f.i + 1),
+    r as (select user_id, arg_max(anchor, i) anchor, arg_max(usage, i)::bigint as rolling from f group by user_id),
+    m as (select *, max(ts) over (partition by user_id) last from e)
+    select user_id, (sum(c) filter (where date_trunc('week', ts) = date_trunc('week', last)))::bigint weekly, (sum(c) filter (where date_trunc('month', ts) = date_trunc('month', last)))::bigint monthly, rolling, anchor
+    from m join r using (user_id) group by user_id, rolling, anchor""",
+)
+def counters_written_back(spark: SparkSession, d: str) -> DataFrame:
+    """Two batches of charges, the second one given twice, counted into a table that is rewritten where they touch it."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 100).alias("cost"))
+    kept = Ledger(spark, shared_path(spark, "ledger"), 5 * 3600)
+    middle = F.lit("2024-01-16").cast("timestamp")
+    kept.apply("first", e.where(F.col("ts") < middle))
+    for _ in range(2):
+        kept.apply("second", e.where(F.col("ts") >= middle))
+    return kept.rows().select(F.col("key").alias("user_id"), "weekly", "monthly", "rolling", F.col("anchor").cast("timestamp_ntz").alias("anchor"))

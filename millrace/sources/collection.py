@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from millrace.operators import neighbours
+from millrace.sources.commits import Conflict, Files
 
 ROWS = "vec_id long, embedding array<double>, version long, deleted boolean, commit string, cell int"
 #: At most so many rows teach the centroids, and so many tell how many cells a search should look at.
@@ -41,53 +42,6 @@ BLOCK_ROWS, BLOCK_QUERIES = 4_096, 256
 FILE_ROWS = 200_000
 
 
-class Conflict(Exception):
-    """Another writer has taken the version."""
-
-
-class Files:
-    """Small files in any file system that Spark can reach."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.jvm, self.root = spark._jvm, root
-        self.fs = self.jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def path(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-
-    def names(self, folder: str) -> list[str]:
-        if not self.fs.exists(self.path(folder)):
-            return []
-        return sorted(s.getPath().getName() for s in self.fs.listStatus(self.path(folder)))
-
-    def read(self, name: str) -> str:
-        stream = self.fs.open(self.path(name))
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-
-    def create(self, name: str, text: str) -> None:
-        """A file with these contents at once; a ``Conflict`` if there is one already."""
-        made = self.path(f"{name}.{uuid.uuid4().hex}.tmp")
-        stream = self.fs.create(made, False)
-        try:
-            stream.write(bytearray(text.encode()))
-        finally:
-            stream.close()
-        # The number is claimed by a file of its own, as not every file system refuses to rename onto a file.
-        try:
-            self.fs.create(self.path(f"{name}.claim"), False).close()
-        except Exception as e:
-            self.fs.delete(made, False)
-            raise Conflict(name) from e
-        if not self.fs.rename(made, self.path(name)):
-            raise OSError(f"{name} was not renamed")
-
-    def delete(self, name: str) -> None:
-        self.fs.delete(self.path(name), True)
-
-
 @dataclass(frozen=True)
 class State:
     """What a version of the collection consists of: its commits, and the rows that they hold by cell."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.plans.registry import register
-from millrace.sources import readers, sinks
+from millrace.sources import containers, readers, sinks
 from millrace.sources.shared import shared_path
 from millrace.sources.tables import table
 from millrace.streaming import folds
@@ -127,3 +127,50 @@ def stream_sink(spark: SparkSession, d: str) -> DataFrame:
 def ordered(spark: SparkSession, d: str) -> DataFrame:
     """Where the reference leaves the order of a limit open, keys decide."""
     return table(spark, d, "documents").select("doc_id").orderBy("doc_id").limit(25)
+
+
+@register(
+    "s11_extracted",
+    r"""select doc_id, ['docx', 'odt', 'txt', 'pdf'][doc_id % 4 + 1] kind, case when doc_id % 4 < 3 and (doc_id % 4 = 2 or doc_id % 50 > 0) then regexp_replace(coalesce(text, ''), '[\x01-\x08\x0B-\x1F]', '', 'g') end as text,
+    case when doc_id % 4 = 3 then 'no reader for pdf' when doc_id % 4 <> 2 and doc_id % 50 = 0 then 'broken' end error from documents""",
+)
+def office_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files of word processors, every fiftieth of them cut off, and read again."""
+    kind = F.get(F.array(*map(F.lit, ("docx", "odt", "txt", "pdf"))), F.col("doc_id") % 4)
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x01-\x08\x0B-\x1F]", "")
+    rows = table(spark, d, "documents").select(F.concat_ws(".", F.col("doc_id").cast("string"), kind).alias("path"), text.alias("text"))
+    cut = F.expr("substring(content, 1, cast(length(content) / 2 as int))")
+    ends = (F.substring_index("path", ".", 1).cast("long") % 50 == 0) & ~F.col("path").endswith(".txt")
+    files = containers.packed(rows).withColumn("content", F.when(ends, cut).otherwise(F.col("content")))
+    got = containers.extracted(files)
+    return got.select(F.substring_index("path", ".", 1).cast("long").alias("doc_id"), F.substring_index("path", ".", -1).alias("kind"), "text", "error")
+
+
+@register("s3_database_scan", "select o_orderkey, o_custkey, o_totalprice from orders where o_totalprice > 150000 and o_custkey % 2 = 0")
+def database_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Orders written to a database and read from it in ranges of their key, with the filter on the price left to the database.
+
+    The database is the one that ``millrace.jdbc.url`` names; in one local JVM, Derby, which comes with Spark, stands for it.
+    """
+    url = spark.conf.get("millrace.jdbc.url", None)
+    if url is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set millrace.jdbc.url to a database that all executors reach")
+        folder = shared_path(spark, "derby").removeprefix("file:").replace("//", "/")
+        spark._jvm.System.setProperty("derby.stream.error.file", f"{folder}.log")
+        url = f"jdbc:derby:{folder};create=true"
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    orders.write.format("jdbc").option("url", url).option("dbtable", "orders_scan").option("isolationLevel", "READ_COMMITTED").mode("overwrite").save()
+    low, high = orders.agg(F.min("o_orderkey"), F.max("o_orderkey")).head()
+    stored = readers.jdbc_table(spark, url, "orders_scan", "o_orderkey", (low or 0, (high or 0) + 1), 8)
+    return stored.where("o_totalprice > 150000").where("o_custkey % 2 = 0")
+
+
+@register("k3_stream_appended", "select event_type, count(*) n from events group by 1")
+def stream_appended(spark: SparkSession, d: str) -> DataFrame:
+    """The same sink given twice from one checkpoint: what was appended is not appended again."""
+    path = shared_path(spark, "sink")
+    for _ in range(2):
+        stream = folds.stream_of(spark, f"{d}/events.parquet").select("event_id", "event_type", "value")
+        sinks.write_stream(stream, f"{path}/data", f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema(EVENT).json(f"{path}/data").groupBy("event_type").agg(F.count("*").alias("n"))

@@ -50,3 +50,31 @@ def test_recall(spark, monkeypatch, narrow):
             break
         near = least
     assert np.mean([got[i].component_id == near[i] for i in range(len(rows))]) > 0.998
+
+
+def test_double_vectors_are_not_rounded(spark):
+    rows = [(1, [1e200, 0.0, 0.0]), (2, [2e200, 0.0, 0.0]), (3, [1e-200, 0.0, 0.0]), (4, [1.0, 1e-9, 0.0]), (5, [float("inf"), 0.0, 0.0]), (6, [0.0, 0.0, 0.0]), (7, [0.0, 5e-324, 0.0]), (8, [0.0, 1.0, 0.0])]
+    frame = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label long")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed.near_duplicates(frame).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6), 7: (1, 7), 8: (1, 7)}
+
+
+def test_a_group_of_near_copies(spark, monkeypatch):
+    """All pairs of a large group are links; rows fetch their vectors where they meet first, mostly in one table."""
+    monkeypatch.setattr(embed, "CHUNK", 64)
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal(32) + 0.01 * rng.standard_normal((400, 32))
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)] + [(1000 + i, rng.standard_normal(32).tolist(), 0) for i in range(400)], "vec_id long, embedding array<float>, label long")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed.near_duplicates(frame).collect()}
+    assert all(got[i] == (399, 0) for i in range(400)) and all(got[1000 + i] == (0, 1000 + i) for i in range(400))
+
+
+def test_four_bits_stay_within_their_bound():
+    rng = np.random.default_rng(5)
+    for dim in (3, 24, 65):
+        x = rng.standard_normal((50, dim))
+        levels, low, step, left = embed.four_bits(x)
+        back = embed.from_four_bits(levels, low, step, dim)
+        assert back.shape == x.shape and levels.shape[1] == (dim + 1) // 2
+        signs = np.where(rng.standard_normal((50, dim)) > 0, 1, -1) / np.sqrt(dim)
+        assert (np.abs(((back - x) * signs).sum(1)) <= left + 1e-5).all()

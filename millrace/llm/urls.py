@@ -12,6 +12,10 @@ verdicts, and any labels given, are what the tree learns from:
    hosts) down to the host's parent domain, so labels reach hosts and branches that have few or none of their own.
 
 The tree starts with ``depth`` segments and is deepened twofold as long as a cut path holds enough labels of both kinds.
+``evidence`` says what decided a page: ``rule``; ``host`` where its template has enough labels of its own host; ``domain`` where
+only the same path of other hosts has; or nothing, and the page is allowed. So a path that is bad wherever labels judge
+it is blocked on hosts without any label too: that is what the tree of domains is for, and its price.
+
 Pages are reduced to (host, shape) counts before anything is shuffled twice; the tree is built from that table, and a
 page meets it again only through the blocked templates, which are joined by (host, shape), so AQE can split a host
 that holds a third of the pages. Up to INLINE_RULES rules are one expression; longer lists are joined by domain and start of the path.
@@ -31,7 +35,8 @@ from pyspark.sql import functions as F
 from millrace.llm.store import cut
 
 INLINE_RULES = 500
-DOMAIN_LEVELS = 8
+#: Labels of a host that the prior looks at, from the last one on: as many as a name on the network can have.
+DOMAIN_LEVELS = 127
 
 
 @dataclass(frozen=True)
@@ -125,7 +130,7 @@ def _priors(t: DataFrame, tree: Tree) -> DataFrame:
     each = t.select("host", "g").distinct().select("host", "g", F.posexplode(domains(F.col("host"))).alias("level", "domain"))
     found = each.join(sums, ["domain", "g"])
     levels = found.groupBy("host", "g").agg(F.array_sort(F.collect_list(F.struct("level", "db", "dl"))).alias("levels"))
-    # A domain without labels passes on what lies above it. At most DOMAIN_LEVELS + 1 levels.
+    # A domain without labels passes on what lies above it. At most as many levels as a host has labels.
     down = F.aggregate("levels", F.lit(float(tree.prior)), lambda a, x: (x["db"] + a * tree.strength) / (x["dl"] + tree.strength))
     return levels.select("host", "g", down.alias("prior"), F.expr("levels[0].dl").alias("above"))
 
@@ -170,7 +175,7 @@ def templates(shapes: DataFrame, tree: Tree, depth: int) -> DataFrame:
 def judge(
     pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | None = None, tree: Tree = DEFAULT
 ) -> DataFrame:
-    """Every page (page_id, url) with host, path, rule, verdict and the blocked template it falls under, if any.
+    """Every page (page_id, url) with host, path, rule, verdict, the blocked template it falls under, if any, and the evidence.
 
     ``labels`` (page_id, bad 0 or 1) adds labelled pages to those that the rules judge.
     """
@@ -196,7 +201,10 @@ def judge(
             break
         depth *= 2
     enough = F.greatest("labels", "above") >= tree.min_labels
-    blocked = templates(shapes, tree, depth).where((F.col("purity") >= tree.block_purity) & enough)
-    judged = shaped.join(blocked.select("host", "shape", "template"), ["host", "shape"], "left")
+    decided = templates(shapes, tree, depth).where(enough)
+    blocked = F.when(F.col("purity") >= tree.block_purity, F.col("template")).alias("template")
+    source = F.when(F.col("labels") >= tree.min_labels, "host").otherwise("domain").alias("source")
+    judged = shaped.join(decided.select("host", "shape", blocked, source), ["host", "shape"], "left")
     verdict = F.coalesce("says", F.when(F.col("template").isNotNull(), "block").otherwise("allow"))
-    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template")
+    evidence = F.when(F.col("says").isNotNull(), "rule").otherwise(F.col("source")).alias("evidence")
+    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", evidence)

@@ -148,3 +148,19 @@ def test_labels_many_rules_and_deep_paths(spark):
 @pytest.mark.parametrize("host", ["a.b.c", "x", "", "a..b", "." * 30])
 def test_domains(spark, host):
     assert spark.range(1).select(urls.domains(F.lit(host))).first()[0] == above(host)
+
+
+def test_a_host_is_judged_by_its_own_templates(spark):
+    """Labels of some pages of a host decide its others, by wildcards and merged branches, against what other hosts say."""
+    words = [f"{a}{b}" for a in "bcdfghjklm" for b in "aeiou"]
+    rows = [(i, f"http://shop.org/item/{words[i % 50]}{words[i // 50]}/x") for i in range(100)]  # a segment that varies
+    rows += [(200 + i, f"http://mixed.org/{'left' if i % 2 else 'right'}/{i}") for i in range(40)]  # branches that are alike
+    rows += [(300 + i, f"http://good{i % 5}.org/item/page/x") for i in range(40)]
+    given = {i: 1 for i in range(0, 100, 4)} | {200 + i: int(i % 10 < 9) for i in range(0, 40, 2)} | {201 + i: int(i % 10 < 9) for i in range(0, 36, 2)} | {300 + i: 0 for i in range(40)}
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    judged = {r.page_id: r for r in urls.judge(pages, [("none.net/", "block")], spark.createDataFrame([*given.items()], "page_id long, bad int")).collect()}
+    assert [(judged[i].rule, judged[i].verdict) for i, _ in rows] == brute(rows, [("none.net/", "block")], given)
+    unlabelled = [judged[i] for i in range(100) if i not in given]
+    assert {(r.verdict, r.evidence, r.template) for r in unlabelled} == {("block", "host", "/item/*/x")}
+    assert {(judged[200 + i].verdict, judged[200 + i].evidence) for i in range(40)} == {("block", "host")}
+    assert any("~" in (judged[200 + i].template or "") for i in range(40)) and {judged[300 + i].verdict for i in range(40)} == {"allow"}

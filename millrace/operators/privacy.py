@@ -33,8 +33,8 @@ TREATMENTS = {
 NAMES = {"M": "mask", "K": "keep", "G": "generalize", "P": "pseudonym", "R": "relativize"}
 # Pseudonyms by profile; other profiles use those of ``max``.
 POOLS = {
-    "max": [f"Entity {x}" for x in ("Alpha", "Beta", "Gamma", "Delta", "Epsilon", "Zeta", "Eta", "Theta")],
-    "deal": [f"Company {x}" for x in ("Alpha", "Beta", "Gamma", "Delta", "Epsilon", "Zeta", "Eta", "Theta")],
+    "max": ["Entity Alpha", "Entity Beta", "Entity Gamma", "Entity Delta", "Entity Epsilon", "Entity Zeta", "Entity Eta", "Entity Theta"],
+    "deal": ["Company Alpha", "Company Beta", "Company Gamma", "Company Delta", "Company Epsilon", "Company Zeta", "Company Eta", "Company Theta"],
     "litige": ["Party A", "Party B", "Party C", "Party D"],
     "contrat": ["Supplier", "Client", "Provider Alpha", "Provider Beta", "Counterparty A", "Counterparty B"],
     "social": ["Employer Alpha", "Employer Beta", "Employee A", "Employee B", "Union Representative", "HR Entity"],

@@ -158,6 +158,12 @@ def sampled_checksum(s: Column, limit: int = 500_000, size: int = 4_096) -> Colu
     return F.when(n <= limit, fnv1a_base36(s)).otherwise(F.concat(n.cast("string"), F.lit(":"), F.concat_ws(":", *map(piece, points))))
 
 
+def chunk_count(text: Column, size: int = 400, overlap: int = 50) -> Column:
+    """How many windows ``chunks`` cuts a text into, from its number of words alone."""
+    n = F.regexp_count(text, F.lit(r"\S+"))
+    return F.when(n <= size, 1).when(n > size, F.floor((n - 1) / max(size - overlap, 1)).cast("int") + 1)
+
+
 def chunks(text: Column, size: int = 400, overlap: int = 50) -> Column:
     """Windows of words as (chunk_idx, chunk_offset, chunk_text); a chunk ends where the next word after it starts.
 

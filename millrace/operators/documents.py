@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text
 from millrace.operators import neighbours, privacy
+from millrace.sources.shared import shared_path
 
 # Numbers of personal data from which on a document's risk is higher.
 RISK_LEVELS = (("low", 1), ("medium", 10), ("high", 30))
@@ -47,12 +48,17 @@ def explanation(spans: Column, degraded: Column) -> Column:
     return F.transform(F.array(spans), told)[0]
 
 
-def ingest(docs: DataFrame, profile: str = "max", patterns=privacy.LEGAL, chunk_words: int = 400, overlap: int = 50, key: str = "doc_id", degraded: bool = True) -> Ingested:
+def ingest(docs: DataFrame, profile: str = "max", patterns=privacy.LEGAL, chunk_words: int = 400, overlap: int = 50, key: str = "doc_id", degraded: bool = True, at_once: bool = False) -> Ingested:
     """Treat, cut and record documents (key, text). No stored frame holds the text as it came.
 
-    Without a second detection layer documents are marked as degraded, as here, where there is none.
+    Where several of the frames are used, ``at_once`` writes the treated documents to the shared folder, so that they are
+    detected once. Without a second detection layer documents are marked as degraded, as here, where there is none.
     """
     done = privacy.anonymize(docs, profile, patterns, key).withColumn("ner_degraded", F.lit(degraded))
+    if at_once:
+        path = shared_path(docs.sparkSession, "treated")
+        done.write.parquet(path)
+        done = docs.sparkSession.read.schema(done.schema).parquet(path)
     documents = done.select(key, F.col("text").alias("anon_text"), "pii_count", "ner_degraded", text.preview(F.col("text")).alias("preview"))
     chunks = done.select(key, F.inline(text.chunks(F.col("text"), chunk_words, overlap)))
     entities = done.select(key, F.inline("spans"), "ner_degraded").select(key, F.col("category").alias("entity_type"), F.col("replacement").alias("pseudonym"), "treatment", "ner_degraded")
@@ -60,7 +66,7 @@ def ingest(docs: DataFrame, profile: str = "max", patterns=privacy.LEGAL, chunk_
     answers = done.select(
         key,
         "pii_count",
-        F.size(text.chunks(F.col("text"), chunk_words, overlap)).alias("chunk_count"),
+        text.chunk_count(F.col("text"), chunk_words, overlap).alias("chunk_count"),
         "ner_degraded",
         risk_level(F.col("pii_count")).alias("risk"),
         explanation(F.col("spans"), F.col("ner_degraded")).alias("explanation"),

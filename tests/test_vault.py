@@ -45,3 +45,20 @@ def test_a_match_holds_what_is_looked_for_first(spark):
         found = F.size(F.regexp_extract_all("t", F.lit(pattern), F.lit(0))) > 0
         missed = rows.where(found & ~p.may_match(F.col("t"), p.folded(F.col("t")), pattern)).collect()
         assert not missed, (category, missed)
+
+
+def test_chunks_are_counted_by_words(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.functions import text
+    from millrace.operators import documents
+
+    rows = [("w " * n + tail,) for n in (0, 1, 3, 4, 5, 7, 8, 9, 20) for tail in ("", "x")] + [("",), (" \n ",), ("é\u00a0b c d e",)]
+    frame = spark.createDataFrame(rows, "t string")
+    for size, overlap in ((4, 1), (3, 0), (2, 5)):
+        assert frame.where(text.chunk_count(F.col("t"), size, overlap) != F.size(text.chunks(F.col("t"), size, overlap))).count() == 0
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
+    a, b = (documents.ingest(docs, patterns=MAILS, at_once=x) for x in (False, True))
+    for name in ("documents", "chunks", "entities", "audit", "answers"):
+        one, two = getattr(a, name), getattr(b, name)
+        assert one.columns == two.columns and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))

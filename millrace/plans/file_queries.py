@@ -67,10 +67,10 @@ def by_time(spark: SparkSession, d: str) -> DataFrame:
     return back.groupBy("model", "d").agg(F.count("*").alias("n"))
 
 
-@register("k12_meta", "select event_type model, user_id session, count(*) n from events where event_type <> 'view' and user_id % 10 = 0 group by 1, 2")
+@register("k12_meta", "select event_type model, user_id session, count(*) n from events where event_type <> 'view' group by 1, 2")
 def meta(spark: SparkSession, d: str) -> DataFrame:
     path = shared_path(spark, "meta")
-    e = table(spark, d, "events").where("user_id % 10 = 0").withColumn("model", F.when(F.col("event_type") != "view", F.col("event_type")))
+    e = table(spark, d, "events").withColumn("model", F.when(F.col("event_type") != "view", F.col("event_type")))
     sinks.write_meta(e.select("event_id", "model", F.col("user_id").alias("session")), path, "session")
     return spark.read.schema("event_id long, model string, session long").json(f"{path}/meta").groupBy("model", "session").agg(F.count("*").alias("n"))
 

@@ -29,10 +29,9 @@ def unescaped(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.unescape(s).alias("t"))
 
 
-@register("f16_wildcard", "select page_id, regexp_full_match(url, 'https://.*/en/[^/]*', 's') and url like 'https://%.example.%/en/%' and length(url) > 0 as hit from pages where url like 'https://%/en/%' and url not like '%/en/%/%'")
+@register("f16_wildcard", r"select page_id, regexp_full_match(url, 'https://.*\.example\..*/en/.*', 's') as hit from pages")
 def wildcard(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "pages").where("url like 'https://%/en/%' and url not like '%/en/%/%'")
-    return p.select("page_id", F.col("url").rlike(text.wildcard_regex("https://*.example.*/en/*")).alias("hit"))
+    return table(spark, d, "pages").select("page_id", F.col("url").rlike(text.wildcard_regex("https://*.example.*/en/*")).alias("hit"))
 
 
 @register("f23_key_prefix", "select c_custkey, case when c_custkey % 3 <> 0 then substr(lower(replace(c_mktsegment, '_', '')), 1, 10) end prefix from customer")

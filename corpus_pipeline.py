@@ -2,6 +2,10 @@
 
 quality rules -> toxicity -> n-gram Jaccard join -> mixing to target weights -> packing
 
+Mixing leaves files that are ranges of slots, in order. Packing works on each task's files by itself and fills sequences by
+lengths, so the mixture holds between the ranges that tasks read, each of which has every source in its share, and not from one
+sequence to the next within a range.
+
 Every stage but the last returns the columns of its input, whatever their names; each works on all that its predecessor
 kept. Rows are told apart by keys of their own, so null and repeated ids, and repeated rows, are nothing special.
 

@@ -8,10 +8,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from millrace.plans import account_queries, document_queries, file_queries, further_queries, log_queries, registry, registry_all, session_queries, streaming_queries, text_queries  # noqa: F401
+from millrace.plans import account_queries, collection_queries, document_queries, file_queries, further_queries, log_queries, privacy_queries, registry, registry_all, session_queries, streaming_queries, text_queries, timer_queries, wire_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
-MODULES = (account_queries, document_queries, file_queries, further_queries, log_queries, session_queries, streaming_queries, text_queries)
+MODULES = (account_queries, collection_queries, document_queries, file_queries, further_queries, log_queries, privacy_queries, session_queries, streaming_queries, text_queries, timer_queries, wire_queries)
 NAMES = [n for n, q in registry.queries().items() if n in registry.oracle_sql() and q.__module__ in {m.__name__ for m in MODULES}]
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import SparkSession
 
 
+#: A claim of this age without its file belongs to a writer that was lost; making the file takes far less than that.
+ABANDONED_MS = 600_000
+
+
 class Conflict(Exception):
     """Another writer has taken the version."""
 
@@ -41,7 +46,9 @@ class Files:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        # The number is claimed by a file of its own, as not every file system refuses to rename onto a file.
+        # The name is claimed by a file of its own, as not every file system refuses to rename onto a file.
+        if self._abandoned(name):
+            self.delete(f"{name}.claim")
         try:
             self.fs.create(self.path(f"{name}.claim"), False).close()
         except Exception as e:
@@ -50,5 +57,12 @@ class Files:
         if not self.fs.rename(made, self.path(name)):
             raise OSError(f"{name} was not renamed")
 
+    def _abandoned(self, name: str) -> bool:
+        """Whether a writer claimed a name long ago and was lost before it made the file."""
+        claim = self.path(f"{name}.claim")
+        if self.fs.exists(self.path(name)) or not self.fs.exists(claim):
+            return False
+        return self.fs.getFileStatus(claim).getModificationTime() < time.time() * 1000 - ABANDONED_MS
+
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)

@@ -87,7 +87,8 @@ class Ledger:
             folders |= dict.fromkeys(touched, name)
         if self._known(batch):  # another writer was faster
             return False
-        self.files.delete(f"batches/{batch}")
+        for name_of in (f"batches/{batch}", f"batches/{batch}.claim"):  # an earlier try that was not committed
+            self.files.delete(name_of)
         self.files.create(f"batches/{batch}", str(version + 1))
         entry = {"batch": batch, "buckets": {str(b): c for b, c in folders.items()}}
         try:

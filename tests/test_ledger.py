@@ -78,3 +78,18 @@ def test_another_writer(spark, tmp_path):
     ledger.version = lambda: 1
     with pytest.raises(Conflict):
         ledger.apply("z", frame(spark, [(1, START, 2)]))
+    again = Ledger(spark, ledger.root, 3600)
+    assert again.apply("z", frame(spark, [(1, START, 2)])) and not again.apply("z", frame(spark, [(1, START, 2)])) and again.version() == 3
+
+
+def test_a_lost_writer_blocks_nobody_for_ever(spark, tmp_path, monkeypatch):
+    from millrace.sources import commits
+
+    ledger = Ledger(spark, str(tmp_path / "l"), 3600)
+    (tmp_path / "l/log").mkdir(parents=True)
+    (tmp_path / "l/log/000000000001.json.claim").touch()
+    with pytest.raises(Conflict):
+        ledger.apply("x", frame(spark, [(1, START, 2)]))
+    assert ledger.version() == 0 and ledger.rows().count() == 0
+    monkeypatch.setattr(commits, "ABANDONED_MS", -10_000)
+    assert ledger.apply("x", frame(spark, [(1, START, 2)])) and rows(ledger)[1][:3] == (2, 2, 2)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -61,9 +61,23 @@ def write_by_time(df: DataFrame, path: str, ts: str, model: str = "model", fines
     timed.write.mode("append").partitionBy(model, *parts).json(f"{path}/data")
 
 
+#: Parts of a model below ``meta``. Readers and later writers rely on it.
+META_PARTS = 64
+
+
+def meta_part(session: Column) -> Column:
+    """The part that holds a session: its text decides, so that it is the same for every writer and reader."""
+    return F.pmod(F.xxhash64(session.cast("string")), F.lit(META_PARTS)).cast("int")
+
+
 def write_meta(df: DataFrame, path: str, session: str, model: str = "model") -> None:
-    """JSON below ``meta``, partitioned by model and session; rows without a model are left out."""
-    df.where(F.col(model).isNotNull()).write.mode("append").partitionBy(model, session).json(f"{path}/meta")
+    """JSON below ``meta``, partitioned by model and part of the sessions; rows without a model are left out.
+
+    A session's rows lie in one part, ``meta_part``, with the session in each row: a folder for each session would make
+    as many folders and files as there are sessions. Spark splits parts that are large and joins small ones.
+    """
+    kept = df.where(F.col(model).isNotNull()).withColumn("part", meta_part(F.col(session)))
+    kept.hint("rebalance", model, "part").write.mode("append").partitionBy(model, "part").json(f"{path}/meta")
 
 
 def send_batches(stream: DataFrame, post, checkpoint: str, rows: int = 500):

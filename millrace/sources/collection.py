@@ -40,6 +40,8 @@ MOST_CELLS = 4_096
 #: Rows of a block of vectors and of a block of queries, which meet in one task.
 BLOCK_ROWS, BLOCK_QUERIES = 4_096, 256
 FILE_ROWS = 200_000
+#: What a task holds at once when it finds the cells of rows: distances, and copies of rows.
+TASK_DISTANCES, TASK_COPIES = 1 << 21, 1 << 14
 
 
 @dataclass(frozen=True)
@@ -207,24 +209,27 @@ class Collection:
         centroids = self.spark.sparkContext.broadcast(self.centroids)  # at most MOST_CELLS rows
         field = StructType([*vectors.schema.fields, StructField(name, IntegerType())])
         names = vectors.columns
+        # So many rows at once that neither their distances to the centroids nor their copies for the cells are large.
+        step = max(1, min(TASK_DISTANCES // len(self.centroids), TASK_COPIES // count))
 
         def of_task(batches):
             c = centroids.value
             half = (c * c).sum(1) / 2
             for batch in batches:
-                column = pa.chunked_array([batch.column("embedding")])
-                cells = np.zeros((batch.num_rows, count), np.int64)
-                cells[:, 1:] = -1  # a row without a place is asked for in cell 0 alone
-                for n, (rows, units) in neighbours.matrices(column).items():
-                    placed = np.flatnonzero(units.any(1))
-                    if n == c.shape[1] and len(placed):
-                        away = half - units[placed] @ c.T
-                        near = np.argpartition(away, count - 1, axis=1)[:, :count] if count < len(c) else np.tile(np.arange(len(c)), (len(placed), 1))
-                        cells[rows[placed]] = near
-                if count == len(c):  # all cells are looked at, whatever the row is
-                    cells[:] = np.arange(len(c))
-                row, at = np.nonzero(cells >= 0)
-                yield pa.RecordBatch.from_arrays([*(batch.column(x).take(pa.array(row)) for x in names), pa.array(cells[row, at], pa.int32())], [*names, name])
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    cells = np.full((part.num_rows, count), -1)
+                    cells[:, 0] = 0  # a row without a place is asked for in cell 0 alone
+                    for n, (rows, units) in neighbours.matrices(pa.chunked_array([part.column("embedding")])).items():
+                        placed = np.flatnonzero(units.any(1))
+                        if n == c.shape[1] and len(placed):
+                            away = half - units[placed] @ c.T
+                            near = np.argpartition(away, count - 1, axis=1)[:, :count] if count < len(c) else np.tile(np.arange(len(c)), (len(placed), 1))
+                            cells[rows[placed]] = near
+                    if count == len(c):  # all cells are looked at, whatever the row is
+                        cells[:] = np.arange(len(c))
+                    row, nth = np.nonzero(cells >= 0)
+                    yield pa.RecordBatch.from_arrays([*(part.column(x).take(pa.array(row)) for x in names), pa.array(cells[row, nth], pa.int32())], [*names, name])
 
         return vectors.mapInArrow(of_task, field)
 
@@ -239,7 +244,13 @@ class Collection:
         cells = len(self.centroids)
         count = cells if exact else max(1, min(cells, probes or self.probes))
         asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
-        asked = self._with_cells(asked, count, "cell") if count < cells or cells > 1 else asked.withColumn("cell", F.lit(0))
+        stored = self._rows(state)
+        if count == cells:
+            # Every row is compared, so cells say nothing: all count as one, and a query is copied for each block of rows alone.
+            asked, stored = asked.withColumn("cell", F.lit(0)), stored.withColumn("cell", F.lit(0))
+            state = State(state.version, state.commits, {0: n} if (n := sum(state.rows.values())) else {})
+        else:
+            asked = self._with_cells(asked, count, "cell")
         asked_of = {int(r.cell): r["count"] for r in asked.groupBy("cell").count().collect()}  # at most MOST_CELLS rows
         held = {c: max(1, -(-n // BLOCK_ROWS)) for c, n in state.rows.items()}
         met = {c: max(1, -(-n // BLOCK_QUERIES)) for c, n in asked_of.items() if c in held}
@@ -256,7 +267,7 @@ class Collection:
             return F.pmod(F.xxhash64(key, F.lit(3)), of_cell(numbers)).cast("int")
 
         # All rows of an id in a cell meet in one block, where the newest one decides.
-        rows = self._rows(state).where(F.col("cell").isin(*met)).select("cell", "vec_id", "embedding", "version", "deleted")
+        rows = stored.where(F.col("cell").isin(*met)).select("cell", "vec_id", "embedding", "version", "deleted")
         left = rows.withColumn("rows", one("vec_id", held)).withColumn("asked", every(met))
         right = asked.where(F.col("cell").isin(*met)).withColumn("asked", one("query_id", met)).withColumn("rows", every(held))
 
@@ -272,8 +283,8 @@ class Collection:
 
 
 def _newest(rows: pa.Table) -> pa.Table:
-    """Of each id the row of the highest version, if that is not a deletion."""
-    sort = rows.sort_by([("vec_id", "ascending"), ("version", "descending")])
+    """Of each id the row of the highest version, if that is not a deletion. A version that moves an id has both; the live row counts."""
+    sort = rows.sort_by([("vec_id", "ascending"), ("version", "descending"), ("deleted", "ascending")])
     ids = sort["vec_id"].to_numpy()
     first = np.append(True, ids[1:] != ids[:-1])
     keep = first & ~sort["deleted"].to_numpy(zero_copy_only=False).astype(bool)

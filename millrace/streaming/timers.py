@@ -41,9 +41,12 @@ class _StateStore:
 class Anchored(StatefulProcessor):
     """Rows of a key from the first one, the anchor, until ``closes`` of its time; at the end ``closed`` says what they gave.
 
-    Of a micro-batch only what is open at its end goes to the state.
+    Of a micro-batch only what is open at its end goes to the state. Each look at the state is a call to Spark, so a
+    processor whose batches have no items (``HOLDS``) keeps no map of them.
     """
 
+    HOLDS = True
+
     def closes(self, opened: int) -> int:
         raise NotImplementedError
 
@@ -56,13 +59,16 @@ class Anchored(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.anchor = handle.getValueState("anchor", ANCHOR)
-        self.items = handle.getMapState("items", "name string", LAST)
+        if self.HOLDS:
+            self.items = handle.getMapState("items", "name string", LAST)
 
     def _held(self) -> dict:
+        if not self.HOLDS:
+            return {}
         return {name: tuple(last) for (name,), last in self.items.iterator()}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        anchor = stored = tuple(self.anchor.get()) if self.anchor.exists() else None
+        anchor = stored = _tuple(self.anchor.get())
         held = self._held() if stored else {}
         items = dict(held)
         for row in sorted(rows, key=lambda r: (r.t, r.seq)) if key[0] is not None else ():
@@ -75,7 +81,8 @@ class Anchored(StatefulProcessor):
         if anchor and anchor != stored:
             if stored and stored[:2] != anchor[:2]:
                 self.handle.deleteTimer(stored[1])
-                self.items.clear()
+                if held:
+                    self.items.clear()
                 held = {}
             if not stored or stored[:2] != anchor[:2]:
                 self.handle.registerTimer(anchor[1])
@@ -85,17 +92,23 @@ class Anchored(StatefulProcessor):
                     self.items.updateValue((name,), last)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        if self.anchor.exists():
-            anchor = tuple(self.anchor.get())
-            if anchor[1] <= expiredTimerInfo.getExpiryTimeInMs():
-                yield from self.closed(key, *anchor, self._held())
-                self.anchor.clear()
+        anchor = _tuple(self.anchor.get())
+        if anchor and anchor[1] <= expiredTimerInfo.getExpiryTimeInMs():
+            held = self._held()
+            yield from self.closed(key, *anchor, held)
+            self.anchor.clear()
+            if held:
                 self.items.clear()
 
     def close(self) -> None:
         pass
 
 
+def _tuple(row) -> tuple | None:
+    """A value of the state, of which Spark gives none where there is none."""
+    return tuple(row) if row is not None else None
+
+
 class Debounced(Anchored):
     """Items by name; a batch is sent ``delay_ms`` after its first item, with the last value of each name."""
 
@@ -119,6 +132,8 @@ class Evicted(Anchored):
     Use does not keep a session alive; a request after it went makes a new one.
     """
 
+    HOLDS = False
+
     def __init__(self, age_ms: int, look_ms: int):
         self.age_ms, self.look_ms = age_ms, look_ms
 
@@ -179,7 +194,8 @@ class KeptStore(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
         from millrace.streaming.store import SessionState
 
-        last = self.last.get()[0] if self.last.exists() else None
+        last = _tuple(self.last.get())
+        last = last and last[0]
         events = [e for e in sorted(rows, key=lambda e: e.seq) if last is None or e.seq > last]
         if not events:
             return

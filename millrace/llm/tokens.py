@@ -1,14 +1,14 @@
 """Token ids of whole texts, by a public vocabulary file, in Arrow batches.
 
 The vocabulary drops white space and never merges across it, so the ids of a text are those of its words one after
-the other. Each batch is split at ASCII white space, its distinct words are looked up in a bounded cache of the
-worker (two generations of CACHE_WORDS words and CACHE_PARTS parts, so those in use stay), and the ids are gathered with numpy. A word outside plain Latin letters, digits and ASCII signs goes to the
-tokenizer itself, so every text gets the ids that encoding it whole would give.
+the other. Each batch is split at ASCII white space and its distinct words into parts, both by Arrow; the distinct parts are looked up in
+a bounded cache of the worker (two generations of CACHE_PARTS parts, so those in use stay), and the ids of words and of
+texts are gathered with numpy. A word outside plain Latin letters, digits and ASCII signs goes to the
+tokenizer itself (a cache of CACHE_WORDS such words), so every text gets the ids that encoding it whole would give.
 """
 
 from __future__ import annotations
 
-import re
 from array import array
 from collections.abc import Iterator
 
@@ -17,14 +17,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 END_ID = 1
-CACHE_WORDS = 150_000
+CACHE_WORDS = 50_000
 CACHE_PARTS = 100_000
 SLICE_BYTES = 8 << 20
 
 # The pre-tokenizer's pattern for lower-cased words of the plain alphabet.
-PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-SIGNS_BEHIND = ".,;:!?"
-PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+PLAIN = r"\A[!-~À-ÖØ-öø-ÿ]*\z"
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+"
 
 
 def byte_signs() -> dict[int, str]:
@@ -82,53 +81,71 @@ class Encoder:
             self.parts.put(part, found)
         return found
 
-    def word(self, word: str) -> bytes:
-        """The ids of one word as little-endian 16-bit integers."""
-        low = word.lower()
-        if not low:  # splitting leaves empty pieces at the ends of a text
-            return b""
-        if low.isascii():  # letters alone, or with one sign behind them, need no pattern
-            if low.isalpha():
-                return self.parts.young.get(low) or self._part(low)
-            if low[-1] in SIGNS_BEHIND and low[:-1].isalpha():
-                return (self.parts.young.get(low[:-1]) or self._part(low[:-1])) + self._part(low[-1])
-        if PLAIN.fullmatch(word) and "<|" not in word:
-            parts = PARTS.findall(low)
-            found = list(map(self.parts.young.get, parts))
-            return b"".join(found if None not in found else map(self._part, parts))
-        return np.array(self.whole.encode(word, add_special_tokens=False).ids, np.uint16).tobytes()
+    def _odd(self, word: str) -> bytes:
+        """The ids of a word that only the tokenizer itself takes apart, as little-endian 16-bit integers."""
+        found = self.words.get(word)
+        if found is None:
+            found = np.array(self.whole.encode(word, add_special_tokens=False).ids, np.uint16).tobytes()
+            self.words.put(word, found)
+        return found
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, each text's ids followed by END_ID, and the offsets of the texts."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        lists = pc.ascii_split_whitespace(texts)
-        flat = lists.values.dictionary_encode()
+    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all words, and where those of each word start and how many they are."""
+        plain = pc.and_(pc.match_substring_regex(words, PLAIN), pc.invert(pc.match_substring(words, "<|")))
+        low = pc.utf8_lower(pc.if_else(plain, words, ""))
+        # Plain words hold no space, so spaces can part them.
+        lists = pc.split_pattern(pc.utf8_rtrim(pc.replace_substring_regex(low, PARTS, r"\0 "), " "), " ")
+        flat = lists.flatten().dictionary_encode()
         distinct = flat.dictionary.to_pylist()
-        encoded = list(map(self.words.young.get, distinct))
+        encoded = list(map(self.parts.young.get, distinct))
         for i, e in enumerate(encoded):
             if e is None:
-                w = distinct[i]
-                encoded[i] = self.words.get(w)
-                if encoded[i] is None:
-                    encoded[i] = self.word(w)
-                    self.words.put(w, encoded[i])
-        pool = np.frombuffer(b"".join(encoded), np.uint16)
-        lens = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 2
-        starts = np.cumsum(lens) - lens
-        index = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        word_lens = lens[index]
-        word_ends = np.concatenate([[0], np.cumsum(word_lens)])
-        bounds = lists.offsets.to_numpy().astype(np.int64)
-        bounds = bounds - bounds[0]
-        offsets = word_ends[bounds] + np.arange(len(bounds))
-        # Each word's ids move right by the end ids of the texts before it.
-        owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
-        ids = np.empty(offsets[-1], np.uint16)
-        shift = starts[index] - word_ends[:-1]
-        n = int(word_ends[-1])
-        ids[np.arange(n) + np.repeat(owner, word_lens)] = pool[np.repeat(shift, word_lens) + np.arange(n)]
-        ids[offsets[1:] - 1] = END_ID
-        return ids, offsets
+                encoded[i] = self._part(distinct[i])
+        ids, ends = _gathered(*_pool(encoded), flat.indices.to_numpy(zero_copy_only=False))
+        ends = np.concatenate([[0], ends])[_bounds(lists)]
+        starts, lens = ends[:-1], np.diff(ends)
+        odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        if len(odd):
+            more, at, lens[odd] = _pool([self._odd(w) for w in words.take(pa.array(odd)).to_pylist()])
+            starts[odd] = at + len(ids)
+            ids = np.concatenate([ids, more])
+        return ids, starts, lens
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, each text's ids followed by END_ID, and the offsets of the texts."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        flat = lists.flatten().dictionary_encode()
+        ids, starts, lens = self._of_words(flat.dictionary)
+        # The end id is one more word, which stands behind the words of each text.
+        ids, starts, lens = np.append(ids, np.uint16(END_ID)), np.append(starts, len(ids)), np.append(lens, 1)
+        bounds = _bounds(lists)
+        index = np.insert(flat.indices.to_numpy(zero_copy_only=False), bounds[1:], len(starts) - 1)
+        out, ends = _gathered(ids, starts, lens, index)
+        offsets = np.concatenate([[0], ends[bounds[1:] + np.arange(len(texts))]])
+        return out, offsets
+
+
+def _bounds(lists: pa.Array) -> np.ndarray:
+    """Where the rows of a list column start in its flat values, and where the last one ends."""
+    bounds = lists.offsets.to_numpy().astype(np.int64)
+    return bounds - bounds[0]
+
+
+def _pool(encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of all entries one after the other, where those of each start and how many they are."""
+    lens = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 2
+    return np.frombuffer(b"".join(encoded), np.uint16), np.cumsum(lens) - lens, lens
+
+
+def _gathered(pool: np.ndarray, starts: np.ndarray, lens: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the entries that ``index`` names, one entry after the other, and where each of them ends."""
+    of = lens[index]
+    ends = np.cumsum(of)
+    n = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(n, len(pool)) < 1 << 31 else np.int64
+    at = np.repeat((starts[index] - (ends - of)).astype(kind), of)
+    at += np.arange(n, dtype=kind)
+    return pool[at], ends
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ from millrace.llm.tokens import Encoder, slices
 BITS = 16
 CHUNK = 1 << 16
 CHUNKS_KEPT = 64
-CACHE_WORDS, CACHE_PARTS = 300_000, 200_000  # tokens are all that the task holds, so its caches may be large
+CACHE_WORDS, CACHE_PARTS = 50_000, 300_000  # tokens are all that the task holds, so its caches may be large
 BLOCK_TOKENS = 1 << 21
 FILE_SCHEMA = T.StructType(
     [

@@ -286,6 +286,17 @@ def anonymize(docs: DataFrame, profile: str = "max", patterns=LEGAL, key: str =
     )
 
 
+def detected(docs: DataFrame, patterns=STRUCTURED, key: str = "doc_id") -> DataFrame:
+    """(__row, __key, text, __s): numbered rows with their resolved spans, written once; what needs the spans more than once reads them there.
+
+    Detection is the costly part of a vault and of masking by it.
+    """
+    rows = numbered(docs.select(F.col(key).alias("__key"), "text"), "__row")
+    path = shared_path(docs.sparkSession, "spans")
+    rows.withColumn("__s", dedup(detect(F.col("text"), patterns))).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def vault(docs: DataFrame, patterns=STRUCTURED, key: str = "doc_id") -> DataFrame:
     """(category, value, token): stable ``CATEGORY_n`` tokens by first appearance over all documents.
 
@@ -293,11 +304,21 @@ def vault(docs: DataFrame, patterns=STRUCTURED, key: str = "doc_id") -> DataFram
     place, as none do after overlaps are resolved, the order would be open.
     """
     spans = docs.select(F.col(key).alias("doc"), F.inline_outer(dedup(detect(F.col("text"), patterns)))).where("start is not null")
+    return _vault(spans)
+
+
+def vault_of(found: DataFrame) -> DataFrame:
+    """The ``vault`` of the documents whose spans ``detected`` has written."""
+    return _vault(found.select(F.col("__key").alias("doc"), F.inline("__s")))
+
+
+def _vault(spans: DataFrame) -> DataFrame:
+    spark = spans.sparkSession
     firsts = spans.groupBy("category", "value").agg(F.min(F.struct("doc", "start")).alias("at"))
     # Numbered by ranges, which are written so that a second look finds the same ones; a window holds a range's rows.
-    path = shared_path(docs.sparkSession, "vault")
+    path = shared_path(spark, "vault")
     firsts.repartitionByRange("category", "at").withColumn("part", F.spark_partition_id()).write.parquet(path)
-    ranged = docs.sparkSession.read.parquet(path)
+    ranged = spark.read.parquet(path)
     before = Window.partitionBy("category").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = ranged.groupBy("category", "part").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     rows = ranged.join(F.broadcast(parts), ["category", "part"])  # a row for each category and partition
@@ -349,11 +370,11 @@ def mask_by_vault(docs: DataFrame, tokens: DataFrame, patterns=STRUCTURED, key:
     Detected values are looked up in the vault as rows, not as a map that a task would have to hold. Null and repeated keys
     and null texts are rows like others; texts without a known value stay as they are.
     """
-    spark = docs.sparkSession
-    rows = numbered(docs.select(F.col(key).alias("__key"), "text"), "__row")
-    path = shared_path(spark, "spans")  # detection is the costly part and runs once
-    rows.withColumn("__s", dedup(detect(F.col("text"), patterns))).write.parquet(path)
-    found = spark.read.parquet(path)
+    return mask_found(detected(docs, patterns, key), tokens, key)
+
+
+def mask_found(found: DataFrame, tokens: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``mask_by_vault`` for documents whose spans ``detected`` has written."""
     values = F.array_distinct(F.transform("__s", lambda s: F.struct(s["category"].alias("category"), s["value"].alias("value"))))
     asked = found.select("__row", F.inline(values))
     maps = _maps(looked_up(asked, tokens, ["category", "value"], "token"), F.concat("category", F.lit("/"), "value"), "token")

@@ -97,18 +97,18 @@ def vault_all(spark: SparkSession, d: str) -> DataFrame:
 )
 def masked_by_vault(spark: SparkSession, d: str) -> DataFrame:
     """Addresses replaced by tokens that are the same in all documents."""
-    docs = table(spark, d, "documents")
-    return p.mask_by_vault(docs, p.vault(docs, (EMAIL,)), (EMAIL,))
+    found = p.detected(table(spark, d, "documents"), (EMAIL,))
+    return p.mask_found(found, p.vault_of(found))
 
 
 @register("d1_10_rehydrated", "select doc_id, text from documents")
 def rehydrated(spark: SparkSession, d: str) -> DataFrame:
     """Texts masked by the vault of all documents, with all patterns, and put back from the vault's table."""
-    docs = table(spark, d, "documents")
+    found = p.detected(table(spark, d, "documents"), ALL)  # both the vault and the masks need the spans
     known = shared_path(spark, "vault")  # numbered once: two looks at it must agree
-    p.vault(docs, ALL).write.parquet(known)
+    p.vault_of(found).write.parquet(known)
     tokens = spark.read.parquet(known)
-    return p.rehydrate(p.mask_by_vault(docs, tokens, ALL), tokens)
+    return p.rehydrate(p.mask_found(found, tokens), tokens)
 
 
 @register("d1_15_profiles", "select * from (values " + ", ".join(f"('{x}', 30)" for x in p.PROFILES) + ") v(profile, treatment_count)")

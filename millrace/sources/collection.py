@@ -85,7 +85,8 @@ class Collection:
         n = taught.count()
         count = max(1, min(MOST_CELLS, cells or round(2 * total**0.5), n // 8))
         if n:
-            model = KMeans(k=count, seed=seed, maxIter=15, featuresCol="v").fit(taught.select(array_to_vector("u").alias("v")))
+            # By rows, it would send the distances between all centroids, which grow with their square, to the driver for each iteration.
+            model = KMeans(k=count, seed=seed, maxIter=15, featuresCol="v", solver="block").fit(taught.select(array_to_vector("u").alias("v")))
             centroids = np.array(model.clusterCenters())
         else:
             centroids = np.zeros((1, 1))
